@@ -41,7 +41,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
     rank = opened = 0
 
     def put(gap: int, first: int, n: int) -> None:
-        if gap:
+        if gap and n:
             if gap not in gaps:
                 gaps[gap] = []
                 heapq.heappush(order, gap)
@@ -69,22 +69,17 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
         for gap in passed:
             heapq.heappush(order, gap)
         if left:
+            # new sequences, filled with this length layer by layer; what a layer lacks is left open
             layers = capacity // length
-            first, n = opened, -(-left // layers)
-            opened += n
+            first, open_now = opened, -(-left // layers)
+            opened += open_now
             for layer in range(layers):
-                used = min(n, left)
-                if used < n:
-                    put(capacity - layer * length, first + used, n - used)
-                if not used:
-                    break
-                out.append((rank, first, layer * length))
-                rank, left = rank + used, left - used
-                n = used
-            else:
-                layer = layers
-            if n and used:
-                put(capacity - layer * length, first, n)
+                used = min(open_now, left)
+                put(capacity - layer * length, first + used, open_now - used)
+                if used:
+                    out.append((rank, first, layer * length))
+                rank, left, open_now = rank + used, left - used, used
+            put(capacity - layers * length, first, open_now)
     return out
 
 
