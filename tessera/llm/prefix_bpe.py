@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import batch_rows, chunks, col, documents, texts_of
 
 #: Pieces whose ids are kept in a Python worker; twice as many at most.
-CACHED_PIECES = 200_000
+CACHED_PIECES = 500_000
 
 
 class Vocabulary:
@@ -36,11 +36,13 @@ class Vocabulary:
         self.longest = max(map(len, ranks), default=1)
         self.halves: dict[int, tuple[int, int]] = {}
         self.joined: dict[tuple[int, int], int] = {}
-        self._known: dict[tuple[int, int], bool] = {}
+        self.known: dict[int, bool] = {}
         for token, i in sorted(ranks.items(), key=lambda x: x[1]):
             if len(token) > 1 and (parts := self._parts(token, i)):
                 self.halves[i] = parts
                 self.joined[parts] = i
+        # tokens that merges lead to: the others can only be whole pieces
+        self.made = {b: i for b, i in ranks.items() if len(b) == 1 or i in self.halves}
 
     def _parts(self, token: bytes, rank: int) -> tuple[int, int] | None:
         """The last two parts when only merges before this token's are applied; None if they don't lead to two."""
@@ -55,11 +57,11 @@ class Vocabulary:
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether left and right stand side by side in the encoding of their joined bytes."""
-        known = self._known.get((left, right))
+        known = self.known.get(left << 32 | right)
         if known is None:
-            if len(self._known) > 1_000_000:
-                self._known.clear()
-            known = self._known[left, right] = self._compatible(left, right)
+            if len(self.known) > 1_000_000:
+                self.known.clear()
+            known = self.known[left << 32 | right] = self._compatible(left, right)
         return known
 
     def _compatible(self, left: int, right: int) -> bool:
@@ -88,11 +90,16 @@ class Prefixes:
         self.append(data)
 
     def _last(self, end: int) -> int:
-        ranks, data = self.vocabulary.ranks, self.data
+        data, last, made, known = self.data, self.last, self.vocabulary.made.get, self.vocabulary.known.get
         for start in range(max(0, end - self.vocabulary.longest), end):
-            token = ranks.get(data[start:end])
-            if token is not None and (not start or (self.last[start - 1] >= 0 and self.vocabulary.compatible(self.last[start - 1], token))) and (end - start == 1 or token in self.vocabulary.halves):
-                return token
+            token = made(data[start:end])
+            if token is not None:
+                if not start:
+                    return token
+                before = last[start - 1]
+                fits = known(before << 32 | token)
+                if fits or (fits is None and self.vocabulary.compatible(before, token)):
+                    return token
         raise ValueError(f"byte {data[end - 1]} is not in the vocabulary")
 
     def append(self, data: bytes) -> None:
