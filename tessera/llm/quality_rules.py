@@ -27,6 +27,8 @@ WINDOW, LEAST_WORDS, REPEATED = 8, 20, 30
 BROADCAST_LANGUAGES = 10_000
 
 _SEPARATORS = "[ \\t-\\r]+"
+_SYMBOLS = "#*$%&|<>"
+_CLASSES = {"upper": "A-Z", "digit": "0-9", "mark": ".,;:!?'\"()-"}
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -77,9 +79,9 @@ def _measured(docs: DataFrame, text: str, lang: str) -> DataFrame:
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(*kept, t.alias("_text"), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("_lang"), F.array_remove(F.split(t, _SEPARATORS, -1), "").alias("_words"))
     return rows.select(
-        *kept, "_lang", "_words", F.size("_words").cast("long").alias("n_words"), F.length(F.array_join("_words", "")).cast("long").alias("word_chars"), _but(F.col("_text"), "#*$%&|<>").alias("n_symbols"),
+        *kept, "_lang", "_words", F.size("_words").cast("long").alias("n_words"), F.length(F.array_join("_words", "")).cast("long").alias("word_chars"), _but(F.col("_text"), _SYMBOLS).alias("n_symbols"),
         _dup_lines(F.col("_text")).alias("n_dup_lines"), _repeat_words(F.col("_words")).alias("n_repeat_words"),
-        *(_but(F.col("_text"), c).alias(f"_{name}") for name, c in (("upper", "A-Z"), ("digit", "0-9"), ("mark", ".,;:!?'\"()-"))), F.length("_text").cast("long").alias("_chars"),
+        *(_but(F.col("_text"), c).alias(f"_{name}") for name, c in _CLASSES.items()), F.length("_text").cast("long").alias("_chars"),
     )
 
 
@@ -96,30 +98,23 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang", common:
     Common words have the highest counts; of equal counts, the first in order. Texts without language are one of their own.
     """
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    plain = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("_lang"), t.alias("_text"), F.array_remove(F.split(t, _SEPARATORS, -1), "").alias("_words"))
-    sums = plain.select(
-        "_lang", F.length("_text").cast("long").alias("_chars"), F.length(F.array_join("_words", "")).cast("long").alias("word_chars"), _but(F.col("_text"), "#*$%&|<>").alias("n_symbols"), F.size("_words").cast("long").alias("_n"),
-        *(_but(F.col("_text"), c).alias(f"_{name}") for name, c in (("upper", "A-Z"), ("digit", "0-9"), ("mark", ".,;:!?'\"()-"))),
-    )
-    totals = sums.groupBy("_lang").agg(*(F.sum(c).alias(c) for c in ("_chars", "word_chars", "n_symbols", "_upper", "_digit", "_mark", "_n")))
-    counts = plain.select("_lang", F.explode("_words").alias("_word")).groupBy("_lang", "_word").agg(F.count("*").alias("_count"))
-    # the highest counts by partial aggregation: a sorted array of `common` entries for each language and task
-    top = _top(counts, common)
+    name = F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("_lang")
+    lengths = docs.groupBy(name).agg(F.sum(F.length(t).cast("long")).alias("_chars"))
+    words = docs.select(name, F.explode(F.array_remove(F.split(t, _SEPARATORS, -1), "")).alias("_word"))
+    counts = words.groupBy("_lang", "_word").agg(F.count("*").alias("_count"))
+    # all classes but separators lie in words, so different words are enough to count them
+    w = F.col("_word")
+    sizes = {"word_chars": F.length(w), "n_symbols": _but(w, _SYMBOLS), "_n": F.lit(1)} | {f"_{k}": _but(w, c) for k, c in _CLASSES.items()}
+    entry = F.struct((-F.col("_count")).alias("n"), w.alias("w"))
+    # groups of words keep any one list short; each gives its `common` first
+    some = counts.groupBy("_lang", F.pmod(F.xxhash64(w), F.lit(4096)).alias("_group")).agg(F.slice(F.array_sort(F.collect_list(entry)), 1, common).alias("_top"), *(F.sum(F.col("_count") * x).alias(k) for k, x in sizes.items()))
+    best = some.groupBy("_lang").agg(F.slice(F.array_sort(F.flatten(F.collect_list("_top"))), 1, common).alias("_top"), *(F.sum(k).alias(k) for k in sizes))
+    joined = lengths.join(best, "_lang", "left").na.fill(0, list(sizes))
     share = F.transform(F.array(*_classes()), lambda x: x / F.greatest(F.col("_chars"), F.lit(1)))
-    joined = totals.join(top, "_lang", "left")
-    words = F.coalesce(F.col("_top"), F.array().cast("array<struct<n:bigint,w:string>>"))
-    each = F.transform(words, lambda e: e["n"] / F.col("_n"))
+    top = F.coalesce(F.col("_top"), F.array().cast("array<struct<n:bigint,w:string>>"))
+    each = F.transform(top, lambda e: -e["n"] / F.col("_n"))
     rest = F.lit(1.0) - F.aggregate(each, F.lit(0.0), lambda a, x: a + x)
-    return joined.select("_lang", share.alias("_class_share"), F.transform(words, lambda e: e["w"]).alias("_common"), F.when(F.col("_n") == 0, F.array(F.lit(1.0))).otherwise(F.concat(each, F.array(rest))).alias("_word_share"))
-
-
-def _top(counts: DataFrame, common: int) -> DataFrame:
-    """_lang, _top: the `common` words with the highest counts. Taken first in each of many groups by a hash of the word."""
-    entry = F.struct((-F.col("_count")).alias("n"), F.col("_word").alias("w"))
-    # counts of a word are in one partition already; groups of words keep any one list short
-    some = counts.groupBy("_lang", F.pmod(F.xxhash64("_word"), F.lit(4096)).alias("_group")).agg(F.slice(F.array_sort(F.collect_list(entry)), 1, common).alias("_top"))
-    best = some.groupBy("_lang").agg(F.slice(F.array_sort(F.flatten(F.collect_list("_top"))), 1, common).alias("_top"))
-    return best.select("_lang", F.transform("_top", lambda e: F.struct((-e["n"]).alias("n"), e["w"].alias("w"))).alias("_top"))
+    return joined.select("_lang", share.alias("_class_share"), F.transform(top, lambda e: e["w"]).alias("_common"), F.when(F.col("_n") == 0, F.array(F.lit(1.0))).otherwise(F.concat(each, F.array(rest))).alias("_word_share"))
 
 
 def _distance(own: Column, other: Column) -> Column:
