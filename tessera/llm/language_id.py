@@ -136,7 +136,7 @@ class Model:
         gap = code == GAP
         letters = np.bincount(owner[~gap], minlength=len(texts))
         keep = ~gap
-        keep[:-1] |= gap[:-1] & ~gap[1:]  # the last of several blanks, before a letter
+        keep[:-1] |= gap[:-1] & ~gap[1:] & (owner[:-1] == owner[1:])  # the last of several blanks, before a letter of the text
         code, owner = code[keep], owner[keep]
         sizes = np.bincount(owner, minlength=len(texts))
         # windows of each text, the longest first, as the rows of a matrix
