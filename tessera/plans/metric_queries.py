@@ -506,8 +506,8 @@ def minimal_reasons(spark, sf_dir):
     return reasons.groupBy("reason").agg(F.count("*").alias("n"))
 
 
-@query("select p_partkey, list_filter(list_transform(string_split(p_name || ' | ' || p_type || '||  ', '|'), lambda x: trim(x)), lambda x: x <> '') as constraints from part")
-def split_constraint_text(spark, sf_dir):
+@query("select p_partkey, list_filter(list_transform(string_split(p_name || ' | ' || p_type || '||  ', '|'), lambda x: trim(x)), lambda x: x <> '') as constraints from part", name="split_constraints")
+def split_constraints_of(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", split_constraints(F.concat("p_name", F.lit(" | "), "p_type", F.lit("||  "))).alias("constraints"))
 
 

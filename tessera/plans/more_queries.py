@@ -566,3 +566,87 @@ def resplit_files(spark, sf_dir):
         sinks.sink_records(split.where(keep).select("prompt", "lang"), f"{base}/{name}")
     n = lambda name: spark.read.schema("prompt string, lang string").json(f"{base}/{name}").agg(F.count("*").alias(f"n_{name}"))
     return n("val").crossJoin(n("train"))
+
+
+# --- seams, contracts, snapshots and whole reports ------------------------------------------------------------------------------------------
+
+
+@query("select p_partkey, length(p_name)::double as r_chosen, length(p_type)::double as r_rejected from part")
+def model_scorer(spark, sf_dir):
+    from ..operators import seams
+
+    p = table(spark, sf_dir, "part").select("p_partkey", F.lit("").alias("prompt"), F.col("p_name").alias("chosen"), F.col("p_type").alias("rejected"))
+    return seams.score_pairs(p, lambda prompts, responses: [len(r) for r in responses]).select("p_partkey", "r_chosen", "r_rejected")
+
+
+@query("select p_partkey, k::int as sample, p_name || ' ' || k as response from part, range(3) t(k)")
+def generate(spark, sf_dir):
+    from ..operators import seams
+
+    p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("prompt"))
+    return seams.generate(p, "p_partkey", lambda prompts, k: [f"{x} {k}" for x in prompts], 3)
+
+
+@query("select vec_id, round(list_sum(embedding::double[]) * 0.5 + 1, 9) as r_chosen, round(list_sum((embedding::double[])[1:8]) * 0.25, 9) as r_rejected from embeddings")
+def reward_model(spark, sf_dir):
+    from ..operators import seams
+
+    e = table(spark, sf_dir, "embeddings")
+    return _round(e.select("vec_id", seams.reward_head(F.col("embedding"), [0.5] * 64, 1.0).alias("r_chosen"), seams.reward_head(F.slice("embedding", 1, 8), [0.25] * 8).alias("r_rejected")), digits=9)
+
+
+@query("select vec_id, round(embedding[1]::double, 6) as first from embeddings where abs(embedding[1]) <= 1")
+def tensor_contracts(spark, sf_dir):
+    from ..operators import contracts
+
+    e = contracts.need_unique(contracts.need_columns(table(spark, sf_dir, "embeddings"), vec_id="bigint"), "vec_id")
+    e = contracts.need_length(e, "embedding", 64).select("vec_id", F.get("embedding", F.lit(0)).cast("double").alias("first"))
+    return _round(contracts.need_range(contracts.need_finite(e, "first"), "first", -1, 1))
+
+
+@query("select n_nationkey, n_name from nation where n_nationkey % 2 = 0")
+def checkpoint_store(spark, sf_dir):
+    from ..sources.snapshots import Snapshots
+
+    store = Snapshots(spark, _folder(spark, "snapshots"), keep_last=1)
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    for step, metric in ((1, 0.5), (2, 0.9), (3, 0.7)):
+        store.save(n.where(F.col("n_nationkey") % step == 0), step, metric)
+    return store.load("best")
+
+
+@query("select conv_id, turn, len(string_split(text, ' '))::int as n, length(string_split(text, ' ')[1])::int as first from conversations where text is not null")
+def pretokenize(spark, sf_dir):
+    path = _folder(spark, "tokens")
+    c = table(spark, sf_dir, "conversations").where("text is not null")
+    c.select("conv_id", "turn", F.transform(F.split("text", " "), lambda w: F.length(w)).alias("ids")).write.parquet(path)
+    return spark.read.parquet(path).select("conv_id", "turn", F.size("ids").alias("n"), F.get("ids", F.lit(0)).alias("first"))
+
+
+@query("select p_partkey, string_split(p_name, ' ')[-1] as last from part")
+def split_last(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", F.try_element_at(T.words(F.col("p_name")), F.lit(-1)).alias("last"))
+
+
+@query("select p_partkey, 3 as n_constraints, 2 as n_pass, false as refused from part")
+def judge_row(spark, sf_dir):
+    return _judged(spark, sf_dir).select("p_partkey", F.size("verdicts").alias("n_constraints"), "n_pass", F.col("flags")["refused"].alias("refused"))
+
+
+@query()
+def profile(spark, sf_dir):
+    from ..operators.profile import profile as report
+
+    rows = _delta(spark, sf_dir).withColumnRenamed("d", "delta").withColumn("key", F.col("id")).withColumn("raw", F.lit(True)).withColumn("all_matched", F.col("id") % 3 == 0)
+    return report(rows, ["raw", "all_matched"], min_pairs=30)
+
+
+@query()
+def t2_diagnose(spark, sf_dir):
+    from ..operators.profile import diagnose
+
+    rows = _delta(spark, sf_dir)
+    w = V.linear_probe(rows, "d")
+    head = F.array(*(F.lit(float(x)) for x in w))
+    s = rows.withColumn("r_chosen", N.dot(F.col("c"), head)).withColumn("r_rejected", N.dot(F.col("r"), head)).withColumn("even", F.col("id") % 2 == 0)
+    return diagnose(s, ["even"], w, "d")
