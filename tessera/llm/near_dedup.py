@@ -4,13 +4,15 @@ Documents with equal sets form a class at once. Each class has SAMPLES MinHash v
 that candidates share, and all of them are folded into an odd sketch, a bitmap of parities, where the population count of
 the XOR of two sketches estimates the similarity. Buckets are never expanded into pairs:
 
-1. Every class of a bucket is held against the bucket's first class only. Links are confirmed, components follow.
+1. Every class of a bucket is held against one class of it, the one that shares most buckets with others (in a group of
+   copies, that is one near their source). Links are confirmed, components follow.
 2. A pair of one bucket that is not yet in one component has a class outside the bucket's largest component. These
-   stragglers are held against all classes of the bucket, by their sketches, in blocks of BLOCK by BLOCK classes. What the
-   sketches let through is confirmed too, and the final components follow.
+   stragglers are held against all classes of the bucket, in blocks of BLOCK by BLOCK classes, by precise sketches, which
+   are made for the classes of such buckets alone, a pair in the first bucket that it shares. At first each straggler's
+   likeliest class in another component is confirmed. What is then still apart is held against each other once more, and every likely pair is confirmed.
 
 So every pair of a bucket is either connected already or compared. A pair at the least similarity shares no bucket with a
-probability of (1 - 0.8**ROWS)**BANDS, about 1e-7.
+probability of (1 - 0.8**ROWS)**BANDS, about 1e-7, and sketches pass it but for about 1e-6.
 """
 
 from __future__ import annotations
@@ -29,13 +31,15 @@ SAMPLES = BANDS * ROWS
 SKETCH_BITS = 512
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 80
-#: Sketches pass from this estimate on: seven standard deviations of it below the least similarity.
-LEAST_ESTIMATE = 0.6
+#: Sketches pass from this estimate on: four and a half standard deviations of it below the least similarity.
+LEAST_ESTIMATE = 0.66
+#: The precise sketches, of ten times as many samples, pass from five deviations below it on.
+PRECISE_SAMPLES, PRECISE_BITS, PRECISE_ESTIMATE = 2048, 4096, 0.75
 BLOCK = 512
 
 _SEED = np.random.default_rng(71)
-_MULTIPLIERS = _SEED.integers(0, 1 << 32, SAMPLES, dtype=np.uint32) | np.uint32(1)
-_MASKS = _SEED.integers(0, 1 << 32, SAMPLES, dtype=np.uint32)
+_MULTIPLIERS = _SEED.integers(0, 1 << 32, PRECISE_SAMPLES, dtype=np.uint32) | np.uint32(1)
+_MASKS = _SEED.integers(0, 1 << 32, PRECISE_SAMPLES, dtype=np.uint32)
 
 
 def shingle_sets(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -59,33 +63,32 @@ def shingle_sets(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out) if out else acc, sizes
 
 
-def minhashes(sets: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def minhashes(sets: np.ndarray, sizes: np.ndarray, samples: int = SAMPLES) -> np.ndarray:
     """[sample, set] for sets that are not empty."""
     at = np.cumsum(sizes) - sizes
     x = (sets >> np.uint64(32)).astype(np.uint32)
-    out = np.zeros((SAMPLES, len(sizes)), np.uint32)
+    out = np.zeros((samples, len(sizes)), np.uint32)
     if len(sizes):
-        for k in range(SAMPLES):
+        for k in range(samples):
             out[k] = np.minimum.reduceat((x ^ _MASKS[k]) * _MULTIPLIERS[k], at)
     return out
 
 
-def odd_sketches(samples: np.ndarray) -> np.ndarray:
-    """[set, SKETCH_BITS / 64]: each sample flips one bit."""
-    n = samples.shape[1]
-    bit = mix64(samples.astype(np.uint64) + (np.arange(SAMPLES, dtype=np.uint64)[:, None] << np.uint64(32))) % np.uint64(SKETCH_BITS)
-    flips = np.zeros((n, SKETCH_BITS), np.uint8)
+def odd_sketches(samples: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
+    """[set, bits / 64]: each sample flips one bit."""
+    k, n = samples.shape
+    flips = np.zeros((n, bits), np.uint8)
     rows = np.arange(n)
-    for k in range(SAMPLES):
-        flips[rows, bit[k]] ^= 1
+    for i in range(k):
+        flips[rows, mix64(samples[i].astype(np.uint64) + (np.uint64(i) << np.uint64(32))) % np.uint64(bits)] ^= 1
     return np.packbits(flips, axis=1).view(np.uint64)
 
 
-def estimate(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+def estimate(left: np.ndarray, right: np.ndarray, samples: int = SAMPLES, bits: int = SKETCH_BITS) -> np.ndarray:
     """Similarities of the pairs of sketches left[i], right[i]."""
     odd = np.bitwise_count(left ^ right).sum(axis=1, dtype=np.int64)
-    different = -SKETCH_BITS / 2 * np.log(np.maximum(1 - 2 * odd / SKETCH_BITS, 1e-9))
-    return 1 - different / (2 * SAMPLES)
+    different = -bits / 2 * np.log(np.maximum(1 - 2 * odd / bits, 1e-9))
+    return 1 - different / (2 * samples)
 
 
 _SIGNED = "doc_id long, n_shingles long, node long, bands array<long>, sketch binary"
@@ -126,24 +129,31 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.mapInArrow(run, _SIGNED)
 
 
-def _sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
-    """node, set of the documents (rep, node)."""
+def _node(own: np.ndarray) -> int:
+    return int(mix64(np.add.reduce(mix64(own ^ np.uint64(0x5851F42D4C957F2D)), keepdims=True) + np.uint64(len(own))).astype(np.int64)[0])
+
+
+def _sets(docs: DataFrame, nodes: DataFrame, shingle: int, precise: bool = False) -> DataFrame:
+    """node, and the set (or its precise sketch) of the documents (rep, node)."""
+    name = "precise" if precise else "set"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, limit=1 << 20):
             sets, sizes = shingle_sets([x or b"" for x in col(batch, "text").cast(pa.binary()).to_pylist()], shingle)
             at = np.cumsum(sizes) - sizes
-            own = [mix64(np.add.reduce(mix64(sets[a : a + n] ^ np.uint64(0x5851F42D4C957F2D)), keepdims=True) + np.uint64(n)).astype(np.int64)[0] for a, n in zip(at, sizes)]
-            keep = [k for k, (x, y) in enumerate(zip(own, col(batch, "node").to_pylist())) if x == y]  # of several rows of an id, the one meant
-            yield pa.RecordBatch.from_arrays([pa.array([int(own[k]) for k in keep], pa.int64()), pa.array([sets[at[k] : at[k] + sizes[k]].tobytes() for k in keep], pa.binary())], names=["node", "set"])
-
-    found = docs.join(nodes.select(F.col("rep").alias("doc_id"), "node"), "doc_id").select("node", "text").mapInArrow(run, "node long, set binary")
+            # of several rows of an id, the one meant
+            own = [(want, x) for x, want in zip((sets[a : a + n] for a, n in zip(at, sizes)), col(batch, "node").to_pylist()) if len(x) and _node(x) == want]
+            values = [x for _, x in own]
+            if precise and own:
+                values = odd_sketches(minhashes(np.concatenate(values), np.array([len(x) for x in values]), PRECISE_SAMPLES), PRECISE_BITS)
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in own], pa.int64()), pa.array([x.tobytes() for x in values], pa.binary())], names=["node", name])
+
+    found = docs.join(nodes.select(F.col("rep").alias("doc_id"), "node"), "doc_id").select("node", "text").mapInArrow(run, f"node long, {name} binary")
     return found.dropDuplicates(["node"])
 
 
-def _confirm(links: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, stored: list[Stored]) -> DataFrame:
-    """Of the candidates (a, b), those whose full sets are similar enough."""
-    spark = docs.sparkSession
+def _confirm(links: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, stored: list[Stored]) -> DataFrame | None:
+    """Of the candidates (a, b), those whose full sets are similar enough; None if sketches let none of them through."""
     small = classes.select("node", "rep", "n_shingles", "sketch")
     left, right = (small.select(*(F.col(c).alias(f"{c}_{s}") for c in small.columns)) for s in "ab")
 
@@ -156,6 +166,9 @@ def _confirm(links: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int
 
     near = links.join(left, F.col("a") == F.col("node_a")).join(right, F.col("b") == F.col("node_b")).where(100 * F.least("n_shingles_a", "n_shingles_b") >= PERCENT * F.greatest("n_shingles_a", "n_shingles_b"))
     likely = Stored(near.select("a", "b", "sketch_a", "sketch_b").mapInArrow(sketched, "a long, b long"), "likely")
+    if not likely.df.count():
+        likely.drop()
+        return None
     nodes = likely.df.select(F.col("a").alias("node")).union(likely.df.select("b")).distinct()
     sets = Stored(_sets(docs, nodes.join(classes.select("node", "rep"), "node"), shingle), "sets", "snappy")
 
@@ -203,57 +216,74 @@ def components(links: DataFrame) -> Stored:
     return edges
 
 
-def _stragglers(members: DataFrame, buckets: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame:
-    """Candidates (a, b) of one bucket in different components, one of them outside the bucket's largest, by their sketches."""
-    spark = members.sparkSession
-    # with two classes, the pair with the first was all
-    rows = members.join(buckets.where("n > 2"), "bucket").join(roots, "node", "left").select("bucket", "node", "lead", F.coalesce("root", "node").alias("root"))
+def _open_rows(inner: DataFrame, leads: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of buckets in several components, with the largest of these and how many blocks the bucket makes."""
+    # with two classes, the pair with the leading one was all
+    rows = inner.where("n > 2").join(leads, "bucket").join(roots, "node", "left").select("bucket", "node", "lead", F.coalesce("root", "node").alias("root"))
     by_root = rows.groupBy("bucket", "root").agg(F.count("*").alias("n"))
     open_ = by_root.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("n"), F.count("*").alias("k")).where("k > 1")
     blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
-    rows = rows.join(open_.select("bucket", "main", blocks(F.col("n")).alias("all_blocks"), blocks(F.col("n") - F.col("most")).alias("some_blocks")), "bucket")
+    return rows.join(open_.select("bucket", "main", blocks(F.col("n")).alias("all_blocks"), blocks(F.col("n") - F.col("most")).alias("some_blocks")), "bucket")
+
+
+def _stragglers(rows: DataFrame, sketches: DataFrame, best: bool) -> DataFrame:
+    """Likely pairs (a, b) of one bucket in different components, one of them outside the bucket's largest.
+
+    best: of each straggler only the likeliest, in each block.
+    """
     own = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
-    rows = rows.join(classes.select("node", "n_shingles", "sketch"), "node")
-    kept = ["bucket", "node", "root", "lead", "n_shingles", "sketch"]
+    rows = rows.join(sketches, "node")
+    kept = ["bucket", "node", "root", "lead", "n_shingles", "bands", "precise"]
     every = rows.select(*kept, F.lit(False).alias("out"), own(F.col("all_blocks")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("some_blocks") - 1)).alias("j"))
     outside = rows.where("root <> main").select(*kept, F.lit(True).alias("out"), F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("i"), own(F.col("some_blocks")).alias("j"))
-    ordered = every.union(outside).withColumn("block", F.xxhash64("bucket", "i", "j")).repartition(partitions(spark), "block").sortWithinPartitions("block", "bucket", "out", "node")
+    ordered = every.union(outside).withColumn("block", F.xxhash64("bucket", "i", "j")).repartition(partitions(rows.sparkSession), "block").sortWithinPartitions("block", "bucket", "out", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
+            if not len(batch):
+                continue
             held.append(batch)
             table = pa.Table.from_batches(held)
             block = table.column("block").to_numpy()
-            last = int(np.searchsorted(block != block[-1], False)) if len(block) else 0
-            last = int(np.flatnonzero(block != block[-1])[-1]) + 1 if len(block) and (block != block[-1]).any() else 0
-            if last:
-                yield from compare(table.slice(0, last))
-                held = table.slice(last).to_batches()
+            others = np.flatnonzero(block != block[-1])
+            if len(others):
+                yield from compare(table.slice(0, int(others[-1]) + 1))
+                held = table.slice(int(others[-1]) + 1).to_batches()
         if held:
             yield from compare(pa.Table.from_batches(held))
 
     def compare(table: pa.Table) -> Iterator[pa.RecordBatch]:
         get = lambda c: table.column(c).to_numpy()
-        block, out, node, root, lead, size = (get(c) for c in ("block", "out", "node", "root", "lead", "n_shingles"))
-        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(block), -1)
+        block, bucket, out, node, root, lead, size = (get(c) for c in ("block", "bucket", "out", "node", "root", "lead", "n_shingles"))
+        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(block), BANDS)
+        sketch = np.frombuffer(b"".join(table.column("precise").to_pylist()), np.uint64).reshape(len(block), -1)
         begin = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
-        count = np.diff(np.r_[begin, len(block)])
         outs = np.add.reduceat(out.astype(np.int64), begin)
-        alls = count - outs
-        # each straggler with the classes of its block, some at a time
+        alls = np.diff(np.r_[begin, len(block)]) - outs
+        # each straggler with the classes of its block, some stragglers at a time
         lone = np.flatnonzero(out)
         of = np.repeat(np.arange(len(begin)), outs)
-        step = max(1, 200_000 // max(1, int(alls.max())))
+        step = max(1, 20_000 // max(1, int(alls.max())))
         for k in range(0, len(lone), step):
             s, g = lone[k : k + step], of[k : k + step]
             x = np.repeat(s, alls[g])
             y = np.repeat(begin[g], alls[g]) + np.arange(len(x)) - np.repeat(np.cumsum(alls[g]) - alls[g], alls[g])
             fit = (root[x] != root[y]) & (node[x] != lead[x]) & (node[y] != lead[x]) & (100 * np.minimum(size[x], size[y]) >= PERCENT * np.maximum(size[x], size[y]))
             x, y = x[fit], y[fit]
-            near = estimate(sketch[x], sketch[y]) >= LEAST_ESTIMATE
-            x, y = node[x[near]], node[y[near]]
-            pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
+            likely = estimate(sketch[x], sketch[y], PRECISE_SAMPLES, PRECISE_BITS)
+            near = likely >= PRECISE_ESTIMATE
+            x, y, likely = x[near], y[near], likely[near]
+            # a pair counts in the first bucket that it shares
+            here = bands[x, (bands[x] == bands[y]).argmax(axis=1)] == bucket[x]
+            x, y, likely = x[here], y[here], likely[here]
+            if best and len(x):
+                order = np.lexsort((node[y], -likely, x))
+                x, y = x[order], y[order]
+                first = np.r_[True, x[1:] != x[:-1]]
+                x, y = x[first], y[first]
+            p, q = node[x], node[y]
+            pairs = np.unique(np.stack([np.minimum(p, q), np.maximum(p, q)]), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0], pa.int64()), pa.array(pairs[1], pa.int64())], names=["a", "b"])
 
     return ordered.mapInArrow(run, "a long, b long").distinct()
@@ -274,17 +304,26 @@ def near_duplicates(docs: DataFrame, shingle: int = 5) -> DataFrame:
     signed = Stored(signatures(docs, shingle), "signed")
     classes = Stored(signed.df.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
     members = classes.df.select("node", F.explode("bands").alias("bucket"))
-    buckets = members.groupBy("bucket").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1")
-    shared = Stored(buckets, "buckets")
-    stars = members.join(shared.df, "bucket").where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
-    first = _confirm(stars, classes.df, docs, shingle, stored)
-    roots = components(first)
-    more = _confirm(_stragglers(members, shared.df, roots.df, classes.df), classes.df, docs, shingle, stored)
-    final = components(roots.df.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
-    rooted = classes.df.select("node", "rep").join(final.df, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
+    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    inner = Stored(members.join(shared, "bucket"), "buckets")
+    popular = inner.df.groupBy("node").agg(F.sum("n").alias("popular"))
+    leads = Stored(inner.df.join(popular, "node").groupBy("bucket").agg(F.max_by("node", F.struct("popular", "node")).alias("lead")), "leads")
+    links = _confirm(inner.df.join(leads.df, "bucket").where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct(), classes.df, docs, shingle, stored)
+    roots = components(links if links is not None else inner.df.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0))
+    rows = _open_rows(inner.df, leads.df, roots.df)
+    nodes = rows.select("node").distinct().join(classes.df.select("node", "rep", "n_shingles"), "node")
+    precise = Stored(_sets(docs, nodes, shingle, precise=True).join(classes.df.select("node", "n_shingles", "bands"), "node"), "precise")
+    for best in (True, False):
+        more = _confirm(_stragglers(_open_rows(inner.df, leads.df, roots.df), precise.df, best), classes.df, docs, shingle, stored)
+        if more is None:
+            break  # nothing that is likely is apart
+        merged = components(roots.df.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+        roots.drop()
+        roots = merged
+    rooted = classes.df.select("node", "rep").join(roots.df, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = Stored(rooted.join(least, "root").select("node", "component_id"), "components")
-    for s in (*stored, classes, shared, roots, final):
+    for s in (*stored, classes, inner, leads, precise, roots):
         s.drop()
     rows = signed.df.select("doc_id", "n_shingles", "node").join(named.df, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
@@ -293,3 +332,30 @@ def near_duplicates(docs: DataFrame, shingle: int = 5) -> DataFrame:
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), shingle=2)
+
+
+#: Exact, by prefixes of each set with its rarest shingles first: sets of similarity 0.8 share a shingle of those.
+OP3_SQL = """
+with recursive raw as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\x09-\\x0D]+'), lambda x: x <> '') as w from documents
+), shingles as (
+  select distinct doc_id, s from (select doc_id, case when len(w) = 1 then w[1] else w[i] || ' ' || w[i + 1] end as s from (select doc_id, w, unnest(range(1, greatest(len(w), 2))) as i from raw where len(w) > 0))
+), counted as (
+  select doc_id, s, count(*) over (partition by doc_id) as n, count(*) over (partition by s) as df from shingles
+), ranked as (
+  select *, row_number() over (partition by doc_id order by df, s) as r from counted
+), prefixes as (
+  select * from ranked where r <= n - (8 * n + 9) // 10 + 1
+), candidates as (
+  select distinct a.doc_id as x, b.doc_id as y, a.n as nx, b.n as ny from prefixes a join prefixes b on a.s = b.s and a.doc_id < b.doc_id and 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+), links as (
+  select x, y from (select c.x, c.y, nx, ny, count(*) as shared from candidates c join shingles a on a.doc_id = c.x join shingles b on b.doc_id = c.y and a.s = b.s group by all) where 100 * shared >= 80 * (nx + ny - shared)
+), edges as (
+  select x, y from links union all select y, x from links
+), reach as (
+  select doc_id, doc_id as other from documents union select r.doc_id, e.y from reach r join edges e on e.x = r.other
+), sizes as (
+  select doc_id, count(*) as n from shingles group by doc_id
+)
+select doc_id, coalesce(any_value(n), 0)::bigint as n_shingles, min(other) as component_id, min(other) = doc_id as kept from reach left join sizes using (doc_id) group by doc_id
+"""
