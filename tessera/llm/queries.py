@@ -6,7 +6,7 @@ from .fingerprint import op6_fingerprint
 from .id_files import op9_id_files
 from .language_id import op1_language_id
 from .line_dedup import OP5_SQL, op5_line_dedup
-from .near_dedup import op3_near_dedup
+from .near_dedup import OP3_SQL, op3_near_dedup
 from .packing import op7_packing
 from .pii import op10_pii
 from .prefix_bpe import op8_prefix_bpe
@@ -14,4 +14,4 @@ from .quality_mil import op2_quality_mil
 from .quality_rules import OP4_SQL, op4_quality_rules
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality_mil, op3_near_dedup, op4_quality_rules, op5_line_dedup, op6_fingerprint, op7_packing, op8_prefix_bpe, op9_id_files, op10_pii)}
-ORACLES = {"op4_quality_rules": OP4_SQL, "op5_line_dedup": OP5_SQL}
+ORACLES = {"op3_near_dedup": OP3_SQL, "op4_quality_rules": OP4_SQL, "op5_line_dedup": OP5_SQL}
