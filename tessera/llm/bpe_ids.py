@@ -8,6 +8,7 @@ Strings of special tokens that stand in a text are ordinary text.
 from __future__ import annotations
 
 import json
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -41,5 +42,7 @@ def encoder(path: str, pattern: str) -> tiktoken.Encoding:
 
 def encode(enc: tiktoken.Encoding, text: str, end_id: int | None = None) -> np.ndarray:
     """Little-endian unsigned 32-bit ids of a whole text, and the end id if there is one."""
-    ids = enc.encode_to_numpy(text, disallowed_special=())
-    return np.append(ids, np.uint32(end_id)).astype("<u4") if end_id is not None else ids.astype("<u4")
+    ids = array("I", enc.encode_ordinary(text))  # faster than the engine's own way to numpy
+    if end_id is not None:
+        ids.append(end_id)
+    return np.frombuffer(ids, np.uint32).astype("<u4", copy=False)
