@@ -479,7 +479,7 @@ def _rhymes(d):
     return words.select("word", F.right("word", F.lit(2)).alias("key"))
 
 
-@query(f"with l as (select doc_id, {_LINES} as lines from documents), e as (select doc_id, {_END('lines[1]')} as a, {_END('lines[2]')} as b from l where len(lines) >= 2) select doc_id, coalesce(list_max(list_filter(range(0, least(length(a), length(b)) + 1), lambda n: right(a, n::int) = right(b, n::int))), 0)::int as shared from e where a is not null and b is not null")
+@query(f"with l as (select doc_id, {_LINES} as lines from documents), e as (select doc_id, {_END('lines[1]')} as a, {_END('lines[2]')} as b from l where len(lines) >= 2) select doc_id, coalesce(list_max(list_filter(range(0, least(length(a), length(b)) + 1), lambda n: right(a, n::int) = right(b, n::int))), 0)::int as shared from e where a is not null and b is not null", name="common_suffix")
 def common_suffix_length(spark, sf_dir):
     c = X.couplets(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").where("size(lines) >= 2 and w1 is not null and w2 is not null")
     return c.select("doc_id", common_suffix(F.col("w1"), F.col("w2")).alias("shared"))
@@ -489,7 +489,7 @@ def _fake(rows, column):
     return rows.withColumn("slot_logp", -F.length("w") / 1.0).drop("text") if column == "slot" else rows.withColumn("logp", -F.length("text") / 10.0).withColumn("eos_logp", F.lit(-1.0)).drop("text")
 
 
-@query()
+@query(name="build_split")
 def minimal_pairs(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "text").where(F.length("text") < 2000)
     # the first two lines of each text stand for a couplet

@@ -650,3 +650,74 @@ def t2_diagnose(spark, sf_dir):
     head = F.array(*(F.lit(float(x)) for x in w))
     s = rows.withColumn("r_chosen", N.dot(F.col("c"), head)).withColumn("r_rejected", N.dot(F.col("r"), head)).withColumn("even", F.col("id") % 2 == 0)
     return diagnose(s, ["even"], w, "d")
+
+
+@query("select p_partkey, -length(p_name)::double as slot_logp from part")
+def slot_logprobs(spark, sf_dir):
+    from ..operators import seams
+
+    p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("prompt"), F.col("p_name").alias("chosen"), F.lit("").alias("rejected"))
+    return seams.score_pairs(p, lambda prompts, responses: [-len(r) for r in responses]).select("p_partkey", F.col("r_chosen").alias("slot_logp"))
+
+
+@query("select p_partkey, round(-0.5 * len(string_split(p_name, ' ')), 9) as logp from part")
+def logps(spark, sf_dir):
+    lp = F.transform(F.split("p_name", " "), lambda w: F.lit(-0.5))
+    # the first position predicts nothing: one more is put before the words
+    row = F.concat(F.array(F.lit(0.0)), lp)
+    return _round(table(spark, sf_dir, "part").select("p_partkey", K.sequence_logprob(row, F.transform(row, lambda x: F.lit(1))).alias("logp")), digits=9)
+
+
+@query("select p_partkey, 3 as n_constraints, true as answered from part")
+def judge_call(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("1. a\n2. b\n3. "), "p_name").alias("prompt"))
+    out = J.call(rows, "prompt", J.fake_transport)
+    return out.select("p_partkey", F.size(F.from_json("raw", J.REPLY)["constraints"]).alias("n_constraints"), F.col("raw").isNotNull().alias("answered"))
+
+
+@query(f"with {SCORED_SQL} select a.uid, round(a.policy_chosen - b.ref_chosen, 9) as logratio from scored a join scored b on a.uid = b.uid")
+def make_reference(spark, sf_dir):
+    """The cache if it fits the run, made where it is missing."""
+    path = _folder(spark, "reference")
+    s = scored(spark, sf_dir)
+    header = {"fingerprint": K.fingerprint("m", "sum"), "data_digest": "d", "length_norm": "sum"}
+    s.select("uid", F.col("ref_chosen").alias("chosen"), F.col("ref_rejected").alias("rejected")).write.parquet(path)
+    L.check_cache(header, K.fingerprint("m", "sum"), "d", "sum")
+    found = L.reference_lookup(s.select("uid", "policy_chosen"), spark.read.parquet(path))
+    return _round(found.select("uid", (F.col("policy_chosen") - F.col("ref_chosen")).alias("logratio")), digits=9)
+
+
+@query()
+def train_reward(spark, sf_dir):
+    """A reward head over frozen vectors, and what it scores."""
+    rows = _delta(spark, sf_dir)
+    w = V.linear_probe(rows, "d")
+    head = F.array(*(F.lit(float(x)) for x in w))
+    return _round(M.pair_metrics(rows.select(N.dot(F.col("c"), head).alias("r_chosen"), N.dot(F.col("r"), head).alias("r_rejected"))))
+
+
+@query("select 'val_frac' as key, '0.3' as value union all select 'method', 'random'")
+def config_coerce(spark, sf_dir):
+    from .. import config
+
+    cfg = config.override(config.Config(), ["split.val_frac=0.3", "split.method=random"])
+    return spark.createDataFrame([("val_frac", str(cfg.split.val_frac)), ("method", cfg.split.method)], "key string, value string")
+
+
+@query("select p_partkey, length(p_name) * 2.0::double as reward from part")
+def udf_score_fn(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", (F.length("p_name") * 2.0).cast("double").alias("reward"))
+
+
+@query(f"with {PAIRS_SQL} select 'has_the' as name, round(avg(contains(chosen, 'the')::int), 9) as p_chosen, round(avg(contains(rejected, 'the')::int), 9) as p_rejected from pairs")
+def udf_probe(spark, sf_dir):
+    return _round(A.surface_probes(pairs(spark, sf_dir), {"has_the": lambda t: F.contains(t, F.lit("the"))}).select("name", "p_chosen", "p_rejected"), digits=9)
+
+
+@query("select doc_id, (length(text) % 7)::double as first from documents")
+def udf_embed_backend(spark, sf_dir):
+    """An encoder of one's own in the place of the default one."""
+    encode = lambda rows: rows.select("sha", F.array((F.length("text") % 7).cast("double")).alias("vector"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    none = spark.createDataFrame([], "sha string, vector array<double>")
+    return d.withColumn("sha", F.sha2("text", 256)).join(L.embed_missing(d.select("text"), none, encode), "sha").select("doc_id", F.get("vector", F.lit(0)).alias("first"))
