@@ -77,14 +77,14 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     uid = F.col("l_orderkey") * 10 + F.col("l_linenumber")
     return x.select(
         uid.alias("uid"), (F.col("l_extendedprice") / 10000).alias("r_chosen"), (F.floor("l_quantity") / 10).alias("r_rejected"), (-F.col("l_quantity") / 5).alias("policy_chosen"), (-F.col("l_extendedprice") / 10000).alias("policy_rejected"),
-        (-F.col("l_tax") * 100).alias("ref_chosen"), (-F.col("l_discount") * 100).alias("ref_rejected"), F.create_map(F.lit("flag"), "l_returnflag", F.lit("status"), "l_linestatus").alias("slices"),
+        (F.lit(0.0) - F.col("l_tax") * 100).alias("ref_chosen"), (F.lit(0.0) - F.col("l_discount") * 100).alias("ref_rejected"), F.create_map(F.lit("flag"), "l_returnflag", F.lit("status"), "l_linestatus").alias("slices"),
     )
 
 
 SCORED_SQL = """
 scored as (
   select l_orderkey * 10 + l_linenumber as uid, l_extendedprice / 10000 as r_chosen, floor(l_quantity) / 10 as r_rejected, -l_quantity / 5 as policy_chosen, -l_extendedprice / 10000 as policy_rejected,
-    -l_tax * 100 as ref_chosen, -l_discount * 100 as ref_rejected, l_returnflag as flag, l_linestatus as status
+    0 - l_tax * 100 as ref_chosen, 0 - l_discount * 100 as ref_rejected, l_returnflag as flag, l_linestatus as status
   from lineitem
 )
 """

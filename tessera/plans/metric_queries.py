@@ -198,7 +198,7 @@ def union_files(spark, sf_dir):
 # --- lookups -------------------------------------------------------------------------------------------------------------------
 
 
-@query(f"with {SCORED_SQL} select uid, policy_chosen, round(-l_tax * 100, 9) as ref_chosen, round(-l_discount * 100, 9) as ref_rejected from scored join (select l_orderkey * 10 + l_linenumber as uid, l_tax, l_discount from lineitem) using (uid)")
+@query(f"with {SCORED_SQL} select uid, policy_chosen, round(0 - l_tax * 100, 9) as ref_chosen, round(0 - l_discount * 100, 9) as ref_rejected from scored join (select l_orderkey * 10 + l_linenumber as uid, l_tax, l_discount from lineitem) using (uid)")
 def ref_cache_lookup(spark, sf_dir):
     s = scored(spark, sf_dir)
     cache = s.select("uid", F.round("ref_chosen", 9).alias("chosen"), F.round("ref_rejected", 9).alias("rejected"))

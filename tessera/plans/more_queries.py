@@ -660,7 +660,7 @@ def slot_logprobs(spark, sf_dir):
     return seams.score_pairs(p, lambda prompts, responses: [-len(r) for r in responses]).select("p_partkey", F.col("r_chosen").alias("slot_logp"))
 
 
-@query("select p_partkey, round(-0.5 * len(string_split(p_name, ' ')), 9) as logp from part")
+@query("select p_partkey, round(-0.5::double * len(string_split(p_name, ' ')), 9) as logp from part")
 def logps(spark, sf_dir):
     lp = F.transform(F.split("p_name", " "), lambda w: F.lit(-0.5))
     # the first position predicts nothing: one more is put before the words
