@@ -6,13 +6,20 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
 from . import metrics as M
 from . import vectors as V
 
 
+def _settled(block: DataFrame) -> DataFrame:
+    """A block's one row, computed once."""
+    return block.sparkSession.createDataFrame(block.collect(), block.schema)
+
+
 def profile(rows: DataFrame, masks: list[str], min_pairs: int = 100, min_confident: int = 500, isolated: float = 0.5, offtopic: float = 0.2) -> DataFrame:
     """One row over pairs with vectors p, c, r, delta (c - r), key and boolean columns masks; degenerate vectors end it early."""
-    health = V.embedding_health(rows, "c").select("n_texts", "mean_norm", "frac_zero_vectors", "effective_rank", F.col("status").alias("health_status"))
+    rows = checkpointed(rows)  # every block reads it
+    health = _settled(V.embedding_health(rows, "c").select("n_texts", "mean_norm", "frac_zero_vectors", "effective_rank", F.col("status").alias("health_status")))
     if health.first().health_status != "ok":
         return health
     n = rows.count()
@@ -23,7 +30,7 @@ def profile(rows: DataFrame, masks: list[str], min_pairs: int = 100, min_confide
     diverse = V.diversity(rows, {"prompt": "p", "chosen": "c", "rejected": "r"}, V.nearest(keyed, keyed, "key", "v", 0.95), isolated).withColumnRenamed("status", "diversity_status")
     out = health
     for block in (sep, delta, ground, diverse):
-        out = out.crossJoin(block.drop(*out.columns))  # one row each
+        out = out.crossJoin(_settled(block.drop(*out.columns)))  # one row each
     return out
 
 
