@@ -3,23 +3,31 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import checkpointed
 from . import metrics as M
 from . import vectors as V
 
 
-def _settled(block: DataFrame) -> DataFrame:
-    """A block's one row, computed once."""
-    return block.sparkSession.createDataFrame(block.collect(), block.schema)
+def _one_row(spark: SparkSession, blocks: list[DataFrame]) -> DataFrame:
+    """The single rows of all blocks side by side, each computed once; of equal names the first counts."""
+    fields: dict[str, T.StructField] = {}
+    values: dict[str, object] = {}
+    for block in blocks:
+        row = block.first()
+        for f in block.schema.fields:
+            if f.name not in fields:
+                fields[f.name], values[f.name] = T.StructField(f.name, f.dataType), row[f.name]
+    return spark.createDataFrame([tuple(values.values())], T.StructType(list(fields.values()))).coalesce(1)
 
 
 def profile(rows: DataFrame, masks: list[str], min_pairs: int = 100, min_confident: int = 500, isolated: float = 0.5, offtopic: float = 0.2) -> DataFrame:
     """One row over pairs with vectors p, c, r, delta (c - r), key and boolean columns masks; degenerate vectors end it early."""
     rows = checkpointed(rows)  # every block reads it
-    health = _settled(V.embedding_health(rows, "c").select("n_texts", "mean_norm", "frac_zero_vectors", "effective_rank", F.col("status").alias("health_status")))
+    health = _one_row(rows.sparkSession, [V.embedding_health(rows, "c").select("n_texts", "mean_norm", "frac_zero_vectors", "effective_rank", F.col("status").alias("health_status"))])
     if health.first().health_status != "ok":
         return health
     n = rows.count()
@@ -28,10 +36,7 @@ def profile(rows: DataFrame, masks: list[str], min_pairs: int = 100, min_confide
     ground = V.grounding(rows, "p", "c", "r", offtopic)
     keyed = rows.select(F.col("key").alias("key"), F.col("p").alias("v"))
     diverse = V.diversity(rows, {"prompt": "p", "chosen": "c", "rejected": "r"}, V.nearest(keyed, keyed, "key", "v", 0.95), isolated).withColumnRenamed("status", "diversity_status")
-    out = health
-    for block in (sep, delta, ground, diverse):
-        out = out.crossJoin(_settled(block.drop(*out.columns)))  # one row each
-    return out
+    return _one_row(rows.sparkSession, [health, sep, delta, ground, diverse])
 
 
 def diagnose(scored: DataFrame, masks: list[str], weights: np.ndarray, delta: str) -> DataFrame:
