@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import common_suffix, fill_template, split_constraints, text_lines
+from ..functions.text import common_suffix, fill_template, split_constraints
 from ..operators import judge as J
 from ..operators import ledger as L
 from ..operators import metrics as M
@@ -489,21 +489,19 @@ def _fake(rows, column):
     return rows.withColumn("slot_logp", -F.length("w") / 1.0).drop("text") if column == "slot" else rows.withColumn("logp", -F.length("text") / 10.0).withColumn("eos_logp", F.lit(-1.0)).drop("text")
 
 
+def _minimal(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return X.build_split(d, "doc_id", "text", _rhymes(d), lambda r: _fake(r, "slot"), lambda r: _fake(r, "score"))
+
+
 @query(name="build_split")
 def minimal_pairs(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", "text").where(F.length("text") < 2000)
-    # the first two lines of each text stand for a couplet
-    two = d.select("doc_id", F.concat_ws("\n", F.slice(text_lines(F.col("text")), 1, 2)).alias("text"))
-    made, _ = X.build_split(two, "doc_id", "text", _rhymes(two), lambda r: _fake(r, "slot"), lambda r: _fake(r, "score"))
-    return made.select("doc_id", "near_miss", "replacement", F.round("gap", 6).alias("gap"))
+    return _minimal(spark, sf_dir)[0].select("doc_id", "near_miss", "replacement", F.round("gap", 6).alias("gap"))
 
 
 @query()
 def minimal_reasons(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", "text").where(F.length("text") < 2000)
-    two = d.select("doc_id", F.concat_ws("\n", F.slice(text_lines(F.col("text")), 1, 2)).alias("text"))
-    _, reasons = X.build_split(two, "doc_id", "text", _rhymes(two), lambda r: _fake(r, "slot"), lambda r: _fake(r, "score"))
-    return reasons.groupBy("reason").agg(F.count("*").alias("n"))
+    return _minimal(spark, sf_dir)[1].groupBy("reason").agg(F.count("*").alias("n"))
 
 
 @query("select p_partkey, list_filter(list_transform(string_split(p_name || ' | ' || p_type || '||  ', '|'), lambda x: trim(x)), lambda x: x <> '') as constraints from part", name="split_constraints")
