@@ -5,6 +5,7 @@ import string
 from collections import Counter
 
 import __spark_entry__
+from tessera.llm import near_dedup
 
 QUERIES = __spark_entry__.queries()
 
@@ -43,3 +44,9 @@ def test_minimal_pairs_of_whole_texts(spark, tmp_path):
     assert len(texts) - 5 in {r[0] for r in got}  # the long couplet
     reasons = {r.reason: r.n for r in QUERIES["minimal_reasons"](spark, sf).collect()}
     assert reasons == Counter(None if isinstance(w, list) else w for w in want) and reasons["not two lines"] > 3
+
+
+def test_unlucky_pair_of_near_duplicates(spark):
+    shared = " ".join(f"w327595x{k}" for k in range(8))  # 8 of 10 words shared, and coarse sketches that estimate 0.605
+    docs = spark.createDataFrame([(1, f"{shared} p327595"), (2, f"{shared} q327595")], "doc_id long, text string")
+    assert [(r.doc_id, r.component_id) for r in near_dedup.near_duplicates(docs, shingle=1).orderBy("doc_id").collect()] == [(1, 1), (2, 1)]
