@@ -2,7 +2,7 @@
 
 The vocabulary is read from the tokenizer's JSON file, whose ids are the order of its merges; a merge engine over these
 ranks then gives the same ids as the tokenizers library at about four times its speed (see README for the figures).
-Strings of special tokens that stand in a text are ordinary text.
+The library matches the file's added tokens in texts first; texts that contain one are left to the library itself.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from functools import lru_cache
 
 import numpy as np
 import tiktoken
+from tokenizers import Tokenizer
 
 
 @lru_cache(maxsize=1)
@@ -40,9 +41,24 @@ def encoder(path: str, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+@lru_cache(maxsize=4)
+def added(path: str) -> tuple[str, ...]:
+    """The strings that the library matches in a text before all others."""
+    with open(path, encoding="utf-8") as f:
+        return tuple(t["content"] for t in json.load(f).get("added_tokens") or ())
+
+
+@lru_cache(maxsize=4)
+def _library(path: str) -> Tokenizer:
+    return Tokenizer.from_file(path)
+
+
 def encode(enc: tiktoken.Encoding, text: str, end_id: int | None = None) -> np.ndarray:
     """Little-endian unsigned 32-bit ids of a whole text, and the end id if there is one."""
-    ids = array("I", enc.encode_ordinary(text))  # faster than the engine's own way to numpy
+    if any(t in text for t in added(enc.name)):
+        ids = array("I", _library(enc.name).encode(text, add_special_tokens=False).ids)
+    else:
+        ids = array("I", enc.encode_ordinary(text))  # faster than the engine's own way to numpy
     if end_id is not None:
         ids.append(end_id)
     return np.frombuffer(ids, np.uint32).astype("<u4", copy=False)

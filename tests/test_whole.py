@@ -4,8 +4,12 @@ import math
 import string
 from collections import Counter
 
+import numpy as np
+import public_tokenizers
+from tokenizers import Tokenizer
+
 import __spark_entry__
-from tessera.llm import near_dedup
+from tessera.llm import bpe_ids, near_dedup
 
 QUERIES = __spark_entry__.queries()
 
@@ -50,3 +54,13 @@ def test_unlucky_pair_of_near_duplicates(spark):
     shared = " ".join(f"w327595x{k}" for k in range(8))  # 8 of 10 words shared, and coarse sketches that estimate 0.605
     docs = spark.createDataFrame([(1, f"{shared} p327595"), (2, f"{shared} q327595")], "doc_id long, text string")
     assert [(r.doc_id, r.component_id) for r in near_dedup.near_duplicates(docs, shingle=1).orderBy("doc_id").collect()] == [(1, 1), (2, 1)]
+
+
+def test_ids_of_texts_with_added_tokens():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, own = Tokenizer.from_file(path), bpe_ids.encoder(path, public_tokenizers.PATTERN)
+    end = "<|endoftext|>"
+    assert bpe_ids.encode(own, f"a {end} b").tolist() == [64, 220, 50256, 275]
+    for t in (end, end * 3, f" {end}\n\n{end} ", f"<|{end}", "<|endoftext|", f"ä{end[:-1]}{end}", f"{'many words ' * 2000}{end}x"):
+        assert bpe_ids.encode(own, t).tolist() == library.encode(t, add_special_tokens=False).ids, t[-40:]
+    assert bpe_ids.encode(own, end, 2).tolist() == [50256, 2] and bpe_ids.encode(own, end, 2).dtype == np.dtype("<u4")
