@@ -24,8 +24,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes lines that are boilerplate of their source out of the texts; no document goes."""
-    return _sized(line_dedup.drop_boilerplate(docs), docs.columns)
+    """Takes lines that are boilerplate of their source out of the texts; no document goes. Copies of a page count once, so that
+    the lines of a large group of copies stay for the next stage to find it."""
+    return _sized(line_dedup.drop_boilerplate(docs, copies=False), docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

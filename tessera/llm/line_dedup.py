@@ -2,7 +2,7 @@
 
 For every host, a line's frequency is the share of the host's pages that contain it. Lines over the boilerplate ratio are
 dropped from the host's pages. Lines are compared by a 64-bit hash of their text without blanks around it; a page counts
-once for a line, however often it has it.
+once for a line, however often it has it. Copies of a page count each, or, as in the pipeline, once.
 """
 
 from __future__ import annotations
@@ -32,26 +32,32 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def boilerplate(docs: DataFrame, host: str, text: str, ratio: float, min_pages: int) -> DataFrame:
+def boilerplate(docs: DataFrame, host: str, text: str, ratio: float, min_pages: int, copies: bool = True) -> DataFrame:
     """host, dropped (hashes of its boilerplate lines). A page has few lines over the ratio, so a host has few of them in all:
-    no more than the mean number of lines of its pages divided by the ratio."""
-    pages = docs.where(F.col(host).isNotNull() & F.col(text).isNotNull()).select(F.col(host).alias("_host"), F.col(text).alias("_text"))
+    no more than the mean number of lines of its pages divided by the ratio. Without copies, a host's pages are its distinct texts."""
+    hosted = docs.where(F.col(host).isNotNull()).select(F.col(host).alias("_host"), F.col(text).alias("_text"))
+    pages = hosted.where(F.col("_text").isNotNull())
     # hashes first, then the distinct ones of a page; -1 and the hash of a blank line are left out
     keys = F.array_distinct(F.transform(F.filter(_lines(F.col("_text")), lambda x: _trim(x) != ""), _key))
-    counted = pages.select("_host", F.explode(keys).alias("_line")).groupBy("_host", "_line").agg(F.count("*").alias("_with")).where(F.col("_with") >= min_pages)
-    totals = docs.where(F.col(host).isNotNull()).groupBy(F.col(host).alias("_host")).agg(F.count("*").alias("_pages"))
+    if copies:
+        bags = pages.select("_host", keys.alias("_keys"))
+    else:  # hashes of texts and lines are shuffled, not texts
+        bags = pages.select("_host", F.xxhash64("_text").alias("_page"), keys.alias("_keys")).dropDuplicates(["_host", "_page"])
+        hosted = hosted.select("_host", F.xxhash64("_text").alias("_page")).distinct()
+    counted = bags.select("_host", F.explode("_keys").alias("_line")).groupBy("_host", "_line").agg(F.count("*").alias("_with")).where(F.col("_with") >= min_pages)
+    totals = hosted.groupBy("_host").agg(F.count("*").alias("_pages"))
     over = counted.join(totals, "_host").where(F.col("_with") > ratio * F.col("_pages"))
     return over.groupBy("_host").agg(F.collect_list("_line").alias("_dropped"))
 
 
-def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, copies: bool = True) -> DataFrame:
     """docs with boilerplate lines taken out of text, and the columns n_lines and n_dropped (lines that are not blank).
 
     Such columns are replaced; all others, and the order of the remaining lines, stay, and a page whose lines all go has an
     empty text. Pages without host or with null text are left as they are (a null text has no lines). Repeated rows are
-    pages of their own; frequencies that equal the ratio are not over it. An empty table gives an empty one.
+    pages of their own, unless copies is false, where they count as one; frequencies that equal the ratio are not over it. An empty table gives an empty one.
     """
-    found = Stored(boilerplate(docs, host, text, ratio, min_pages), "boilerplate").df
+    found = Stored(boilerplate(docs, host, text, ratio, min_pages, copies), "boilerplate").df
     size = found.agg(F.coalesce(F.sum(F.size("_dropped")), F.lit(0)), F.count("*")).first()
     if sum(size) <= BROADCAST_LINES:
         found = F.broadcast(found)
