@@ -3,7 +3,10 @@
 For every language a suffix automaton is built from a bounded sample of labelled text. A text is parsed greedily into the
 longest phrases that occur in that sample: few phrases mean that the text repeats what the language says. The number of
 phrases a letter, times the logarithm of the sample's length, estimates the cross entropy; the language with the least
-wins. Texts are parsed in windows of WINDOW letters, all windows of a batch and all languages side by side.
+wins. All languages, and windows of WINDOW letters of all texts of a batch, are parsed side by side: each window at first
+as if a phrase began with it, and then, from the state in which the window before it really ends, up to where both parses
+are in one state, from where on they agree. So phrases cross the borders of windows, and the result is that of one parse
+of the whole text.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ SAMPLE_LETTERS = 20_000
 DOCUMENT_LETTERS = 400
 #: Rows of each language among which that text is found.
 SAMPLE_ROWS = 400
+#: Languages learnt at most, those with the most rows; a column of free text has no more models than that.
+LANGUAGES = 256
 WINDOW = 256
 UNKNOWN = "und"
 #: Codes of what stands between words, and of letters that no sample has.
@@ -127,6 +132,39 @@ class Model:
             out[ord(c)] = k
         return out
 
+    def _carry(self, code: np.ndarray, begin: np.ndarray, length: np.ndarray, nth: np.ndarray, state: np.ndarray, ends: np.ndarray) -> None:
+        """Turns state and ends [language, window] of parses that begin anew in each window into those of whole texts.
+
+        From the state that the window before ends in, a window is parsed again till that parse and the one from the root
+        meet. A window in which they don't meet ends in another state, so the next one is parsed once more.
+        """
+        alone, own = state.copy(), ends.copy()
+        language, window = np.nonzero(np.repeat((nth > 0)[None], len(state), axis=0))
+        while len(window):
+            fresh, true = self.roots[language], state[language, window - 1]
+            more = np.zeros(len(window), np.int32)
+            lane, k = np.arange(len(window)), 0
+            changed = np.zeros(len(window), bool)
+            while len(lane):
+                met = fresh == true
+                over = length[window[lane]] == k
+                final = lane[over & ~met]
+                changed[final] = state[language[final], window[final]] != true[over & ~met]
+                state[language[final], window[final]] = true[over & ~met]
+                same = lane[met]
+                changed[same] = state[language[same], window[same]] != alone[language[same], window[same]]
+                state[language[same], window[same]] = alone[language[same], window[same]]
+                keep = ~(met | over)
+                lane, fresh, true = lane[keep], fresh[keep], true[keep]
+                here = code[begin[window[lane]] + k]
+                a, b = self.steps[fresh + here], self.steps[true + here]
+                more[lane] += (b & 3) - (a & 3)
+                fresh, true, k = a >> 2, b >> 2, k + 1
+            ends[language, window] = own[language, window] + more
+            following = changed & (window + 1 < len(nth))
+            following[following] = nth[window[following] + 1] > 0
+            language, window = language[following], window[following] + 1
+
     def entropies(self, texts: list[str], code_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bits a letter under each language [text, language]; the number of letters of each text."""
         raw = [np.frombuffer(t.lower().encode("utf-32-le", "surrogatepass"), "<u4") for t in texts]
@@ -146,17 +184,22 @@ class Model:
         begin = np.repeat(np.cumsum(sizes) - sizes, per) + nth * WINDOW
         length = np.minimum(WINDOW, np.repeat(sizes, per) - nth * WINDOW)
         order = np.argsort(-length, kind="stable")
-        text, begin, length = text[order], begin[order], length[order]
         state = np.repeat(self.roots[:, None], len(text), axis=1)
         ends = np.zeros(state.shape, np.int32)
         code = code.astype(self.roots.dtype)
-        live = np.searchsorted(-length, -np.arange(WINDOW), side="left")
-        for k in range(int(length[0]) if len(length) else 0):
+        live = np.searchsorted(-length[order], -np.arange(WINDOW), side="left")
+        at = begin[order]
+        for k in range(int(length[order[0]]) if len(length) else 0):
             n = live[k]
-            step = self.steps[state[:, :n] + code[begin[:n] + k]]
+            step = self.steps[state[:, :n] + code[at[:n] + k]]
             ends[:, :n] += step & 3
             state[:, :n] = step >> 2
-        phrases = ends + self.rest[state // (len(self.letters) + 2)]
+        back = np.argsort(order)
+        state, ends = state[:, back], ends[:, back]
+        self._carry(code, begin, length, nth, state, ends)
+        phrases = ends.astype(np.float64)
+        last = np.append(nth[1:] == 0, True) if len(nth) else np.zeros(0, bool)
+        phrases[:, last] += self.rest[state[:, last] // (len(self.letters) + 2)]
         bits = np.zeros((len(texts), len(self.languages)))
         for k in range(len(self.languages)):
             bits[:, k] = np.bincount(text, weights=phrases[k], minlength=len(texts)) * self.scale[k]
@@ -166,18 +209,18 @@ class Model:
 def train(docs: DataFrame, sample_letters: int = SAMPLE_LETTERS, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Fits on a bounded sample of the rows with text and lang that are not held out.
 
-    Of each language, about sample_rows rows are taken by a hash of their id, and of those, in that order, up to
-    DOCUMENT_LETTERS letters from the middle, till there are sample_letters.
+    Of each of the LANGUAGES most frequent values of lang, about sample_rows rows are taken by a hash of their id, and of
+    those, in that order, up to DOCUMENT_LETTERS letters from the middle, till there are sample_letters.
     """
     rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     at = F.xxhash64(F.lit(17), "doc_id").bitwiseAND(0x7FFFFFFF)
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(LANGUAGES).collect()}
     if not counts:
         return Model.fit({})
     # a share of the hashes for each language that leaves 1.5 times the rows on average: a bounded number, at any size
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(2**31, int(2**31 * 1.5 * sample_rows / n)))])
     middle = F.expr(f"substring(text, greatest(1, cast(length(text) div 2 - {DOCUMENT_LETTERS} as int)), {2 * DOCUMENT_LETTERS})")
-    found = rows.where(at < share[F.col("lang")]).select("lang", at.alias("at"), "doc_id", middle.alias("text")).collect()
+    found = rows.where(F.col("lang").isin(*counts) & (at < share[F.col("lang")])).select("lang", at.alias("at"), "doc_id", middle.alias("text")).collect()
     samples: dict[str, str] = {}
     for r in sorted(found, key=lambda r: (r.lang, r.at, r.doc_id, r.text)):
         have = samples.get(r.lang, "")
@@ -195,7 +238,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     """
     spark = docs.sparkSession
     batch_rows(spark)
-    shared = spark.sparkContext.broadcast(model)  # its size is bounded by SAMPLE_LETTERS a language
+    shared = spark.sparkContext.broadcast(model)  # its size is bounded by SAMPLE_LETTERS and LANGUAGES
     new = {"lang_pred", "score", "bits_per_letter"}
     kept = extra(docs, new)
     schema = docs.select(*kept).schema.add("lang_pred", "string").add("score", "double").add("bits_per_letter", "double")

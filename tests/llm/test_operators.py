@@ -58,7 +58,7 @@ def test_suffix_automaton_counts():
 
 
 def brute_parse(text, sample):
-    """Phrases of a greedy parse within one window, as the automaton counts those that end."""
+    """Phrases that end in a greedy parse of the whole text, and the one that is open at its end."""
     ends, cur = 0, ""
     for c in text:
         if cur + c in sample:
@@ -69,23 +69,41 @@ def brute_parse(text, sample):
             cur = c
         else:
             ends, cur = ends + 1, ""
-    return ends
+    return ends, cur
+
+
+def occurrences(sub, text):
+    return sum(text.startswith(sub, k) for k in range(len(text)))
 
 
 def test_cross_parse_is_greedy():
+    """Also of texts of many windows, of periodic ones whose parses do not meet, and with the open phrase at the end."""
     rnd = random.Random(2)
     sample = "".join(rnd.choice("abcde ") for _ in range(400)).strip()
     sample = " ".join(sample.split())
-    model = language_id.Model.fit({"x": sample})
-    model.rest[:] = 0
+    other = "abcde" * 60 + " edcba"
+    model = language_id.Model.fit({"x": sample, "y": other})
+    w = language_id.WINDOW
     texts = ["".join(rnd.choice("abcdefz ") for _ in range(rnd.randint(1, 200))) for _ in range(40)]
+    texts += ["".join(rnd.choice("abcde ") for _ in range(n)) for n in (w - 1, w, w + 1, 2 * w, 5 * w + 7, 3000)]
+    texts += ["abcde" * 500, "ab" * 900, sample * 4, sample[3:] + "q" + sample, "a" * (3 * w)]
     bits, letters = model.entropies(texts, model.codes())
-    for t, b, n in zip(texts, bits[:, 0], letters):
-        plain = " ".join(t.split()) if t.strip() else ""
-        lead = " " if t[:1] == " " and plain else ""
-        assert n == sum(c != " " for c in t)
-        if plain:
-            assert round(b * len(lead + plain) / model.scale[0]) == brute_parse(lead + plain, sample)
+    for k, corpus in enumerate((sample, other)):
+        for t, b, n in zip(texts, bits[:, k], letters):
+            plain = " ".join(t.split()) if t.strip() else ""
+            lead = " " if t[:1] == " " and plain else ""
+            assert n == sum(c != " " for c in t)
+            if plain:
+                ends, cur = brute_parse(lead + plain, corpus)
+                rest = np.log(len(corpus) / occurrences(cur, corpus)) / np.log(len(corpus)) if cur else 0
+                assert b * len(lead + plain) / model.scale[k] == pytest.approx(ends + rest, abs=1e-6)
+
+
+def test_languages_learnt_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "LANGUAGES", 2)
+    data = [(10 * i + k, f"text of language {name}", name) for i, name in enumerate("abc") for k in range(3 + i)]
+    model = language_id.train(spark.createDataFrame(data, "doc_id long, text string, lang string"))
+    assert len(model.languages) <= 2 and "c" in model.languages
 
 
 def test_language_held_out_accuracy(spark):
