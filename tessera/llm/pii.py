@@ -1,7 +1,8 @@
 """Personal data: fixed patterns, and a linear-chain conditional random field over word shapes for what patterns miss.
 
 The field is trained from TABLE, a small labelled table, and decoded by Viterbi over all sentences of a batch side by
-side. It adds spans of kinds `secret` (credentials), `phone`, `name` where they do not meet spans of the patterns.
+side, long ones in blocks whose best paths are joined exactly. It adds spans of kinds `secret` (credentials) and `name`
+where they do not meet spans of the patterns.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -167,8 +169,8 @@ for _k, _c in enumerate('.,:;"=@_+-'):
 _WORDLIKE = _SHAPE <= 2
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in ".!?"]] = True
-#: Words of a sentence at most; a longer one is decoded in pieces of this many.
-SENTENCE = 128
+#: Words that one lane decodes; a longer sentence is several blocks of this many, of which one path is the best (see decode).
+BLOCK = 128
 #: Which words' features count, by their distance.
 SHAPE_AT, WORD_AT = (-1, 0, 1), (-3, -2, -1, 0, 1)
 
@@ -217,9 +219,6 @@ def analyse(texts: list[bytes]) -> Words:
     lines = np.append(0, np.cumsum(data == 0x0A))
     stops[:-1] |= lines[starts[1:]] > lines[ends[:-1]]
     sentence = np.append(0, np.cumsum(stops)[:-1])
-    begin = np.flatnonzero(np.diff(sentence, prepend=-1))
-    nth = np.arange(n) - begin[np.searchsorted(begin, np.arange(n), side="right") - 1]
-    sentence = np.cumsum((nth % SENTENCE) == 0) - 1
     return Words(first, last, counts, sentence, shape, size, word)
 
 
@@ -268,38 +267,90 @@ class Field:
         return total
 
     def decode(self, w: Words) -> np.ndarray:
-        """The best tag of every word: Viterbi over all sentences side by side, the longest first."""
+        """The best tags of every sentence: Viterbi over blocks of all sentences side by side, the longest first.
+
+        A sentence of one block is decoded as it is. For a longer one, the best score from each tag before a block to each tag
+        at its end comes first; these are joined block by block, which gives the scores that each block begins with. Then
+        every block is decoded from those, and the tags at the ends of blocks follow from the last block backwards.
+        """
         n = len(w.sentence)
         tags = np.zeros(n, np.int64)
         if not n:
             return tags
         e = self.emissions(w)
-        begin = np.flatnonzero(np.diff(w.sentence, prepend=-1))
-        length = np.diff(np.append(begin, n))
+        t = e.shape[1]
+        opens = np.flatnonzero(np.diff(w.sentence, prepend=-1))
+        words_of = np.diff(np.append(opens, n))
+        per = -(-words_of // BLOCK)
+        nth = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
+        begin = np.repeat(opens, per) + nth * BLOCK
+        length = np.minimum(BLOCK, np.repeat(words_of, per) - nth * BLOCK)
+        first = nth == 0
+        start = np.zeros((len(begin), t), np.float32)  # best scores with each tag at a block's first word
+        start[first] = e[begin[first]] + self.begin
+        came = np.zeros((len(begin), t), np.int8)  # the tag before that word
+        several = np.flatnonzero(~first)
+        if len(several):
+            inner = np.append(~first[1:], False) & ~first  # blocks between two others
+            through = self._through(e, begin, inner)
+            ends: np.ndarray | None = None
+            for k in np.flatnonzero(np.append(~first[1:], False) | ~first).tolist():
+                if first[k]:
+                    ends = start[k]
+                    for j in range(begin[k] + 1, begin[k] + length[k]):
+                        ends = (ends[:, None] + self.move).max(axis=0) + e[j]
+                    continue
+                ends = ends - ends.max()  # a path's score is compared with others of its sentence alone
+                paths = ends[:, None] + self.move
+                came[k] = paths.argmax(axis=0)
+                start[k] = paths.max(axis=0) + e[begin[k]]
+                if inner[k]:
+                    ends = (ends[:, None] + through[k]).max(axis=0)
         order = np.argsort(-length, kind="stable")
-        begin, length = begin[order], length[order]
-        live = np.searchsorted(-length, -np.arange(length[0]), side="left")
-        best = e[begin] + self.begin
+        at, live = begin[order], np.searchsorted(-length[order], -np.arange(BLOCK), side="left")
+        most = int(length[order[0]])
+        best = start[order]
         back: list[np.ndarray] = []
-        for k in range(1, int(length[0])):
+        for k in range(1, most):
             m = live[k]
             paths = best[:m, :, None] + self.move[None]
             back.append(paths.argmax(axis=1).astype(np.int8))
-            best[:m] = paths.max(axis=1) + e[begin[:m] + k]
-        now = best.argmax(axis=1)
-        for k in range(int(length[0]) - 1, -1, -1):
+            best[:m] = paths.max(axis=1) + e[at[:m] + k]
+        last = np.zeros(len(begin), np.int64)
+        last[order] = best.argmax(axis=1)
+        if len(several):
+            # for each tag at a block's end, the tag at its first word
+            heads = np.repeat(np.arange(t)[None], len(begin), axis=0)
+            for k in range(most - 1, 0, -1):
+                m = live[k]
+                heads[:m] = np.take_along_axis(back[k - 1], heads[:m], axis=1)
+            heads = heads[np.argsort(order)]
+            for k in several[::-1].tolist():
+                last[k - 1] = came[k, heads[k, last[k]]]
+        now = last[order]
+        for k in range(most - 1, -1, -1):
             m = live[k]
-            tags[begin[:m] + k] = now[:m]
+            tags[at[:m] + k] = now[:m]
             if k:
                 now[:m] = back[k - 1][np.arange(m), now[:m]]
         return tags
 
+    def _through(self, e: np.ndarray, begin: np.ndarray, blocks: np.ndarray) -> dict[int, np.ndarray]:
+        """For each of the blocks (whole ones), the best score from each tag before it to each tag at its end."""
+        which = np.flatnonzero(blocks)
+        at = begin[which]
+        best = self.move[None] + e[at][:, None, :]
+        for k in range(1, BLOCK):
+            best = (best[:, :, :, None] + self.move[None, None]).max(axis=2) + e[at + k][:, None, :]
+        return dict(zip(which.tolist(), best))
+
 
 def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     top = x.max(axis=axis, keepdims=True)
     return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis=axis))
 
 
+@lru_cache(maxsize=4)
 def train(table: str = TABLE, steps: int = 150, rate: float = 0.3, decay: float = 0.02) -> Field:
     """Maximum likelihood with L2 decay, by forward and backward sums over the lines of the table."""
     lines = [_parse(x) for x in table.strip().splitlines()]
@@ -409,6 +460,9 @@ _NEW = {"n_email": "long", "n_ip": "long", "n_card": "long", "n_phone": "long",
 def find(docs: DataFrame, field: Field | None = None) -> DataFrame:
     """Adds the counts of the patterns, base_spans and spans (`kind:start:end`, comma-joined) and redacted to docs.
 
+    Whole texts are read, however long, and sentences of any length. Repeated rows and ties give equal rows; an empty table
+    gives none.
+
     redacted is the text with every span replaced by `[KIND]`; of spans that overlap, the union is replaced once, under the
     kind of its first. Null texts are empty for the counts and spans, and stay null in redacted. Columns of the new names
     are replaced. Rows are independent of each other.

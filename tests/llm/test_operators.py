@@ -509,6 +509,29 @@ def test_viterbi_is_the_best_path(field):
         assert abs(max(score(t) for t in itertools.product(range(5), repeat=len(at))) - score(tuple(got[at]))) < 1e-3
 
 
+@pytest.mark.parametrize("n", [127, 128, 129, 256, 257, 700])
+def test_viterbi_of_long_sentences(field, n):
+    """One path over the whole sentence, also where spans lie over the borders of blocks: against one word after another."""
+    rnd = random.Random(n)
+    token = hashlib.sha1(b"x").hexdigest()
+    plain = [rnd.choice("the and of that in with for name is password: Ada Keller mr token".split()) for _ in range(n)]
+    for k in range(0, n, 16):
+        plain[k : k + 3] = rnd.choice([["token", "=", f'"{token}"'], ["mr", "Ada", "Keller"], ["name:", "Julia", "Roth"]])
+    text = " ".join(plain[:n])
+    w = pii.analyse([text.encode(), b"and a short one", (text + " " + text).encode()])
+    got, e = field.decode(w), field.emissions(w).astype(np.float64)
+    assert len(np.unique(w.sentence)) == 3
+    for s in np.unique(w.sentence):
+        at = np.flatnonzero(w.sentence == s)
+        best = field.begin + e[at[0]]
+        for k in at[1:]:
+            best = (best[:, None] + field.move).max(axis=0) + e[k]
+        own = field.begin[got[at[0]]] + e[at[0], got[at[0]]] + sum(field.move[got[a], got[b]] + e[b, got[b]] for a, b in zip(at, at[1:]))
+        assert own == pytest.approx(best.max(), abs=1e-2)
+    found = pii.all_spans([text], field)[0][1]
+    assert {m.start() for m in re.finditer(token, text)} <= {a for a, _, k in found if k == "secret"}
+
+
 def test_pii_added_spans(field):
     new = 'the éé token = "%s" is here' % hashlib.sha1(b"new").hexdigest()
     names = "signed by Rita Moreno on the page"
