@@ -163,3 +163,11 @@ def words(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarra
 def extra(df: DataFrame, names: set[str]) -> list[str]:
     """The columns of df that do not clash with names."""
     return [c for c in df.columns if c not in names]
+
+
+def free(columns: list[str], name: str) -> str:
+    """name, or that with underscores before it, so that it is none of columns."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

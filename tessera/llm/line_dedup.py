@@ -10,12 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stored, documents
+from .common import Stored, documents, free
 
-#: A line in more than this share of a host's pages is boilerplate...
+#: A line in more than this share of a host's pages is boilerplate.
 RATIO = 0.08
-#: ... if so many pages of the host have it, which hosts of few pages cannot reach by chance.
-MIN_PAGES = 5
 #: Hashes of boilerplate lines that are broadcast at most (8 bytes each); beyond that, pages are joined by shuffle.
 BROADCAST_LINES = 1 << 20
 
@@ -32,44 +30,53 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def boilerplate(docs: DataFrame, host: str, text: str, ratio: float, min_pages: int, copies: bool = True) -> DataFrame:
+def _keys(text: Column) -> Column:
+    """Hashes of the different lines of a text that are not blank."""
+    return F.array_distinct(F.transform(F.filter(_lines(text), lambda x: _trim(x) != ""), _key))
+
+
+def boilerplate(docs: DataFrame, host: str, text: str, ratio: float, min_pages: int = 2, copies: bool = True) -> DataFrame:
     """host, dropped (hashes of its boilerplate lines). A page has few lines over the ratio, so a host has few of them in all:
     no more than the mean number of lines of its pages divided by the ratio. Without copies, a host's pages are its distinct texts."""
-    hosted = docs.where(F.col(host).isNotNull()).select(F.col(host).alias("_host"), F.col(text).alias("_text"))
-    pages = hosted.where(F.col("_text").isNotNull())
-    # hashes first, then the distinct ones of a page; -1 and the hash of a blank line are left out
-    keys = F.array_distinct(F.transform(F.filter(_lines(F.col("_text")), lambda x: _trim(x) != ""), _key))
+    hosted = docs.where(F.col(host).isNotNull()).select(F.col(host).alias("host"), F.col(text).alias("page"))
+    pages = hosted.where(F.col("page").isNotNull())
     if copies:
-        bags = pages.select("_host", keys.alias("_keys"))
+        bags = pages.select("host", _keys(F.col("page")).alias("keys"))
     else:  # hashes of texts and lines are shuffled, not texts
-        bags = pages.select("_host", F.xxhash64("_text").alias("_page"), keys.alias("_keys")).dropDuplicates(["_host", "_page"])
-        hosted = hosted.select("_host", F.xxhash64("_text").alias("_page")).distinct()
-    counted = bags.select("_host", F.explode("_keys").alias("_line")).groupBy("_host", "_line").agg(F.count("*").alias("_with")).where(F.col("_with") >= min_pages)
-    totals = hosted.groupBy("_host").agg(F.count("*").alias("_pages"))
-    over = counted.join(totals, "_host").where(F.col("_with") > ratio * F.col("_pages"))
-    return over.groupBy("_host").agg(F.collect_list("_line").alias("_dropped"))
+        bags = pages.select("host", F.xxhash64("page").alias("id"), _keys(F.col("page")).alias("keys")).dropDuplicates(["host", "id"])
+        hosted = hosted.select("host", F.xxhash64("page").alias("id")).distinct()
+    counted = bags.select("host", F.explode("keys").alias("line")).groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    totals = hosted.groupBy("host").agg(F.count("*").alias("pages"))
+    over = counted.join(totals, "host").where(F.col("n") > ratio * F.col("pages"))
+    return over.groupBy("host").agg(F.collect_list("line").alias("dropped"))
 
 
-def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, copies: bool = True) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = 2, copies: bool = True) -> DataFrame:
     """docs with boilerplate lines taken out of text, and the columns n_lines and n_dropped (lines that are not blank).
 
-    Such columns are replaced; all others, and the order of the remaining lines, stay, and a page whose lines all go has an
-    empty text. Pages without host or with null text are left as they are (a null text has no lines). Repeated rows are
-    pages of their own, unless copies is false, where they count as one; frequencies that equal the ratio are not over it. An empty table gives an empty one.
+    Boilerplate is what pages share, so a line that one page alone has is none, whatever its ratio (min_pages; more is the
+    caller's choice). Columns n_lines and n_dropped are replaced; all others, under any name, and the order of the remaining
+    lines, stay, and a page whose lines all go has an empty text. Pages without host or with null text are left as they are
+    (a null text has no lines). Repeated rows are pages of their own, unless copies is false, where they count as one;
+    frequencies that equal the ratio are not over it. Lines and texts may be of any length. An empty table gives an empty one.
     """
     found = Stored(boilerplate(docs, host, text, ratio, min_pages, copies), "boilerplate").df
-    size = found.agg(F.coalesce(F.sum(F.size("_dropped")), F.lit(0)), F.count("*")).first()
+    size = found.agg(F.coalesce(F.sum(F.size("dropped")), F.lit(0)), F.count("*")).first()
+    kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    site, dropped, bad, new = (free([*docs.columns, "n_lines", "n_dropped"], x) for x in ("site", "dropped", "bad", "new"))
+    found = found.select(F.col("host").alias(site), F.col("dropped").alias(dropped))
     if sum(size) <= BROADCAST_LINES:
         found = F.broadcast(found)
-    kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    rows = docs.select(*kept).join(found, F.col(host) == F.col("_host"), "left")
+    rows = docs.select(*kept).join(found, F.col(host) == F.col(site), "left")
+    # by hashing, the few boilerplate lines that a page has; then each line is held against those alone
+    rows = rows.withColumn(bad, F.array_intersect(_keys(F.col(text)), F.col(dropped)))
     solid = lambda x: _trim(x) != ""
-    lines = F.filter(_lines(F.col(text)), lambda x: ~solid(x) | ~F.array_contains(F.col("_dropped"), _key(x)))
+    lines = F.filter(_lines(F.col(text)), lambda x: ~solid(x) | ~F.array_contains(F.col(bad), _key(x)))
     count = lambda t: F.when(t.isNull(), 0).otherwise(F.size(F.filter(_lines(t), solid))).cast("long")
-    new = F.when(F.col("_dropped").isNull(), F.col(text)).otherwise(F.array_join(lines, "\n"))
-    rows = rows.withColumn("_new", new).withColumn("n_lines", count(F.col(text)))
-    rows = rows.withColumn("n_dropped", F.when(F.col("_dropped").isNull(), F.lit(0).cast("long")).otherwise(F.col("n_lines") - count(F.col("_new"))))
-    return rows.select(*(F.col("_new").alias(c) if c == text else F.col(c) for c in kept), "n_lines", "n_dropped")
+    none = F.coalesce(F.size(bad), F.lit(0)) <= 0
+    rows = rows.withColumn(new, F.when(none, F.col(text)).otherwise(F.array_join(lines, "\n"))).withColumn("n_lines", count(F.col(text)))
+    rows = rows.withColumn("n_dropped", F.when(none, F.lit(0).cast("long")).otherwise(F.col("n_lines") - count(F.col(new))))
+    return rows.select(*(F.col(new).alias(c) if c == text else F.col(c) for c in kept), "n_lines", "n_dropped")
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +93,7 @@ with lines as (
   select source, count(*) as n from documents group by source
 ), bad as (
   select s.source, s.bare from solid s join pages p using (source) where s.bare <> ''
-  group by s.source, s.bare, p.n having count(distinct s.doc_id) >= {MIN_PAGES} and count(distinct s.doc_id) > {RATIO} * p.n
+  group by s.source, s.bare, p.n having count(distinct s.doc_id) >= 2 and count(distinct s.doc_id) > {RATIO} * p.n
 ), marked as (
   select s.*, b.bare is not null as dropped from solid s left join bad b on s.source = b.source and s.bare = b.bare
 )

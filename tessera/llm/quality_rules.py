@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Stored, documents, extra
+from .common import Stored, documents, extra, free
 
 #: Common words of a language; the histogram has one class more for all other words.
 COMMON = 16
@@ -73,48 +73,56 @@ def _dup_lines(text: Column) -> Column:
     return _let(solid, lambda s: (F.size(s) - F.size(F.array_distinct(s))).cast("long"))
 
 
-def _measured(docs: DataFrame, text: str, lang: str) -> DataFrame:
-    """docs with _words (array), _lang and the base measures. A null text is empty."""
-    kept = [F.col(c) for c in docs.columns]
+_BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+_NEW = (*_BASE, "char_distance", "word_distance", "base_failed", "kept")
+
+
+def _measured(docs: DataFrame, text: str, lang: str, row: str) -> DataFrame:
+    """row (all columns of docs), lang, words (array), chars, the characters of each class and the base measures. A null text is empty."""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = docs.select(*kept, t.alias("_text"), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("_lang"), F.array_remove(F.split(t, _SEPARATORS, -1), "").alias("_words"))
+    rows = docs.select(F.struct(*docs.columns).alias(row), t.alias("text"), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"), F.array_remove(F.split(t, _SEPARATORS, -1), "").alias("words"))
     return rows.select(
-        *kept, "_lang", "_words", F.size("_words").cast("long").alias("n_words"), F.length(F.array_join("_words", "")).cast("long").alias("word_chars"), _but(F.col("_text"), _SYMBOLS).alias("n_symbols"),
-        _dup_lines(F.col("_text")).alias("n_dup_lines"), _repeat_words(F.col("_words")).alias("n_repeat_words"),
-        *(_but(F.col("_text"), c).alias(f"_{name}") for name, c in _CLASSES.items()), F.length("_text").cast("long").alias("_chars"),
+        row, "lang", "words", F.size("words").cast("long").alias("n_words"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"), _but(F.col("text"), _SYMBOLS).alias("n_symbols"),
+        _dup_lines(F.col("text")).alias("n_dup_lines"), _repeat_words(F.col("words")).alias("n_repeat_words"),
+        *(_but(F.col("text"), c).alias(name) for name, c in _CLASSES.items()), F.length("text").cast("long").alias("chars"),
     )
 
 
 def _classes() -> list[Column]:
     """Characters of each class: upper case, digits, marks, symbols, separators, all others."""
-    own = [F.col(c).cast("double") for c in ("_upper", "_digit", "_mark", "n_symbols")]
-    gaps = (F.col("_chars") - F.col("word_chars")).cast("double")
-    return [*own, gaps, F.col("_chars").cast("double") - gaps - own[0] - own[1] - own[2] - own[3]]
+    own = [F.col(c).cast("double") for c in ("upper", "digit", "mark", "n_symbols")]
+    gaps = (F.col("chars") - F.col("word_chars")).cast("double")
+    return [*own, gaps, F.col("chars").cast("double") - gaps - own[0] - own[1] - own[2] - own[3]]
 
 
 def references(docs: DataFrame, text: str = "text", lang: str = "lang", common: int = COMMON) -> DataFrame:
-    """_lang, _class_share (array of doubles), _common (array of words), _word_share: of all texts of each language.
+    """lang, class_share (array of doubles), common (array of words), word_share: of all texts of each language.
 
     Common words have the highest counts; of equal counts, the first in order. Texts without language are one of their own.
+    Words are counted within tasks before they are shuffled, and their counts stored; sums over them need no list, and of the
+    words of each group of a language `common` alone are sent on, whatever the size of its vocabulary.
     """
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    name = F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("_lang")
-    lengths = docs.groupBy(name).agg(F.sum(F.length(t).cast("long")).alias("_chars"))
-    words = docs.select(name, F.explode(F.array_remove(F.split(t, _SEPARATORS, -1), "")).alias("_word"))
-    counts = words.groupBy("_lang", "_word").agg(F.count("*").alias("_count"))
+    name = F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang")
+    lengths = docs.groupBy(name).agg(F.sum(F.length(t).cast("long")).alias("chars"))
+    words = docs.select(name, F.explode(F.array_remove(F.split(t, _SEPARATORS, -1), "")).alias("word"))
+    counts = Stored(words.groupBy("lang", "word").agg(F.count("*").alias("n")), "words")
     # all classes but separators lie in words, so different words are enough to count them
-    w = F.col("_word")
-    sizes = {"word_chars": F.length(w), "n_symbols": _but(w, _SYMBOLS), "_n": F.lit(1)} | {f"_{k}": _but(w, c) for k, c in _CLASSES.items()}
-    entry = F.struct((-F.col("_count")).alias("n"), w.alias("w"))
-    # groups of words keep any one list short; each gives its `common` first
-    some = counts.groupBy("_lang", F.pmod(F.xxhash64(w), F.lit(4096)).alias("_group")).agg(F.slice(F.array_sort(F.collect_list(entry)), 1, common).alias("_top"), *(F.sum(F.col("_count") * x).alias(k) for k, x in sizes.items()))
-    best = some.groupBy("_lang").agg(F.slice(F.array_sort(F.flatten(F.collect_list("_top"))), 1, common).alias("_top"), *(F.sum(k).alias(k) for k in sizes))
-    joined = lengths.join(best, "_lang", "left").na.fill(0, list(sizes))
-    share = F.transform(F.array(*_classes()), lambda x: x / F.greatest(F.col("_chars"), F.lit(1)))
-    top = F.coalesce(F.col("_top"), F.array().cast("array<struct<n:bigint,w:string>>"))
-    each = F.transform(top, lambda e: -e["n"] / F.col("_n"))
+    w = F.col("word")
+    sizes = {"word_chars": F.length(w), "n_symbols": _but(w, _SYMBOLS), "n_words": F.lit(1)} | {k: _but(w, c) for k, c in _CLASSES.items()}
+    sums = counts.df.groupBy("lang").agg(*(F.sum(F.col("n") * x).alias(k) for k, x in sizes.items()))
+    first = [F.col("n").desc(), F.col("word")]
+    some = counts.df.withColumn("part", F.pmod(F.xxhash64(w), F.lit(256)))
+    for keys in (["lang", "part"], ["lang"]):  # the first words of each group, then those of the language
+        some = some.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy(*first))).where(F.col("r") <= common)
+    top = some.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("r", "word", "n"))).alias("top"))
+    joined = lengths.join(sums, "lang", "left").na.fill(0, list(sizes)).join(top, "lang", "left")
+    share = F.transform(F.array(*_classes()), lambda x: x / F.greatest(F.col("chars"), F.lit(1)))
+    top = F.coalesce(F.col("top"), F.array().cast("array<struct<r:int,word:string,n:bigint>>"))
+    each = F.transform(top, lambda e: e["n"] / F.col("n_words"))
     rest = F.lit(1.0) - F.aggregate(each, F.lit(0.0), lambda a, x: a + x)
-    return joined.select("_lang", share.alias("_class_share"), F.transform(top, lambda e: e["w"]).alias("_common"), F.when(F.col("_n") == 0, F.array(F.lit(1.0))).otherwise(F.concat(each, F.array(rest))).alias("_word_share"))
+    word_share = F.when(F.col("n_words") == 0, F.array(F.lit(1.0))).otherwise(F.concat(each, F.array(rest)))
+    return joined.select("lang", share.alias("class_share"), F.transform(top, lambda e: e["word"]).alias("common"), word_share.alias("word_share"))
 
 
 def _distance(own: Column, other: Column) -> Column:
@@ -131,25 +139,28 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """docs with the base measures, char_distance, word_distance, base_failed and kept; columns of these names are replaced.
 
     Null texts are empty: no words, so they fail for their length. Texts without lang are held against each other. Rows are
-    judged each by itself, repeated ones alike; a distance that equals its bound passes. An empty table gives no rows.
+    judged each by itself, repeated ones alike; a distance that equals its bound passes. All other columns of docs, under any
+    name, stay as they are. An empty table gives no rows.
     """
-    new = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "char_distance", "word_distance", "base_failed", "kept"}
-    kept = extra(docs, new)
+    kept = extra(docs, set(_NEW))
     docs = docs.select(*kept)
     reference = Stored(references(docs, text, lang), "references").df
     if reference.count() <= BROADCAST_LANGUAGES:
         reference = F.broadcast(reference)
-    rows = _measured(docs, text, lang).join(reference, "_lang", "left")
-    found = F.filter("_words", lambda w: F.array_contains(F.col("_common"), w))
+    row = free(["lang", "text", "words", "chars", "class_share", "common", "word_share", *_CLASSES, *_NEW], "row")
+    rows = _measured(docs, text, lang, row).join(reference, "lang", "left")
+    found = F.filter("words", lambda w: F.array_contains(F.col("common"), w))
     n = F.greatest(F.col("n_words"), F.lit(1))
-    each = _let(found, lambda f: F.transform(F.col("_common"), lambda c: F.size(F.filter(f, lambda w: w == c)) / n))
+    each = _let(found, lambda f: F.transform(F.col("common"), lambda c: F.size(F.filter(f, lambda w: w == c)) / n))
     own_words = _let(each, lambda e: F.concat(e, F.array(F.lit(1.0) - F.aggregate(e, F.lit(0.0), lambda a, x: a + x))))
-    own_chars = F.transform(F.array(*_classes()), lambda x: x / F.greatest(F.col("_chars"), F.lit(1)))
+    own_chars = F.transform(F.array(*_classes()), lambda x: x / F.greatest(F.col("chars"), F.lit(1)))
     long = F.col("n_words") >= MIN_WORDS
-    rows = rows.withColumn("char_distance", F.when(long, _distance(own_chars, F.col("_class_share")))).withColumn("word_distance", F.when(long, _distance(own_words, F.col("_word_share"))))
+    rows = rows.withColumn("char_distance", F.when(long, _distance(own_chars, F.col("class_share"))))
+    rows = rows.withColumn("word_distance", F.when(long, _distance(own_words, F.col("word_share"))))
     rows = rows.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEATED * F.col("n_words")))
     far = (F.col("char_distance") > CHARACTERS) | ((F.col("word_distance") > WORDS) & (F.col("char_distance") > CHARACTERS_TOO))
-    return rows.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far, F.lit(False))).select(*kept, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "char_distance", "word_distance", "base_failed", "kept")
+    rows = rows.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far, F.lit(False)))
+    return rows.select(*(F.col(row)[c].alias(c) for c in kept), *_NEW)
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
