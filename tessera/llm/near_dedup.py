@@ -1,6 +1,6 @@
 """Near-duplicate detection: banded MinHash candidates, checked by odd sketches and confirmed on full shingle sets.
 
-Documents with equal sets form a class at once. Each class has SAMPLES MinHash values: BANDS bands of them are the buckets
+Documents with equal sets (of 64-bit shingle hashes, told apart by 128 bits) form a class at once. Each class has SAMPLES MinHash values: BANDS bands of them are the buckets
 that candidates share, and all of them are folded into an odd sketch, a bitmap of parities, where the population count of
 the XOR of two sketches estimates the similarity. Buckets are never expanded into pairs:
 
@@ -14,6 +14,9 @@ the XOR of two sketches estimates the similarity. Buckets are never expanded int
 So every pair of a bucket is either connected already or compared. A pair at the least similarity shares no bucket with a
 probability of (1 - 0.8**ROWS)**BANDS, about 1e-7; for what sketches lose see LEAST_ESTIMATE. Pairs that precise sketches
 let through are not held against the coarse ones again.
+
+No key is left whole to one task: a hot bucket, hub or class is split by a salt wherever rows meet it (see spread). Texts
+are not shuffled to fetch the sets of candidates as long as those are few enough to be broadcast.
 """
 
 from __future__ import annotations
@@ -22,10 +25,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stored, batch_rows, chunks, col, documents, mix64, partitions, span_hashes, words
+from .common import Stored, batch_rows, chunks, col, documents, free, mix64, partitions, span_hashes, words
 
 BANDS, ROWS = 40, 5
 SAMPLES = BANDS * ROWS
@@ -37,6 +40,12 @@ LEAST_ESTIMATE = 0.6
 #: The precise sketches, of ten times as many samples, pass from five deviations below it on.
 PRECISE_SAMPLES, PRECISE_BITS, PRECISE_ESTIMATE = 2048, 4096, 0.75
 BLOCK = 512
+#: Keys with more rows than this, and than an eighth of a task's share, are split: so there are at most 8 of them a task.
+HOT_ROWS = 1000
+#: Rows of 32 bytes at most that are broadcast to texts, so as not to shuffle these; beyond that, both sides are shuffled.
+BROADCAST_ROWS = 1 << 18
+#: Links whose components one task finds, in 16 bytes each; more of them go through rounds of stars.
+FEW_LINKS = 1 << 17
 
 _SEED = np.random.default_rng(71)
 _MULTIPLIERS = _SEED.integers(0, 1 << 32, PRECISE_SAMPLES, dtype=np.uint32) | np.uint32(1)
@@ -92,11 +101,36 @@ def estimate(left: np.ndarray, right: np.ndarray, samples: int = SAMPLES, bits:
     return 1 - different / (2 * samples)
 
 
-_SIGNED = "doc_id long, n_shingles long, node long, bands array<long>, sketch binary"
+def hot(sizes: DataFrame, key: str, total: int) -> DataFrame | None:
+    """Of sizes (key, n: rows with it, total in all) the hot keys and their number of salts; None if there are none."""
+    spark = sizes.sparkSession
+    limit = max(HOT_ROWS, total // (8 * partitions(spark)))
+    if total <= limit:
+        return None
+    found = sizes.where(F.col("n") > limit).select(key, F.ceil(F.col("n") / limit).cast("int").alias("salts")).collect()  # total / limit rows at most
+    return F.broadcast(spark.createDataFrame(found, f"{key} long, salts int")) if found else None
+
+
+def spread(rows: DataFrame, facts: DataFrame, key: str, by: str, salts: DataFrame | None) -> DataFrame:
+    """rows joined with facts (one row a key). The rows of a hot key go to several tasks by the column `by`, and its facts to each of them."""
+    if salts is None:
+        return rows.join(facts, key)
+    left = rows.join(salts, key, "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64(by), F.col("salts")).cast("int"), F.lit(0))).drop("salts")
+    right = facts.join(salts, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    return left.join(right, [key, "salt"]).drop("salt")
+
+
+_SIGNED = "doc_id long, digest long, n_shingles long, node long, proof long, bands array<long>, sketch binary"
+_SALTS = (np.uint64(0x5851F42D4C957F2D), np.uint64(0x2545F4914F6CDD1D))
 
 
-def signatures(docs: DataFrame, shingle: int) -> DataFrame:
-    """node: a hash of the whole set; null, as are bands and sketch, for an empty set."""
+def _set_hash(sets: np.ndarray, at: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
+    """One of two independent 64-bit hashes of sets that are not empty."""
+    return mix64(np.add.reduceat(mix64(sets ^ _SALTS[k]), at) + sizes.astype(np.uint64)) if len(at) else np.zeros(0, np.uint64)
+
+
+def signatures(docs: DataFrame, shingle: int, node_bits: int = 64) -> DataFrame:
+    """node and proof: two hashes of the whole set; null, as are bands and sketch, for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, limit=1 << 20):
@@ -104,10 +138,9 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
             sets, sizes = shingle_sets(raw, shingle)
             full = np.flatnonzero(sizes)
             own = sizes[full]
-            node = np.zeros(len(full), np.uint64)
-            if len(full):
-                at = np.cumsum(own) - own
-                node = mix64(np.add.reduceat(mix64(sets ^ np.uint64(0x5851F42D4C957F2D)), at) + own.astype(np.uint64))
+            at = np.cumsum(own) - own
+            node, proof = (_set_hash(sets, at, own, k) for k in (0, 1))
+            node >>= np.uint64(64 - node_bits)
             samples = minhashes(sets, own)
             sketch = odd_sketches(samples)
             acc = np.repeat(np.arange(BANDS, dtype=np.uint64)[:, None], len(full), axis=1)
@@ -116,47 +149,65 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
             bands = acc.T.astype(np.int64)
             place = np.full(len(raw), -1)
             place[full] = np.arange(len(full))
+            hashes = [pa.array([int(x[k].astype(np.int64)) if k >= 0 else None for k in place], pa.int64()) for x in (node, proof)]
             yield pa.RecordBatch.from_arrays(
                 [
                     col(batch, "doc_id"),
+                    col(batch, "digest"),
                     pa.array(sizes),
-                    pa.array([int(node[k].astype(np.int64)) if k >= 0 else None for k in place], pa.int64()),
+                    *hashes,
                     pa.array([bands[k] if k >= 0 else None for k in place], pa.list_(pa.int64())),
                     pa.array([sketch[k].tobytes() if k >= 0 else None for k in place], pa.binary()),
                 ],
-                names=["doc_id", "n_shingles", "node", "bands", "sketch"],
+                names=["doc_id", "digest", "n_shingles", "node", "proof", "bands", "sketch"],
             )
 
-    return docs.mapInArrow(run, _SIGNED)
+    return docs.select("doc_id", "digest", "text").mapInArrow(run, _SIGNED)
 
 
-def _node(own: np.ndarray) -> int:
-    return int(mix64(np.add.reduce(mix64(own ^ np.uint64(0x5851F42D4C957F2D)), keepdims=True) + np.uint64(len(own))).astype(np.int64)[0])
+def _row() -> Column:
+    """What a row is found by again and comes first by: its id, or without one its text's hash, and that hash."""
+    return F.struct(F.col("doc_id").isNull().alias("noid"), F.coalesce("doc_id", "digest").alias("key"), "digest")
 
 
-def _sets(docs: DataFrame, nodes: DataFrame, shingle: int, precise: bool = False) -> DataFrame:
-    """node, and the set (or its precise sketch) of the documents (rep, node)."""
+def _sets(docs: DataFrame, wanted: DataFrame, n_wanted: int, shingle: int, precise: bool = False) -> DataFrame:
+    """node, and the set (or its precise sketch) of the classes wanted: node, proof, and noid and key of one of their documents."""
     name = "precise" if precise else "set"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, limit=1 << 20):
             sets, sizes = shingle_sets([x or b"" for x in col(batch, "text").cast(pa.binary()).to_pylist()], shingle)
             at = np.cumsum(sizes) - sizes
+            full = np.flatnonzero(sizes)
+            proof = np.zeros(len(sizes), np.int64)
+            proof[full] = _set_hash(sets, at[full], sizes[full], 1).astype(np.int64)
             # of several rows of an id, the one meant
-            own = [(want, x) for x, want in zip((sets[a : a + n] for a, n in zip(at, sizes)), col(batch, "node").to_pylist()) if len(x) and _node(x) == want]
-            values = [x for _, x in own]
-            if precise and own:
-                values = odd_sketches(minhashes(np.concatenate(values), np.array([len(x) for x in values]), PRECISE_SAMPLES), PRECISE_BITS)
-            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in own], pa.int64()), pa.array([x.tobytes() for x in values], pa.binary())], names=["node", name])
-
-    found = docs.join(nodes.select(F.col("rep").alias("doc_id"), "node"), "doc_id").select("node", "text").mapInArrow(run, f"node long, {name} binary")
+            meant = full[proof[full] == col(batch, "proof").to_numpy()[full]]
+            values = [sets[at[k] : at[k] + sizes[k]] for k in meant]
+            if precise and values:
+                values = odd_sketches(minhashes(np.concatenate(values), sizes[meant], PRECISE_SAMPLES), PRECISE_BITS)
+            yield pa.RecordBatch.from_arrays([col(batch, "node").take(pa.array(meant, pa.int64())), pa.array([x.tobytes() for x in values], pa.binary())], names=["node", name])
+
+    wanted = F.broadcast(wanted) if n_wanted <= BROADCAST_ROWS else wanted
+    rows = docs.select("text", F.col("doc_id").isNull().alias("noid"), F.coalesce("doc_id", "digest").alias("key")).join(wanted, ["noid", "key"])
+    found = rows.select("node", "proof", "text").mapInArrow(run, f"node long, {name} binary")
     return found.dropDuplicates(["node"])
 
 
+def _wanted(nodes: DataFrame, classes: DataFrame) -> Stored:
+    return Stored(nodes.distinct().join(classes, "node").select("node", "proof", "first.noid", "first.key"), "wanted")
+
+
 def _confirm(links: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, stored: list[Stored], coarse: bool) -> DataFrame | None:
     """Of the candidates (a, b), those whose full sets are similar enough; None if there are none, or sketches (coarse) let none of them through."""
-    small = classes.select("node", "rep", "n_shingles", "sketch")
-    left, right = (small.select(*(F.col(c).alias(f"{c}_{s}") for c in small.columns)) for s in "ab")
+
+    def sides(pairs: DataFrame, facts: DataFrame, total: int) -> DataFrame:
+        """pairs with the facts of both classes, named by _a and _b; a class of many pairs is split."""
+        salts = {s: hot(pairs.groupBy(s).agg(F.count("*").alias("n")), s, total) for s in "ab"}
+        for s, other in ("ab", "ba"):
+            own = facts.select(F.col("node").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in facts.columns if c != "node"))
+            pairs = spread(pairs, own, s, other, salts[s])
+        return pairs
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,16 +216,6 @@ def _confirm(links: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int
                 keep = pa.array(estimate(x, y) >= LEAST_ESTIMATE)
                 yield pa.RecordBatch.from_arrays([col(batch, c).filter(keep) for c in ("a", "b")], names=["a", "b"])
 
-    if coarse:
-        near = links.join(left, F.col("a") == F.col("node_a")).join(right, F.col("b") == F.col("node_b")).where(100 * F.least("n_shingles_a", "n_shingles_b") >= PERCENT * F.greatest("n_shingles_a", "n_shingles_b"))
-        links = near.select("a", "b", "sketch_a", "sketch_b").mapInArrow(sketched, "a long, b long")
-    likely = Stored(links, "likely")
-    if not likely.df.count():
-        likely.drop()
-        return None
-    nodes = likely.df.select(F.col("a").alias("node")).union(likely.df.select("b")).distinct()
-    sets = Stored(_sets(docs, nodes.join(classes.select("node", "rep"), "node"), shingle), "sets", "snappy")
-
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -186,31 +227,75 @@ def _confirm(links: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int
                 keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([col(batch, c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], names=["a", "b"])
 
-    pairs = likely.df.join(sets.df.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a").join(sets.df.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
-    out = Stored(pairs.select("a", "b", "set_a", "set_b").mapInArrow(similar, "a long, b long"), "links")
-    sets.drop()
-    likely.drop()
+    likely = Stored(links, "likely")
+    total = likely.df.count()
+    if coarse and total:
+        near = sides(likely.df, classes.select("node", "n_shingles", "sketch"), total).where(100 * F.least("n_shingles_a", "n_shingles_b") >= PERCENT * F.greatest("n_shingles_a", "n_shingles_b"))
+        fewer = Stored(near.select("a", "b", "sketch_a", "sketch_b").mapInArrow(sketched, "a long, b long"), "likely")
+        likely.drop()
+        likely, total = fewer, fewer.df.count()
+    if not total:
+        likely.drop()
+        return None
+    wanted = _wanted(likely.df.select(F.col("a").alias("node")).union(likely.df.select("b")), classes)
+    sets = Stored(_sets(docs, wanted.df, wanted.df.count(), shingle), "sets", "snappy")
+    out = Stored(sides(likely.df, sets.df, total).select("a", "b", "set_a", "set_b").mapInArrow(similar, "a long, b long"), "links")
+    for s in (sets, wanted, likely):
+        s.drop()
     stored.append(out)
     return out.df
 
 
-def components(links: DataFrame) -> Stored:
-    """(node, root) for every node of links (a, b) but the roots: large and small stars in turn, till nothing changes."""
+def _trees(edges: DataFrame) -> DataFrame:
+    """(a, b): every node but the roots with the least node of its component, found in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [np.stack([col(x, "a").to_numpy(), col(x, "b").to_numpy()]) for x in batches]
+        pairs = np.concatenate([np.zeros((2, 0), np.int64), *found], axis=1)
+        names, ends = np.unique(pairs, return_inverse=True)
+        a, b = ends.reshape(2, -1)
+        root = np.arange(len(names))
+        while True:  # every root takes the least root that it is linked with; then all nodes go up to their roots
+            x, y = root[a], root[b]
+            apart = x != y
+            if not apart.any():
+                break
+            np.minimum.at(root, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+            while (root[root] != root).any():
+                root = root[root]
+        lower = root != np.arange(len(names))
+        yield pa.RecordBatch.from_arrays([pa.array(names[lower]), pa.array(names[root[lower]])], names=["a", "b"])
+
+    return edges.coalesce(1).mapInArrow(run, "a long, b long")
+
+
+def components(links: DataFrame, few: int = FEW_LINKS) -> Stored:
+    """(node, root) for every node of links (a, b) but the roots, which are the least nodes of their components.
+
+    Up to `few` links go to one task; of more, large and small stars are made in turn, till nothing changes. A hub's edges are split.
+    """
     edges = Stored(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
 
     def state(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
     before = state(edges.df)
+    if 0 < before[0] <= few:
+        found = Stored(_trees(edges.df), "edges")
+        edges.drop()
+        edges, before = found, (0,)
     while before[0]:
         e = edges.df
         both = e.union(e.select("b", "a"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        lower = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(lower, "a")
-        nxt = Stored(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(lower.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "edges")
-        edges.drop()
+        least = Stored(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n")), "least")
+        hubs = hot(least.df, "a", 2 * before[0])
+        large = Stored(spread(both, least.df.drop("n"), "a", "b", hubs).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
+        lower = Stored(large.df.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "lower")
+        hubs = hot(lower.df, "a", 2 * before[0])
+        small = spread(large.df, lower.df.drop("n"), "a", "b", hubs).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        nxt = Stored(small.union(lower.df.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "edges")
+        for x in (edges, least, large, lower):
+            x.drop()
         edges, after = nxt, state(nxt.df)
         if after == before:
             break
@@ -219,14 +304,15 @@ def components(links: DataFrame) -> Stored:
     return edges
 
 
-def _open_rows(inner: DataFrame, leads: DataFrame, roots: DataFrame) -> DataFrame:
-    """The rows of buckets in several components, with the largest of these and how many blocks the bucket makes."""
+def _open_rows(held: DataFrame, roots: DataFrame, total: int) -> tuple[DataFrame, Stored]:
+    """The rows of buckets in several components, with the largest of these and how many blocks the bucket makes; and what they read."""
     # with two classes, the pair with the leading one was all
-    rows = inner.where("n > 2").join(leads, "bucket").join(roots, "node", "left").select("bucket", "node", "lead", F.coalesce("root", "node").alias("root"))
+    rows = held.where("n > 2").join(roots, "node", "left").select("bucket", "node", "lead", F.coalesce("root", "node").alias("root"))
     by_root = rows.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    open_ = by_root.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("n"), F.count("*").alias("k")).where("k > 1")
     blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
-    return rows.join(open_.select("bucket", "main", blocks(F.col("n")).alias("all_blocks"), blocks(F.col("n") - F.col("most")).alias("some_blocks")), "bucket")
+    whole = by_root.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("n"), F.count("*").alias("k")).where("k > 1")
+    open_ = Stored(whole.select("bucket", "main", "n", blocks(F.col("n")).alias("all_blocks"), blocks(F.col("n") - F.col("most")).alias("some_blocks")), "open")
+    return spread(rows, open_.df.drop("n"), "bucket", "node", hot(open_.df, "bucket", total)), open_
 
 
 def _stragglers(rows: DataFrame, sketches: DataFrame, best: bool) -> DataFrame:
@@ -292,45 +378,107 @@ def _stragglers(rows: DataFrame, sketches: DataFrame, best: bool) -> DataFrame:
     return ordered.mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """doc_id, n_shingles, component_id (the least doc_id that links lead to), kept (whether that is the document itself).
+def _classes(signed: DataFrame, stored: list[Stored]) -> tuple[DataFrame, DataFrame]:
+    """A row for each different set: node (told apart from others by proof), first (see _row), rep, n, and what belongs to the set; and signed with these nodes."""
+    groups = signed.where("node is not null").withColumn("row", _row()).groupBy("node", "proof")
+    classes = Stored(groups.agg(F.min("row").alias("first"), F.min("doc_id").alias("rep"), F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("n_shingles", "bands", "sketch"))), "classes")
+    stored.append(classes)
+    twice = Stored(classes.df.groupBy("node").agg(F.count("*").alias("k"), F.min("proof").alias("main")).where("k > 1").select("node", "main"), "twice")
+    if not twice.df.count():
+        twice.drop()
+        return classes.df, signed
+    # different sets of one node: all but one of them get another
 
-    A set is the distinct `shingle`-word shingles of the text with A-Z lowered; with fewer words it is all of them as one;
-    null texts and texts without words have an empty set, are linked with nothing and stay. Rows with one id and different
-    texts are compared each by itself. A row without id stays where nothing else is in its component. Other columns are
-    ignored; an empty table gives no rows.
-    """
-    spark = docs.sparkSession
-    batch_rows(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    def apart(rows: DataFrame) -> DataFrame:
+        other = F.coalesce(F.col("proof") != F.col("main"), F.lit(False))
+        return rows.join(twice.df, "node", "left").withColumn("node", F.when(other, F.xxhash64("node", "proof")).otherwise(F.col("node"))).drop("main")
+
+    classes = Stored(apart(classes.df), "classes")
+    stored.append(classes)
+    return classes.df, apart(signed)
+
+
+def _judged(docs: DataFrame, shingle: int, node_bits: int = 64) -> DataFrame:
+    """doc_id, digest (a hash of the text), n_shingles, component_id, kept, and stays: true for the first row of each component (see _row) and for empty sets."""
+    batch_rows(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("digest", F.xxhash64("text"))
     stored: list[Stored] = []
-    signed = Stored(signatures(docs, shingle), "signed")
-    classes = Stored(signed.df.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
-    members = classes.df.select("node", F.explode("bands").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    inner = Stored(members.join(shared, "bucket"), "buckets")
+    signed = Stored(signatures(docs, shingle, node_bits), "signed")
+    classes, rows = _classes(signed.df, stored)
+    members = classes.select("node", F.explode("bands").alias("bucket"))
+    shared = Stored(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    total = shared.df.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    buckets = hot(shared.df, "bucket", total)
+    inner = Stored(spread(members, shared.df, "bucket", "node", buckets), "buckets")
     popular = inner.df.groupBy("node").agg(F.sum("n").alias("popular"))
-    leads = Stored(inner.df.join(popular, "node").groupBy("bucket").agg(F.max_by("node", F.struct("popular", "node")).alias("lead")), "leads")
-    links = _confirm(inner.df.join(leads.df, "bucket").where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct(), classes.df, docs, shingle, stored, coarse=True)
-    roots = components(links if links is not None else inner.df.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0))
-    rows = _open_rows(inner.df, leads.df, roots.df)
-    nodes = rows.select("node").distinct().join(classes.df.select("node", "rep", "n_shingles"), "node")
-    precise = Stored(_sets(docs, nodes, shingle, precise=True).join(classes.df.select("node", "n_shingles", "bands"), "node"), "precise")
+    leads = inner.df.join(popular, "node").groupBy("bucket").agg(F.max_by("node", F.struct("popular", "node")).alias("lead"))
+    held = Stored(spread(inner.df, leads, "bucket", "node", buckets), "held")
+    for s in (inner, shared):
+        s.drop()
+    links = _confirm(held.df.where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct(), classes, docs, shingle, stored, coarse=True)
+    roots = components(links if links is not None else held.df.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0))
+    apart, read = _open_rows(held.df, roots.df, total)
+    wanted = _wanted(apart.select("node"), classes)
+    sketches = _sets(docs, wanted.df, wanted.df.count(), shingle, precise=True)
+    precise = Stored(sketches.join(classes.select("node", "n_shingles", "bands"), "node"), "precise")
+    wanted.drop()
     for best in (True, False):
-        more = _confirm(_stragglers(_open_rows(inner.df, leads.df, roots.df), precise.df, best), classes.df, docs, shingle, stored, coarse=False)
+        more = _confirm(_stragglers(apart, precise.df, best), classes, docs, shingle, stored, coarse=False)
+        read.drop()
         if more is None:
-            break  # nothing that is likely is apart
+            break  # no pair that precise sketches let through is apart, so there is none in the second pass either
         merged = components(roots.df.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
         roots.drop()
         roots = merged
-    rooted = classes.df.select("node", "rep").join(roots.df, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = Stored(rooted.join(least, "root").select("node", "component_id"), "components")
-    for s in (*stored, classes, inner, leads, precise, roots):
+        if best:
+            apart, read = _open_rows(held.df, roots.df, total)
+    linked = Stored(roots.df.union(roots.df.select("root", "root").distinct()).join(classes.select("node", "rep", "first"), "node"), "linked")
+    least = Stored(linked.df.groupBy("root").agg(F.min("rep").alias("component_id"), F.min("first").alias("start"), F.count("*").alias("n")), "least")
+    names = spread(linked.df, least.df.drop("n"), "root", "node", hot(least.df, "root", linked.df.count())).select("node", "component_id", "start")
+    named = Stored(classes.select("node", "rep", "first").join(names, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("start", "first").alias("start")), "components")
+    copies = hot(classes.select("node", "n"), "node", classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    for s in (*stored, held, precise, roots, linked, least):
         s.drop()
-    rows = signed.df.select("doc_id", "n_shingles", "node").join(named.df, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return rows.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    own = rows.select("doc_id", "digest", "n_shingles", "node").where("node is not null")
+    component = spread(own, named.df, "node", "doc_id", copies)
+    component = component.withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id"))).withColumn("stays", _row().eqNullSafe(F.col("start"))).drop("node", "start")
+    empty = rows.where("node is null").select("doc_id", "digest", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"), F.lit(True).alias("stays"))
+    return component.unionByName(empty)
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """doc_id, n_shingles, component_id (the least doc_id that links lead to), kept (whether that is the document itself).
+
+    A set is the distinct `shingle`-word shingles of the whole text, however long, with A-Z lowered; with fewer words it is
+    all of them as one; null texts and texts without words have an empty set, are linked with nothing and stay. Rows with one
+    id and different texts are compared each by itself; repeated rows have the same component and flag. Rows without id are
+    linked like others: their component is that of the ids they lead to, and null (with kept true) if there are none. Ties
+    cannot change the result: a component is all that links reach. Other columns are ignored; an empty table gives no rows.
+    """
+    return _judged(docs, shingle).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def deduplicate(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """docs with one row of each component of near duplicates, and all rows with empty sets; its columns are left as they are.
+
+    The row with the least doc_id stays, of several with that id the one with the least hash of its text, of rows that are
+    equal in both any one; a component without ids keeps the row with the least hash.
+    """
+    noid, key, digest = (free(docs.columns, c) for c in ("noid", "key", "digest"))
+    ids = {noid: F.col("doc_id").isNull(), key: F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))), digest: F.xxhash64(F.col("text").cast("string"))}
+    rows = Stored(_judged(docs, shingle).where("n_shingles > 0").select("stays", F.col("doc_id").isNull().alias(noid), F.coalesce("doc_id", "digest").alias(key), F.col("digest").alias(digest)).groupBy("stays", noid, key, digest).agg(F.count("*").alias("n")), "judged").df
+
+    def bounded(found: DataFrame) -> tuple[DataFrame, int]:
+        n = found.count()
+        return (F.broadcast(found) if n <= BROADCAST_ROWS else found), n
+
+    gone, _ = bounded(rows.where(~F.col("stays")).select(noid, key, digest))
+    twice, n_twice = bounded(rows.where(F.col("stays") & (F.col("n") > 1)).select(noid, key, digest))
+    left = docs.withColumns(ids).join(gone, [noid, key, digest], "left_anti")
+    if n_twice:
+        again = left.join(twice, [noid, key, digest], "left_semi").dropDuplicates([noid, key, digest])
+        left = left.join(twice, [noid, key, digest], "left_anti").unionByName(again)
+    return left.select(*docs.columns)
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

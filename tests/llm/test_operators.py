@@ -180,17 +180,40 @@ def components(texts, n, percent=80):
     return [find(i) for i in range(len(texts))], [len(s) for s in sets]
 
 
-def test_near_duplicates_against_brute_force(spark):
-    rnd = random.Random(4)
+def groups_of_copies(seed, groups=12):
+    rnd = random.Random(seed)
     vocabulary = [f"w{i}" for i in range(300)]
     texts = []
-    for g in range(12):
+    for g in range(groups):
         base = [rnd.choice(vocabulary) for _ in range(rnd.choice([1, 2, 3, 10, 60, 150]))]
         for _ in range(rnd.choice([1, 2, 10, 30])):
             copy = list(base)
             for _ in range(rnd.randint(0, max(1, len(base) // 8))):
                 copy[rnd.randrange(len(copy))] = rnd.choice(vocabulary)
             texts.append(" ".join(copy))
+    return texts
+
+
+#: Each bound that the operator has, so low that what lies beyond it is used: blocks of stragglers, salts, shuffled texts, stars, equal hashes.
+BOUNDS = {"as they are": {}, "blocks": {"BLOCK": 4}, "salts": {"HOT_ROWS": 2}, "shuffles": {"BROADCAST_ROWS": 0}, "stars": {"few": 0, "HOT_ROWS": 3}, "hashes": {"bits": 3}, "all": {"BLOCK": 3, "HOT_ROWS": 1, "BROADCAST_ROWS": 0, "few": 0, "bits": 2}}
+
+
+@pytest.fixture(params=sorted(BOUNDS))
+def bounds(request, monkeypatch):
+    b = dict(BOUNDS[request.param])
+    if "few" in b:
+        components = near_dedup.components
+        monkeypatch.setattr(near_dedup, "components", lambda links, few=b.pop("few"): components(links, few))
+    if "bits" in b:
+        signatures = near_dedup.signatures
+        monkeypatch.setattr(near_dedup, "signatures", lambda docs, shingle, node_bits=64, bits=b.pop("bits"): signatures(docs, shingle, bits))
+    for k, v in b.items():
+        monkeypatch.setattr(near_dedup, k, v)
+    return request.param
+
+
+def test_near_duplicates_against_brute_force(spark, bounds):
+    texts = groups_of_copies(4)
     want, sizes = components(texts, 2)
     got = {r.doc_id: r for r in near_dedup.near_duplicates(spark.createDataFrame(rows(*texts), SCHEMA), shingle=2).collect()}
     assert [got[i].component_id for i in range(len(texts))] == want
@@ -198,6 +221,49 @@ def test_near_duplicates_against_brute_force(spark):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got.values())
 
 
+def test_complete_pass_finds_what_the_likeliest_pairs_miss(spark, monkeypatch):
+    """If none of the stragglers' likeliest pairs is a link, all their likely pairs are still confirmed."""
+    texts = groups_of_copies(9, 8)
+    want, _ = components(texts, 2)
+    confirm, fine = near_dedup._confirm, []
+
+    def emptied(*args, coarse):
+        found = confirm(*args, coarse=coarse)
+        if not coarse and found is not None:
+            fine.append(1)
+            return found.limit(0) if len(fine) == 1 else found
+        return found
+
+    monkeypatch.setattr(near_dedup, "_confirm", emptied)
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows(*texts), SCHEMA), shingle=2).orderBy("doc_id").collect()
+    assert [r.component_id for r in got] == want
+
+
+def test_near_duplicates_without_ids(spark):
+    """Rows without id link others and are linked; several rows of an id are each compared by themselves."""
+    base = [f"v{k}" for k in range(60)]
+    near = lambda *at: " ".join("x" + w if k in at else w for k, w in enumerate(base))
+    data = [(None, near()), (5, near(0)), (1, near(59, 58, 57)), (7, "other text"), (7, near(1)), (None, "alone"), (None, "alone"), (None, ""), (3, None), (3, "alone too"), (4, "alone too")]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    got = {(r.doc_id, r.n_shingles): (r.component_id, r.kept) for r in near_dedup.near_duplicates(docs, shingle=1).collect()}
+    assert got[None, 60] == (1, False) and got[5, 60] == (1, False) and got[1, 60] == (1, True) and got[7, 60] == (1, False) and got[7, 2] == (7, True)
+    assert got[None, 1] == (None, True) and got[None, 0] == (None, True) and got[3, 0] == (3, True) and got[3, 2] == (3, True) and got[4, 2] == (3, False)
+    # a row without id is the only link of two others
+    chain = [(5, " ".join(f"a{k}" for k in range(100))), (None, " ".join(f"a{k}" for k in range(10, 110))), (9, " ".join(f"a{k}" for k in range(20, 120)))]
+    assert {r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(chain, "doc_id long, text string"), shingle=1).collect()} == {5}
+    left = near_dedup.deduplicate(docs.withColumn("key", F.lit("k")), shingle=1)
+    assert left.columns == ["doc_id", "text", "key"]
+    assert sorted(((r.doc_id or -1, r.text or "") for r in left.collect())) == sorted([(1, near(59, 58, 57)), (7, "other text"), (-1, "alone"), (-1, ""), (3, ""), (3, "alone too")])
+
+
+def test_deduplicate_keeps_one_of_each_component(spark, bounds):
+    texts = groups_of_copies(5)
+    want, _ = components(texts, 2)
+    data = rows(*texts) * 2 + [(0, None, "en", "s", 0, "x", "y", "z", "b")] * 2
+    left = near_dedup.deduplicate(spark.createDataFrame(data, SCHEMA).repartition(7), shingle=2).collect()
+    assert sorted((r.doc_id, r.text or "") for r in left) == sorted([(i, texts[i]) for i in set(want)] + [(0, ""), (0, "")])
+
+
 def test_near_duplicate_chain(spark):
     """Links that only hold from one text to the next still make one component."""
     words = [f"v{i}" for i in range(400)]
