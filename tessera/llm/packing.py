@@ -1,24 +1,29 @@
 """Best-fit packing of token sequences, bulk-synchronous.
 
-Every document becomes pieces of at most `capacity` tokens. The pieces are range-sorted by descending length, which gives
-each a global rank. A superstep takes the pieces of one length, in that order: a successor sweep finds for them the open
-sequences with the smallest gap that is large enough; where several pieces want the same gaps, ranks decide (piece k of the
-step takes gap k); the gaps that were used shrink, and pieces without a gap open new sequences. As pieces of one length and
-sequences of one gap are interchangeable, a step moves whole intervals of ranks: the plan has as many intervals as lengths
-and gaps demand, however many documents there are, and each piece finds its place in it by its rank.
+Every document becomes pieces of at most `capacity` tokens. Pieces that are not placed yet and the gaps of open sequences
+are two tables. A superstep sorts both by descending size into ranges, a gap before a piece of its size, and sweeps:
+
+1. Each task places the pieces of its range, longest first, into the smallest gaps of its range that are large enough.
+2. Pieces for which a range has no gap look for a successor in the ranges above. What these have left to offer is known
+   by numbers and bounds for each range, so ranks decide all conflicts: the pieces of a range, in order, take the gaps of
+   the nearest range above that has some, the smallest first, as many pieces a gap as surely fit.
+3. Gaps that were used shrink, or are full.
+
+Pieces longer than every gap that is left need new sequences: as many as their tokens fill are offered to the next
+superstep as gaps of the whole capacity, which the sweep takes last. That repeats till every piece has its place.
 """
 
 from __future__ import annotations
 
-import heapq
 import zlib
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bpe_ids
@@ -26,60 +31,169 @@ from .common import Stored, batch_rows, chunks, col, documents, partitions, text
 
 CAPACITY = 1024
 END_ID = 2
-_PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
+#: Rows of a range, where the session's number of partitions allows; ranges become larger beyond that.
+RANGE_ROWS = 50_000
+_PIECE = "pid long, doc_id long, piece int, start long, length long, ids_crc32 long"
+_SWEPT = "part int, gap boolean, id long, size long, rank long, seq long, offset long"
+
 
+def sweep(gaps: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Best fit of lengths into gaps, both in descending order.
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int]]:
-    """Best fit for counts[length] pieces, longest first.
+    Returns for each length the gap that it goes to (-1 for none) and how much of that gap is used before it, and what is
+    left of each gap. Runs of equal gaps and of equal lengths are placed at once: a run of n gaps takes as many of the
+    lengths, one gap after another, as each can hold.
+    """
+    into, used, left = np.full(len(lengths), -1), np.zeros(len(lengths), np.int64), gaps.astype(np.int64)
+    runs: dict[int, list[tuple[int, int]]] = {}  # size -> (first gap, number) of runs of gaps that have it now
+    sizes: list[int] = []  # in ascending order
+
+    def put(size: int, first: int, n: int) -> None:
+        if size and n:
+            if size not in runs:
+                runs[size] = []
+                insort(sizes, size)
+            runs[size].append((first, n))
+
+    def edges(x: np.ndarray) -> list[int]:
+        return [*np.flatnonzero(np.r_[True, x[1:] != x[:-1]]).tolist(), len(x)] if len(x) else [0]
+
+    at = edges(gaps)
+    for a, b in zip(at, at[1:]):
+        put(int(gaps[a]), a, b - a)
+    at = edges(lengths)
+    for a, b in zip(at, at[1:]):
+        length = int(lengths[a])
+        while a < b and (k := bisect_left(sizes, length)) < len(sizes):
+            size = sizes[k]
+            first, n = runs[size].pop()
+            if not runs[size]:
+                del runs[size], sizes[k]
+            each = size // length
+            whole = min(n, (b - a) // each)  # gaps that are filled
+            rest = min(b - a - whole * each, each) if whole < n else 0  # lengths in one more
+            took = np.arange(whole * each + rest)
+            into[a : a + len(took)] = first + took // each
+            used[a : a + len(took)] = (gaps[first + took // each] - size) + took % each * length
+            left[first : first + whole] = size - each * length
+            put(size - each * length, first, whole)
+            if rest:
+                left[first + whole] = size - rest * length
+                put(size - rest * length, first + whole, 1)
+            put(size, first + whole + (rest > 0), n - whole - (rest > 0))
+            a += len(took)
+    return into, used, left
+
+
+def successors(ranges: list[tuple[int, int, int, int, int]]) -> list[tuple[int, bool, int, int, int, int, int]]:
+    """Which pieces that their range has no gap for go to which gaps of ranges above.
+
+    ranges: (range, pieces without a gap, the longest of them, gaps on offer, the smallest of them), from the top. Returns
+    (range, whether of gaps, first rank, end rank, base, step, each): a rank r of those has the match base + step * ((r -
+    first) // each). A match is one gap and the pieces that go there. There are at most four rows a range.
+    """
+    out, stack, base = [], [], 0
+    for part, n, longest, offered, smallest in ranges:
+        first = 0
+        while n and stack:
+            above, m, size = stack.pop()
+            each = size // longest
+            some = min(m, -(-n // each))
+            took = min(n, some * each)
+            out.append((part, False, first, first + took, base, 1, each))
+            out.append((above, True, m - some, m, base + some - 1, -1, 1))
+            first, n, base = first + took, n - took, base + some
+            if m > some:
+                stack.append((above, m - some, size))
+        if offered:
+            stack.append((part, offered, smallest))
+    return out
 
-    Returns (rank, sequence, offset) for the first piece of each interval: the pieces of the interval follow in
-    consecutive sequences at the same offset. Ranks count from 0 by descending length.
+
+def _superstep(items: DataFrame, parts: int, capacity: int) -> DataFrame:
+    """Items (gap or piece, id, size) range-sorted and swept within their range.
+
+    Placed pieces have seq and offset. Of pieces without a gap, and of gaps on offer to the ranges below (those that are
+    still as large as these may need), rank is the place in the order of their range.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if len(b)]
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        is_gap, ids, sizes = (table.column(c).to_numpy(zero_copy_only=False) for c in ("gap", "id", "size"))
+        gap, piece = np.flatnonzero(is_gap), np.flatnonzero(~is_gap)
+        into, used, left = sweep(sizes[gap], sizes[piece])
+        found = into >= 0
+        seq, offset = np.full(len(ids), -1), np.zeros(len(ids), np.int64)
+        if found.any():
+            to = gap[into[found]]
+            seq[piece[found]], offset[piece[found]] = ids[to], capacity - sizes[to] + used[found]
+        rank = np.full(len(ids), -1)
+        rank[piece[~found]] = np.arange(len(piece) - found.sum())
+        order = np.argsort(-left, kind="stable")
+        order = order[left[order] >= sizes[-1]]
+        rank[gap[order]] = np.arange(len(order))
+        now = sizes.copy()
+        now[gap] = left
+        n = len(ids)
+        part = np.full(n, TaskContext.get().partitionId(), np.int32)
+        columns = [pa.array(part), pa.array(is_gap), pa.array(ids), pa.array(now), pa.array(rank, mask=rank < 0), pa.array(seq, mask=seq < 0), pa.array(offset, mask=seq < 0)]
+        yield pa.RecordBatch.from_arrays(columns, names=["part", "gap", "id", "size", "rank", "seq", "offset"])
+
+    keys = [F.col("size").desc(), F.col("gap").desc(), F.col("id")]
+    return items.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).mapInArrow(run, _SWEPT)
+
+
+def place(pieces: DataFrame, capacity: int = CAPACITY, range_rows: int = RANGE_ROWS) -> Stored:
+    """pid, seq, offset of all pieces (pid, length: 1 to capacity). Ties go by pid; an empty table gives an empty one.
+
+    The driver sees numbers by range and by length, and the few rows of successors(); gaps and pieces stay in tables.
     """
-    gaps: dict[int, list[tuple[int, int]]] = {}  # gap -> intervals of sequences that have it
-    order: list[int] = []  # the gaps in use, a heap
-    out: list[tuple[int, int, int]] = []
-    rank = opened = 0
-
-    def put(gap: int, first: int, n: int) -> None:
-        if gap and n:
-            if gap not in gaps:
-                gaps[gap] = []
-                heapq.heappush(order, gap)
-            gaps[gap].append((first, n))
-
-    for length in sorted((k for k, n in counts.items() if n), reverse=True):
-        left, passed = counts[length], []
-        while order and left:
-            gap = heapq.heappop(order)
-            if gap < length:
-                passed.append(gap)
-                continue
-            intervals = gaps.pop(gap)
-            while intervals and left:
-                first, n = intervals.pop()
-                used = min(n, left)
-                out.append((rank, first, capacity - gap))
-                rank, left = rank + used, left - used
-                put(gap - length, first, used)
-                if used < n:
-                    intervals.append((first + used, n - used))
-            if intervals:
-                gaps[gap] = intervals
-                heapq.heappush(order, gap)
-        for gap in passed:
-            heapq.heappush(order, gap)
-        if left:
-            # new sequences, filled with this length layer by layer; what a layer lacks is left open
-            layers = capacity // length
-            first, open_now = opened, -(-left // layers)
-            opened += open_now
-            for layer in range(layers):
-                used = min(open_now, left)
-                put(capacity - layer * length, first + used, open_now - used)
-                if used:
-                    out.append((rank, first, layer * length))
-                rank, left, open_now = rank + used, left - used, used
-            put(capacity - layers * length, first, open_now)
+    spark = pieces.sparkSession
+    open_, gaps, placed, before = pieces.select("pid", "length"), None, [], []
+    opened = fresh = largest = 0
+    while True:
+        # one row for each length
+        lengths = dict(open_.groupBy("length").agg(F.count("*")).collect())
+        if not lengths:
+            break
+        n, total = sum(lengths.values()), sum(k * v for k, v in lengths.items())
+        alone = {k: v for k, v in lengths.items() if k > largest}
+        if alone:  # longer than every gap: their tokens fill so many sequences at least, and so many of them fit in one at most
+            fresh = max(-(-sum(k * v for k, v in alone.items()) // capacity), -(-sum(alone.values()) // (capacity // min(alone))))
+        items = open_.select(F.lit(False).alias("gap"), F.col("pid").alias("id"), F.col("length").cast("long").alias("size"))
+        if gaps is not None:
+            items = items.union(gaps.where(F.col("size") >= min(lengths)).select(F.lit(True), "id", "size"))
+        if fresh:
+            items = items.union(spark.range(opened, opened + fresh).select(F.lit(True), "id", F.lit(capacity).cast("long")))
+            opened, fresh = opened + fresh, 0
+        parts = max(1, min(partitions(spark), n // range_rows))
+        swept = Stored(_superstep(items, parts, capacity), "swept")
+        rest = swept.df.where("seq is null and rank is not null")
+        bounds = rest.groupBy("part").agg(F.count_if(~F.col("gap")), F.max(F.when(~F.col("gap"), F.col("size"))), F.count_if("gap"), F.min(F.when(F.col("gap"), F.col("size")))).orderBy("part").collect()  # a row a range
+        found = successors([(p, a, b or 0, c, d or 0) for p, a, b, c, d in bounds])
+        to = F.broadcast(spark.createDataFrame(found, "part int, gap boolean, first long, end long, base long, step int, each long"))
+        own = swept.df.join(to.withColumnsRenamed({"part": "p", "gap": "g"}), (F.col("part") == F.col("p")) & (F.col("gap") == F.col("g")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("end")), "left")
+        own = own.where("seq is null").select("gap", "id", "size", "rank", (F.col("base") + F.col("step") * F.floor((F.col("rank") - F.col("first")) / F.col("each"))).alias("match"))
+        taken = own.where("gap and match is not null").select("match", F.col("id").alias("seq"), F.col("size").alias("room"))
+        going = own.where("not gap and match is not null").select("match", F.col("id").alias("pid"), F.col("size").alias("length"), "rank")
+        within = Window.partitionBy("match").orderBy("rank")  # at most capacity pieces
+        offset = F.lit(capacity) - F.col("room") + F.sum("length").over(within) - F.col("length")
+        across = Stored(going.join(taken, "match").select("pid", "length", "seq", "room", offset.alias("offset")), "across")
+        placed += [swept.df.where("seq is not null").select(F.col("id").alias("pid"), "seq", "offset"), across.df.select("pid", "seq", "offset")]
+        before += [swept, across]
+        open_ = own.where("not gap and match is null").select(F.col("id").alias("pid"), F.col("size").alias("length"))
+        shrunk = across.df.groupBy("seq").agg((F.max("room") - F.sum("length")).alias("size")).select(F.col("seq").alias("id"), "size")
+        gaps = own.where("gap and match is null").select("id", "size").union(shrunk).where("size > 0")
+        largest = gaps.agg(F.coalesce(F.max("size"), F.lit(0))).first()[0]
+    none = spark.createDataFrame([], "pid long, seq long, offset long")
+    for x in placed:
+        none = none.union(x)
+    out = Stored(none, "placed")
+    for s in before:
+        s.drop()
     return out
 
 
@@ -87,14 +201,16 @@ def pieces(docs: DataFrame, path: str, pattern: str, end_id: int, capacity: int)
     """The pieces of every document: capacity tokens each, but the first, which has the rest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = bpe_ids.encoder(path, pattern)
+        enc, pid = bpe_ids.encoder(path, pattern), TaskContext.get().partitionId() << 40
         for batch in chunks(batches):
             rows: list[tuple] = []
             for doc_id, text in zip(col(batch, "doc_id").to_pylist(), texts_of(batch)):
                 ids = bpe_ids.encode(enc, text, end_id)
                 cuts = [0, *range(len(ids) % capacity or capacity, len(ids) + 1, capacity)]
                 rows += [(doc_id, k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            columns = [pa.array(np.arange(pid, pid + len(rows))), *(pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())))]
+            yield pa.RecordBatch.from_arrays(columns, names=["pid", "doc_id", "piece", "start", "length", "ids_crc32"])
+            pid += len(rows)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _PIECE)
 
@@ -102,39 +218,13 @@ def pieces(docs: DataFrame, path: str, pattern: str, end_id: int, capacity: int)
 def pack(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, end_id: int = END_ID, capacity: int = CAPACITY) -> DataFrame:
     """Packs docs (doc_id, text; other columns are ignored) and returns their pieces with sequence_id and offset.
 
-    Null and empty texts have only the end id; an empty table gives no rows; rows with equal ids are packed each.
+    Null and empty texts have only the end id; an empty table gives no rows; rows with equal ids are packed each. Texts of
+    any length are cut into as many pieces as they need.
     """
-    spark = docs.sparkSession
-    batch_rows(spark)
-    stored = Stored(pieces(docs, path, pattern, end_id, capacity), "pieces")
-
-    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, n = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(batch), part), pa.int32()), pa.array(np.arange(n, n + len(batch)), pa.int64())], names=[*batch.schema.names, "part", "local"])
-            n += len(batch)
-
-    ordered = stored.df.repartitionByRange(partitions(spark), F.col("length").desc(), "doc_id", "piece", "ids_crc32").sortWithinPartitions(F.col("length").desc(), "doc_id", "piece", "ids_crc32")
-    # written, as the ranges of another run could differ
-    ranked = Stored(ordered.mapInArrow(rank, f"{_PIECE}, part int, local long"), "ranked")
-    stored.drop()
-    # at most one row for each partition, and one for each length
-    sizes = dict(ranked.df.groupBy("part").agg(F.count("*")).collect())
-    first, before = {}, 0
-    for part in sorted(sizes):
-        first[part] = before
-        before += sizes[part]
-    found = plan(dict(ranked.df.groupBy("length").agg(F.count("*")).collect()), capacity)
-    ranks, sequences, offsets = (np.array(x, np.int64) for x in (zip(*found) if found else ((), (), ())))
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts = col(batch, "part").to_numpy()
-            at = col(batch, "local").to_numpy() + np.array([first[p] for p in parts.tolist()], np.int64)
-            k = np.searchsorted(ranks, at, side="right") - 1
-            yield pa.RecordBatch.from_arrays([*(col(batch, c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(sequences[k] + at - ranks[k], pa.int64()), pa.array(offsets[k], pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
-
-    return ranked.df.mapInArrow(place, f"{_PIECE}, sequence_id long, offset long")
+    batch_rows(docs.sparkSession)
+    stored = Stored(pieces(docs, path, pattern, end_id, capacity), "pieces").df
+    placed = place(stored, capacity).df
+    return stored.join(placed, "pid").select("doc_id", "piece", "start", "length", "ids_crc32", F.col("seq").alias("sequence_id"), "offset")
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

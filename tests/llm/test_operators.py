@@ -432,30 +432,87 @@ def test_packing(spark, odd, none):
         for p in own.itertuples():
             assert p.ids_crc32 == zlib.crc32(np.array(ids[p.start : p.start + p.length], "<u4").tobytes())
     assert (got.doc_id == 3).sum() == 2
+    assert len(placed.sequence_id.unique()) == len(best_fit(got.length.tolist(), packing.CAPACITY))
     assert packing.pack(none, BPE).count() == 0
 
 
-def test_packing_plan_is_best_fit_decreasing():
+def best_fit(lengths, capacity, gaps=()):
+    """Lengths, longest first, one after another into the smallest gap that is large enough, or a new one; what is left of each."""
+    left = list(gaps)
+    for n in sorted(lengths, reverse=True):
+        fits = [(g, i) for i, g in enumerate(left) if g >= n]
+        if fits:
+            left[min(fits)[1]] -= n
+        else:
+            left.append(capacity - n)
+    return left
+
+
+def test_sweep_is_best_fit():
     rnd = random.Random(8)
-    for _ in range(60):
-        capacity = rnd.choice([10, 37, 1024])
-        lengths = sorted((rnd.randint(1, capacity) for _ in range(rnd.randint(0, 200))), reverse=True)
-        found = packing.plan(Counter(lengths), capacity)
-        assert [f[0] for f in found] == sorted(f[0] for f in found)
-        used, starts = Counter(), [f[0] for f in found] + [len(lengths)]
-        for (first, sequence, offset), end in zip(found, starts[1:]):
-            for k in range(first, end):
-                assert used[sequence + k - first] == offset
-                used[sequence + k - first] += lengths[k]
-        assert max(used.values(), default=0) <= capacity and sum(used.values()) == sum(lengths)
-        open_ = []  # one piece after another
+    for _ in range(300):
+        top = rnd.choice([6, 30, 1024])
+        gaps, lengths = (np.array(sorted((rnd.randint(1, top) for _ in range(rnd.randint(0, 60))), reverse=True), np.int64) for _ in range(2))
+        into, used, left = packing.sweep(gaps, lengths)
+        rest = gaps.copy()
+        for n, g, u in zip(lengths, into, used):
+            if g >= 0:
+                assert u == gaps[g] - rest[g]
+                rest[g] -= n
+        assert (rest == left).all() and (left >= 0).all()
+        # those without a gap fit in none that is left, and sizes are as if one after another was placed
+        plain = list(gaps)
+        none = 0
         for n in lengths:
-            fits = [(g, i) for i, g in enumerate(open_) if g >= n]
+            fits = [(x, i) for i, x in enumerate(plain) if x >= n]
             if fits:
-                open_[min(fits)[1]] -= n
+                plain[min(fits)[1]] -= n
             else:
-                open_.append(capacity - n)
-        assert len(used) == len(open_)
+                none += 1
+        assert sorted(plain) == sorted(left.tolist()) and none == (into < 0).sum()
+
+
+def test_successors():
+    rnd = random.Random(9)
+    for _ in range(200):
+        ranges, size = [], 1000
+        for p in range(rnd.randint(1, 12)):
+            longest, size = size, max(1, size - rnd.randint(0, 120))
+            ranges.append((p, rnd.choice([0, 0, rnd.randint(1, 50)]), longest, rnd.choice([0, rnd.randint(1, 30)]), size))
+        pieces, gaps = {}, {}
+        for part, of_gaps, first, end, base, step, each in packing.successors(ranges):
+            for r in range(first, end):
+                m = base + step * ((r - first) // each)
+                if of_gaps:
+                    assert m not in gaps and r < ranges[part][3]
+                    gaps[m] = part
+                else:
+                    pieces.setdefault(m, []).append(part)
+        assert set(gaps) == set(pieces)
+        for m, parts in pieces.items():
+            assert len(set(parts)) == 1 and gaps[m] < parts[0] and len(parts) * ranges[parts[0]][2] <= ranges[gaps[m]][4]
+        # a piece stays only if no gap above is left
+        for part, n, *_ in ranges:
+            if sum(x.count(part) for x in pieces.values()) < n:
+                assert all(sum(g == q for g in gaps.values()) == ranges[q][3] for q in range(part)) or any(sum(x.count(p) for x in pieces.values()) for p in range(part + 1, len(ranges)))
+
+
+@pytest.mark.parametrize("capacity,kind,range_rows", [(1024, "mixed", 10**6), (1024, "mixed", 100), (1024, "equal", 50), (37, "mixed", 60), (10, "ones", 200), (1024, "small", 150)])
+def test_place_against_best_fit(spark, capacity, kind, range_rows):
+    """Every piece once, no overlap, and nearly as few sequences as best fit of one piece after another; equal with one range."""
+    rnd = random.Random(capacity)
+    draw = {"mixed": lambda: rnd.randint(1, capacity), "equal": lambda: 300, "ones": lambda: 1, "small": lambda: rnd.choice([1, 2, 3, 5, 40, 200, rnd.randint(1, capacity)])}[kind]
+    lengths = [draw() for _ in range(900)]
+    pieces = spark.createDataFrame(list(enumerate(lengths)), "pid long, length long")
+    got = packing.place(pieces, capacity, range_rows).df.toPandas()
+    assert sorted(got.pid) == list(range(len(lengths)))
+    ends = {}
+    for r in got.sort_values(["seq", "offset"]).itertuples():
+        assert r.offset == ends.get(r.seq, 0)
+        ends[r.seq] = r.offset + lengths[r.pid]
+    assert max(ends.values()) <= capacity
+    want = len(best_fit(lengths, capacity))
+    assert len(ends) <= want * 1.02 + 1, (len(ends), want)
 
 
 # --- 8 ---
