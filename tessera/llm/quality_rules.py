@@ -80,11 +80,12 @@ _NEW = (*_BASE, "char_distance", "word_distance", "base_failed", "kept")
 def _measured(docs: DataFrame, text: str, lang: str, row: str) -> DataFrame:
     """row (all columns of docs), lang, words (array), chars, the characters of each class and the base measures. A null text is empty."""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = docs.select(F.struct(*docs.columns).alias(row), t.alias("text"), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"), F.array_remove(F.split(t, _SEPARATORS, -1), "").alias("words"))
+    rare = F.regexp_replace(t, "[a-z \\t-\\r]+", "")  # all that the classes count, in a shorter text
+    rows = docs.select(F.struct(*docs.columns).alias(row), t.alias("text"), rare.alias("rare"), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"), F.array_remove(F.split(t, _SEPARATORS, -1), "").alias("words"))
     return rows.select(
-        row, "lang", "words", F.size("words").cast("long").alias("n_words"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"), _but(F.col("text"), _SYMBOLS).alias("n_symbols"),
+        row, "lang", "words", F.size("words").cast("long").alias("n_words"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"), _but(F.col("rare"), _SYMBOLS).alias("n_symbols"),
         _dup_lines(F.col("text")).alias("n_dup_lines"), _repeat_words(F.col("words")).alias("n_repeat_words"),
-        *(_but(F.col("text"), c).alias(name) for name, c in _CLASSES.items()), F.length("text").cast("long").alias("chars"),
+        *(_but(F.col("rare"), c).alias(name) for name, c in _CLASSES.items()), F.length("text").cast("long").alias("chars"),
     )
 
 
@@ -147,7 +148,7 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     reference = Stored(references(docs, text, lang), "references").df
     if reference.count() <= BROADCAST_LANGUAGES:
         reference = F.broadcast(reference)
-    row = free(["lang", "text", "words", "chars", "class_share", "common", "word_share", *_CLASSES, *_NEW], "row")
+    row = free(["lang", "text", "rare", "words", "chars", "class_share", "common", "word_share", *_CLASSES, *_NEW], "row")
     rows = _measured(docs, text, lang, row).join(reference, "lang", "left")
     found = F.filter("words", lambda w: F.array_contains(F.col("common"), w))
     n = F.greatest(F.col("n_words"), F.lit(1))
