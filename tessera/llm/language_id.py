@@ -28,7 +28,9 @@ DOCUMENT_LETTERS = 400
 SAMPLE_ROWS = 400
 #: Languages learnt at most, those with the most rows; a column of free text has no more models than that.
 LANGUAGES = 256
-WINDOW = 256
+WINDOW = 512
+#: Letters after which lanes are looked at for those that met.
+CHECK = 16
 UNKNOWN = "und"
 #: Codes of what stands between words, and of letters that no sample has.
 GAP, STRANGE = 0, 1
@@ -141,26 +143,29 @@ class Model:
         alone, own = state.copy(), ends.copy()
         language, window = np.nonzero(np.repeat((nth > 0)[None], len(state), axis=0))
         while len(window):
-            fresh, true = self.roots[language], state[language, window - 1]
-            more = np.zeros(len(window), np.int32)
-            lane, k = np.arange(len(window)), 0
+            order = np.argsort(-length[window], kind="stable")
+            language, window = language[order], window[order]
             changed = np.zeros(len(window), bool)
+            # lanes, the longest first; those that met go from time to time, as nothing changes in them any more
+            lane, fresh, true, more = np.arange(len(window)), self.roots[language], state[language, window - 1], np.zeros(len(window), np.int32)
+            at, sizes, k = begin[window], length[window], 0
             while len(lane):
+                for k in range(k, k + CHECK):
+                    n = int(np.searchsorted(-sizes, -k, side="left"))
+                    if not n:
+                        break
+                    here = code[at[:n] + k]
+                    x, y = self.steps[fresh[:n] + here], self.steps[true[:n] + here]
+                    more[:n] += (y & 3) - (x & 3)
+                    fresh[:n], true[:n] = x >> 2, y >> 2
+                k += 1
                 met = fresh == true
-                over = length[window[lane]] == k
-                final = lane[over & ~met]
-                changed[final] = state[language[final], window[final]] != true[over & ~met]
-                state[language[final], window[final]] = true[over & ~met]
-                same = lane[met]
-                changed[same] = state[language[same], window[same]] != alone[language[same], window[same]]
-                state[language[same], window[same]] = alone[language[same], window[same]]
-                keep = ~(met | over)
-                lane, fresh, true = lane[keep], fresh[keep], true[keep]
-                here = code[begin[window[lane]] + k]
-                a, b = self.steps[fresh + here], self.steps[true + here]
-                more[lane] += (b & 3) - (a & 3)
-                fresh, true, k = a >> 2, b >> 2, k + 1
-            ends[language, window] = own[language, window] + more
+                done = met | (sizes <= k)
+                which, end = lane[done], np.where(met[done], alone[language[lane[done]], window[lane[done]]], true[done])
+                changed[which] = state[language[which], window[which]] != end
+                state[language[which], window[which]] = end
+                ends[language[which], window[which]] = own[language[which], window[which]] + more[done]
+                lane, fresh, true, more, at, sizes = (v[~done] for v in (lane, fresh, true, more, at, sizes))
             following = changed & (window + 1 < len(nth))
             following[following] = nth[window[following] + 1] > 0
             language, window = language[following], window[following] + 1
