@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bpe_ids
@@ -34,7 +34,7 @@ END_ID = 2
 #: Rows of a range, where the session's number of partitions allows; ranges become larger beyond that.
 RANGE_ROWS = 50_000
 _PIECE = "pid long, doc_id long, piece int, start long, length long, ids_crc32 long"
-_SWEPT = "part int, gap boolean, id long, size long, rank long, seq long, offset long"
+_SWEPT = "part int, gap boolean, id long, size long, rank long, seq long, offset long, n long"
 
 
 def sweep(gaps: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -114,7 +114,8 @@ def _superstep(items: DataFrame, parts: int, capacity: int) -> DataFrame:
     """Items (gap or piece, id, size) range-sorted and swept within their range.
 
     Placed pieces have seq and offset. Of pieces without a gap, and of gaps on offer to the ranges below (those that are
-    still as large as these may need), rank is the place in the order of their range.
+    still as large as these may need), rank is the place in the order of their range. Each range adds a summary: rows with
+    n, the number of these of one size (rank 0), and of gaps of one size that are not on offer (rank null).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,57 +138,102 @@ def _superstep(items: DataFrame, parts: int, capacity: int) -> DataFrame:
         rank[gap[order]] = np.arange(len(order))
         now = sizes.copy()
         now[gap] = left
-        n = len(ids)
-        part = np.full(n, TaskContext.get().partitionId(), np.int32)
-        columns = [pa.array(part), pa.array(is_gap), pa.array(ids), pa.array(now), pa.array(rank, mask=rank < 0), pa.array(seq, mask=seq < 0), pa.array(offset, mask=seq < 0)]
-        yield pa.RecordBatch.from_arrays(columns, names=["part", "gap", "id", "size", "rank", "seq", "offset"])
+        waiting = (seq < 0) & (is_gap <= (now > 0))  # a gap of nothing is none
+        tallies = []
+        for kind, offered in ((False, True), (True, True), (True, False)):
+            found, n = np.unique(now[waiting & (is_gap == kind) & ((rank >= 0) == offered)], return_counts=True)
+            tallies += [(kind, 0 if offered else -1, x, m) for x, m in zip(found[::-1], n[::-1])]
+        kinds, ranks, values, numbers = (np.array(x) for x in zip(*tallies)) if tallies else (np.zeros(0, np.int64),) * 4
+        keep = np.flatnonzero(waiting | (seq >= 0))
+        none, m = np.full(len(numbers), -1), len(keep)
+        rank, seq = np.r_[rank[keep], ranks], np.r_[seq[keep], none]
+        number = np.r_[np.full(m, -1), numbers]
+        whole = [(np.full(m + len(none), TaskContext.get().partitionId()), pa.int32(), None), (np.r_[is_gap[keep], kinds.astype(bool)], pa.bool_(), None), (np.r_[ids[keep], none], pa.int64(), None)]
+        whole += [(np.r_[now[keep], values], pa.int64(), None), (rank, pa.int64(), rank < 0), (seq, pa.int64(), seq < 0), (np.r_[offset[keep], none], pa.int64(), seq < 0), (number, pa.int64(), number < 0)]
+        yield pa.RecordBatch.from_arrays([pa.array(x, t, mask=mask) for x, t, mask in whole], names=["part", "gap", "id", "size", "rank", "seq", "offset", "n"])
 
     keys = [F.col("size").desc(), F.col("gap").desc(), F.col("id")]
     return items.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).mapInArrow(run, _SWEPT)
 
 
+def _bounds(tallies: list[Row]) -> list[tuple[int, int, int, int, int]]:
+    """What successors() needs of each range."""
+    ranges: dict[int, list[int]] = {}
+    for r in tallies:
+        own = ranges.setdefault(r.part, [0, 0, 0, 1 << 62])
+        if r.rank is not None:
+            own[2 if r.gap else 0] += r.n
+            if r.gap:
+                own[3] = min(own[3], r.size)
+            else:
+                own[1] = max(own[1], r.size)
+    return [(p, *own) for p, own in sorted(ranges.items())]
+
+
+def _left(tallies: list[Row], found: list[tuple]) -> tuple[dict[int, int], int]:
+    """How many pieces of each length the matches found leave without a place, and the largest gap that no match has."""
+    took: dict[tuple[int, bool], list[tuple[int, int]]] = {}
+    for part, of_gaps, first, end, *_ in found:
+        took.setdefault((part, of_gaps), []).append((first, end))
+    lengths: dict[int, int] = {}
+    largest, at = 0, dict.fromkeys(took, 0)
+    for r in sorted(tallies, key=lambda r: (r.part, -r.size)):
+        n = r.n
+        if r.rank is not None and (key := (r.part, r.gap)) in took:  # ranks begin, at the greatest size, with 0
+            a, b = at[key], at[key] + r.n
+            n -= sum(max(0, min(b, end) - max(a, first)) for first, end in took[key])
+            at[key] = b
+        if n and r.gap:
+            largest = max(largest, r.size)
+        elif n:
+            lengths[r.size] = lengths.get(r.size, 0) + n
+    return lengths, largest
+
+
 def place(pieces: DataFrame, capacity: int = CAPACITY, range_rows: int = RANGE_ROWS) -> Stored:
     """pid, seq, offset of all pieces (pid, length: 1 to capacity). Ties go by pid; an empty table gives an empty one.
 
-    The driver sees numbers by range and by length, and the few rows of successors(); gaps and pieces stay in tables.
+    The driver sees numbers by length and by range, at most twice as many rows as there are lengths and ranges, and the rows
+    of successors(); gaps and pieces stay in tables.
     """
     spark = pieces.sparkSession
-    open_, gaps, placed, before = pieces.select("pid", "length"), None, [], []
-    opened = fresh = largest = 0
-    while True:
-        # one row for each length
-        lengths = dict(open_.groupBy("length").agg(F.count("*")).collect())
-        if not lengths:
-            break
-        n, total = sum(lengths.values()), sum(k * v for k, v in lengths.items())
+    lengths = dict(pieces.groupBy("length").agg(F.count("*")).collect())  # a row for each length
+    open_, gaps, placed, before = pieces.select(F.lit(False).alias("gap"), F.col("pid").alias("id"), F.col("length").cast("long").alias("size")), None, [], []
+    opened = largest = 0
+    while lengths:
+        n, items = sum(lengths.values()), open_
+        if gaps is not None and largest >= min(lengths):
+            items = items.union(gaps.where(F.col("size") >= min(lengths)))
         alone = {k: v for k, v in lengths.items() if k > largest}
         if alone:  # longer than every gap: their tokens fill so many sequences at least, and so many of them fit in one at most
             fresh = max(-(-sum(k * v for k, v in alone.items()) // capacity), -(-sum(alone.values()) // (capacity // min(alone))))
-        items = open_.select(F.lit(False).alias("gap"), F.col("pid").alias("id"), F.col("length").cast("long").alias("size"))
-        if gaps is not None:
-            items = items.union(gaps.where(F.col("size") >= min(lengths)).select(F.lit(True), "id", "size"))
-        if fresh:
             items = items.union(spark.range(opened, opened + fresh).select(F.lit(True), "id", F.lit(capacity).cast("long")))
-            opened, fresh = opened + fresh, 0
-        parts = max(1, min(partitions(spark), n // range_rows))
-        swept = Stored(_superstep(items, parts, capacity), "swept")
-        rest = swept.df.where("seq is null and rank is not null")
-        bounds = rest.groupBy("part").agg(F.count_if(~F.col("gap")), F.max(F.when(~F.col("gap"), F.col("size"))), F.count_if("gap"), F.min(F.when(F.col("gap"), F.col("size")))).orderBy("part").collect()  # a row a range
-        found = successors([(p, a, b or 0, c, d or 0) for p, a, b, c, d in bounds])
-        to = F.broadcast(spark.createDataFrame(found, "part int, gap boolean, first long, end long, base long, step int, each long"))
-        own = swept.df.join(to.withColumnsRenamed({"part": "p", "gap": "g"}), (F.col("part") == F.col("p")) & (F.col("gap") == F.col("g")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("end")), "left")
-        own = own.where("seq is null").select("gap", "id", "size", "rank", (F.col("base") + F.col("step") * F.floor((F.col("rank") - F.col("first")) / F.col("each"))).alias("match"))
-        taken = own.where("gap and match is not null").select("match", F.col("id").alias("seq"), F.col("size").alias("room"))
-        going = own.where("not gap and match is not null").select("match", F.col("id").alias("pid"), F.col("size").alias("length"), "rank")
-        within = Window.partitionBy("match").orderBy("rank")  # at most capacity pieces
-        offset = F.lit(capacity) - F.col("room") + F.sum("length").over(within) - F.col("length")
-        across = Stored(going.join(taken, "match").select("pid", "length", "seq", "room", offset.alias("offset")), "across")
-        placed += [swept.df.where("seq is not null").select(F.col("id").alias("pid"), "seq", "offset"), across.df.select("pid", "seq", "offset")]
-        before += [swept, across]
-        open_ = own.where("not gap and match is null").select(F.col("id").alias("pid"), F.col("size").alias("length"))
-        shrunk = across.df.groupBy("seq").agg((F.max("room") - F.sum("length")).alias("size")).select(F.col("seq").alias("id"), "size")
-        gaps = own.where("gap and match is null").select("id", "size").union(shrunk).where("size > 0")
-        largest = gaps.agg(F.coalesce(F.max("size"), F.lit(0))).first()[0]
+            opened += fresh
+        swept = Stored(_superstep(items, max(1, min(partitions(spark), n // range_rows)), capacity), "swept")
+        tallies = swept.df.where("n is not null").select("part", "gap", "size", "rank", "n").collect()
+        found = successors(_bounds(tallies))
+        lengths, largest = _left(tallies, found)
+        rows = swept.df.where("n is null and seq is null")
+        if found:
+            to = F.broadcast(spark.createDataFrame(found, "p int, g boolean, first long, end long, base long, step int, each long"))
+            rows = rows.join(to, (F.col("part") == F.col("p")) & (F.col("gap") == F.col("g")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("end")), "left")
+            rows = rows.select("gap", "id", "size", "rank", (F.col("base") + F.col("step") * F.floor((F.col("rank") - F.col("first")) / F.col("each"))).alias("match"))
+            taken = rows.where("gap and match is not null").select("match", F.col("id").alias("seq"), F.col("size").alias("room"))
+            going = rows.where("not gap and match is not null").select("match", F.col("id").alias("pid"), F.col("size").alias("length"), "rank")
+            within = Window.partitionBy("match").orderBy("rank")  # at most capacity pieces
+            used = F.sum("length").over(within)
+            matched = going.join(taken, "match").select("pid", "seq", (F.lit(capacity) - F.col("room") + used - F.col("length")).alias("offset"), (F.col("room") - used).alias("rest"), F.lead("pid").over(within).isNull().alias("last"))
+            across = Stored(matched, "across")
+            placed.append(across.df.select("pid", "seq", "offset"))
+            before.append(across)
+            rows = rows.where("match is null")
+        placed.append(swept.df.where("seq is not null").select(F.col("id").alias("pid"), "seq", "offset"))
+        before.append(swept)
+        open_, gaps = rows.where("not gap").select("gap", "id", "size"), rows.where("gap").select("gap", "id", "size")
+        if found:
+            shrunk = across.df.where("last and rest > 0")
+            gaps = gaps.union(shrunk.select(F.lit(True), F.col("seq").alias("id"), F.col("rest").alias("size")))
+            largest = max(largest, shrunk.agg(F.coalesce(F.max("rest"), F.lit(0))).first()[0])
     none = spark.createDataFrame([], "pid long, seq long, offset long")
     for x in placed:
         none = none.union(x)
