@@ -82,30 +82,30 @@ def to_groups(df: DataFrame, layout: str, names: FieldMap | None = None, slice_k
     if layout in ("pairwise", "pairwise_implicit"):
         responses = F.array(text(names.chosen), text(names.rejected))
         ranking = F.array(F.lit(0), F.lit(1))
-        reason = F.when(F.col(names.chosen).isNull() | F.col(names.rejected).isNull(), "chosen or rejected is missing")
+        reason = F.when(F.col(names.chosen).isNull() | F.col(names.rejected).isNull(), "a side is null")
     elif layout == "arena":
         winner = F.lower(strip(text(names.winner)))
         a, b = text(names.response_a), text(names.response_b)
         responses = F.when(winner.isin(*WINNER_B), F.array(b, a)).otherwise(F.array(a, b))
         ranking = F.when(winner.isin(*WINNER_A, *WINNER_B), F.array(F.lit(0), F.lit(1)))
-        reason = F.when(F.col(names.response_a).isNull() | F.col(names.response_b).isNull(), "response_a or response_b is missing").when(winner.isin(*TIE), "tie").when(ranking.isNull(), "unknown winner")
+        reason = F.when(F.col(names.response_a).isNull() | F.col(names.response_b).isNull(), "a response is null").when(winner.isin(*TIE), "tie").when(ranking.isNull(), "the winner is none of the names known")
     else:
         responses = F.transform(F.col(names.responses), lambda x: F.coalesce(x.cast("string"), F.lit("")))
-        reason = F.when(F.col(names.responses).isNull(), "responses is not a list")
+        reason = F.when(F.col(names.responses).isNull(), "no list of responses")
         if names.ranking in df.columns:
             ranking = number_list(df, names.ranking, "int")
-            reason = F.coalesce(reason, F.when(F.exists(ranking, lambda x: x.isNull()), "ranking has values that are not integers"))
+            reason = F.coalesce(reason, F.when(F.exists(ranking, lambda x: x.isNull()), "a rank is no whole number"))
         if names.scores in df.columns:
             scores = number_list(df, names.scores, "double")
-            reason = F.coalesce(reason, F.when(F.exists(scores, lambda x: x.isNull()), "scores has values that are not numbers"))
+            reason = F.coalesce(reason, F.when(F.exists(scores, lambda x: x.isNull()), "a score is no number"))
     rows = df.select("*", prompt.alias("_prompt"), responses.alias("_responses"), ranking.alias("_ranking"), scores.alias("_scores"), extract_slices(slice_keys or []).alias("_slices"), reason.alias("_reason"))
     k, r, s = F.size("_responses"), F.col("_ranking"), F.col("_scores")
     invalid = (
-        F.when(k < 2, "fewer than two responses")
-        .when(r.isNotNull() & (F.size(r) != k), "ranking and responses differ in length")
-        .when(F.exists(r, lambda x: x < 0), "ranking has negative values")
-        .when(s.isNotNull() & (F.size(s) != k), "scores and responses differ in length")
-        .when(F.exists(s, lambda x: F.isnan(x) | (F.abs(x) == float("inf"))), "scores has values that are not finite")
+        F.when(k < 2, "one response or none")
+        .when(r.isNotNull() & (F.size(r) != k), "as many ranks as responses are needed")
+        .when(F.exists(r, lambda x: x < 0), "a rank is below 0")
+        .when(s.isNotNull() & (F.size(s) != k), "as many scores as responses are needed")
+        .when(F.exists(s, lambda x: F.isnan(x) | (F.abs(x) == float("inf"))), "a score is not finite")
     )
     new = ("prompt", "responses", "ranking", "scores", "slices")
     kept = [c for c in df.columns if c not in (*new, "reason")]
@@ -120,7 +120,10 @@ def load_report(groups: DataFrame) -> DataFrame:
 
 
 def load_groups(df: DataFrame, layout: str, names: FieldMap | None = None, slice_keys: list[str] | None = None, max_drop_rate: float = 0.05, start_uid: int = 0, order: list[str] | None = None) -> DataFrame:
-    """Groups with uid, by `order`; raises if more than max_drop_rate of the rows are dropped, or all of them."""
+    """Groups with uid, by `order` and then by a hash of the row; raises if more than max_drop_rate of the rows are dropped, or all of them.
+
+    So ids are the same in every run, also where prompts are equal or, as in pairwise_implicit, empty; equal rows have any of theirs.
+    """
     groups = to_groups(df, layout, names, slice_keys)
     n, kept = groups.agg(F.count("*"), F.count_if(F.col("reason").isNull())).first()
     if not kept:
@@ -128,4 +131,5 @@ def load_groups(df: DataFrame, layout: str, names: FieldMap | None = None, slice
     if (n - kept) / n > max_drop_rate:
         raise DataError(f"{n - kept} of {n} rows are dropped, more than {max_drop_rate}")
     out = groups.where(F.col("reason").isNull()).drop("reason")
-    return with_index(out, order or ["prompt"], "uid", start_uid)
+    whole = F.xxhash64(F.to_json(F.struct(*out.columns)))
+    return with_index(out.withColumn("_hash", whole), [*(order or ["prompt"]), "_hash"], "uid", start_uid).drop("_hash")

@@ -17,10 +17,13 @@ def with_index(df: DataFrame, keys: list, name: str = "index", start: int = 0) -
     """df with consecutive numbers from `start` by `keys` (columns that order the rows totally).
 
     Rows are range-partitioned and sorted; each partition numbers its own, and counts of the partitions before it are added.
+    Of rows that are equal in all keys any order will do: their place in the input is the last key, so that a frequent value
+    is dealt over many ranges.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # the id of a row is its partition << 33 | its place there; kept, as other ranges could come out of another run
-    local = checkpointed(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_id", F.monotonically_increasing_id()))
+    keyed = df.withColumn("_tie", F.monotonically_increasing_id())
+    local = checkpointed(keyed.repartitionByRange(n, *keys, "_tie").sortWithinPartitions(*keys, "_tie").drop("_tie").withColumn("_id", F.monotonically_increasing_id()))
     part = F.shiftright("_id", 33)
     counts = sorted(local.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())  # a row for each partition
     base, offsets = start, []

@@ -3,19 +3,28 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ConfigError, DataError
 from ..functions.numbers import hash_unit
-from .order import SMALL
+from .order import with_index
+
+#: Prompts that assign_random permutes by numbers on the driver (8 bytes each).
+PERMUTED = 10_000_000
 
 
 def row_dedup(rows: DataFrame, order: str) -> DataFrame:
-    """rows with copy: 0 for the first of equal rows by `order`, which itself does not count, then 1, 2 and so on."""
+    """rows with copy: 0 for the first of equal rows by `order`, which itself does not count, then 1, 2 and so on.
+
+    Rows are numbered in one order of their hashes; a copy's number is its distance from the first. Only rows that have
+    copies are joined, by a table of one row for each, whose join may be split where one record is very frequent.
+    """
     columns = sorted(c for c in rows.columns if c != order)
-    w = Window.partitionBy(F.sha2(F.to_json(F.struct(*columns)), 256)).orderBy(order)
-    return rows.withColumn("copy", F.row_number().over(w) - 1)
+    numbered = with_index(rows.withColumn("_h", F.sha2(F.to_json(F.struct(*columns)), 256)), ["_h", order], "_i")
+    first = numbered.groupBy("_h").agg(F.min("_i").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    return numbered.join(first, "_h", "left").withColumn("copy", F.coalesce(F.col("_i") - F.col("_first"), F.lit(0)).cast("int")).drop("_h", "_i", "_first")
 
 
 def assign_hash(rows: DataFrame, val_frac: float, prompt: str = "prompt") -> DataFrame:
@@ -25,17 +34,23 @@ def assign_hash(rows: DataFrame, val_frac: float, prompt: str = "prompt") -> Dat
 
 
 def assign_random(rows: DataFrame, val_frac: float, seed: int = 0, prompt: str = "prompt") -> DataFrame:
-    """rows with is_val, by one permutation of the sorted prompts; for so many prompts as the driver may hold (SMALL)."""
+    """rows with is_val, by one permutation of the sorted prompts, which stay in a table; the driver holds numbers alone.
+
+    Beyond PERMUTED prompts the order is that of a hash of seed and prompt, which needs no numbers on the driver.
+    """
     _check(val_frac)
-    prompts = sorted(r[0] for r in rows.select(F.coalesce(F.col(prompt), F.lit(""))).distinct().limit(SMALL + 1).collect())
-    if len(prompts) > SMALL:
-        raise ConfigError(f"more than {SMALL} prompts: use the hash method")
-    if len(prompts) < 2:
+    spark, own = rows.sparkSession, F.coalesce(F.col(prompt), F.lit(""))
+    prompts = rows.select(own.alias("_p")).distinct()
+    n = prompts.count()
+    if n < 2:
         raise DataError("a split needs two prompts")
-    n = max(1, min(len(prompts) - 1, round(val_frac * len(prompts))))
-    chosen = np.random.default_rng(seed).permutation(len(prompts))[:n]
-    val = rows.sparkSession.createDataFrame([(prompts[i], True) for i in chosen], "_p string, _v boolean")
-    return rows.join(F.broadcast(val), F.coalesce(F.col(prompt), F.lit("")) == F.col("_p"), "left").withColumn("is_val", F.coalesce("_v", F.lit(False))).drop("_p", "_v")
+    m = max(1, min(n - 1, round(val_frac * n)))
+    if n <= PERMUTED:
+        chosen = pd.DataFrame({"_i": np.random.default_rng(seed).permutation(n)[:m]})
+        val = with_index(prompts, ["_p"], "_i").join(spark.createDataFrame(chosen), "_i").select("_p")
+    else:
+        val = with_index(prompts.withColumn("_h", F.xxhash64(F.lit(seed), "_p")), ["_h", "_p"], "_i").where(F.col("_i") < m).select("_p")
+    return rows.withColumn("_p", own).join(val.withColumn("_v", F.lit(True)), "_p", "left").withColumn("is_val", F.coalesce("_v", F.lit(False))).drop("_p", "_v")
 
 
 def _check(val_frac: float) -> None:
@@ -71,5 +86,6 @@ def first_prompts(rows: DataFrame, n: int, order: str, prompt: str = "prompt") -
 
 
 def unique_rows(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """The first row of each value of key."""
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("_n = 1").drop("_n")
+    """The first row of each value of key, by a partial aggregate: a frequent value gives one row a task."""
+    first = rows.groupBy(F.col(key).alias("_k")).agg(F.min_by(F.struct(*rows.columns), F.col(order)).alias("_r"))
+    return first.select(*(F.col("_r")[c].alias(c) for c in rows.columns))

@@ -77,7 +77,7 @@ def _turns(spark, sf_dir):
     return table(spark, sf_dir, "conversations").withColumn("nr", F.lead("role").over(w)).withColumn("nt", F.lead("text").over(w)).where("role = 'user'")
 
 
-@query(f"with t as ({_CONV}) select coalesce(text, '') as prompt, nt as chosen, 'refused' as rejected, case when nt is null then 'chosen or rejected is missing' end as reason from t where role = 'user'")
+@query(f"with t as ({_CONV}) select coalesce(text, '') as prompt, nt as chosen, 'refused' as rejected, case when nt is null then 'a side is null' end as reason from t where role = 'user'")
 def fmt_pairwise(spark, sf_dir):
     rows = _turns(spark, sf_dir).select(F.col("text").alias("q"), F.col("nt").alias("good"), F.lit("refused").alias("bad"))
     g = formats.to_groups(rows, "pairwise", formats.FieldMap.of({"prompt": "q", "chosen": "good", "rejected": "bad"}))
@@ -100,7 +100,7 @@ w as (select *, case k % 5 when 0 then 'A' when 1 then ' model_b ' when 2 then '
 @query(
     _ARENA
     + """select event_id, case when k % 5 = 1 then response_b else response_a end as first, case when k % 5 = 1 then response_a else response_b end as second,
-      case when response_b is null then 'response_a or response_b is missing' when k % 5 = 2 then 'tie' when k % 5 = 4 then 'unknown winner' end as reason from w"""
+      case when response_b is null then 'a response is null' when k % 5 = 2 then 'tie' when k % 5 = 4 then 'the winner is none of the names known' end as reason from w"""
 )
 def fmt_arena(spark, sf_dir):
     rows = _arena(spark, sf_dir)
@@ -119,7 +119,7 @@ def _arena(spark, sf_dir):
     return rows.withColumn("winner", F.when(m == 0, "A").when(m == 1, " model_b ").when(m == 2, "tie").when(m == 3, "0").otherwise("zzz"))
 
 
-@query(_ARENA + ", r as (select case when response_b is null then 'response_a or response_b is missing' when k % 5 = 2 then 'tie' when k % 5 = 4 then 'unknown winner' end as reason from w) select reason, count(*) as n_rows, round(count(*) / sum(count(*)) over (), 9) as share from r group by reason")
+@query(_ARENA + ", r as (select case when response_b is null then 'a response is null' when k % 5 = 2 then 'tie' when k % 5 = 4 then 'the winner is none of the names known' end as reason from w) select reason, count(*) as n_rows, round(count(*) / sum(count(*)) over (), 9) as share from r group by reason")
 def load_report(spark, sf_dir):
     return formats.load_report(formats.to_groups(_arena(spark, sf_dir), "arena")).withColumn("share", F.round("share", 9))
 
@@ -130,7 +130,7 @@ def load_groups(spark, sf_dir):
     return g.select("uid", "prompt", F.size("responses").cast("bigint").alias("k"), F.col("slices")["family"].alias("family"), F.aggregate("scores", F.lit(0.0), lambda a, x: a + x).alias("score_sum"))
 
 
-@query(f"with {PAIRS_SQL} select prompt, case when max(k) < 2 then 'fewer than two responses' end as reason from sized group by prompt")
+@query(f"with {PAIRS_SQL} select prompt, case when max(k) < 2 then 'one response or none' end as reason from sized group by prompt")
 def group_validate(spark, sf_dir):
     return formats.to_groups(kway(spark, sf_dir), "kway").select("prompt", "reason")
 

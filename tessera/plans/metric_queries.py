@@ -381,10 +381,10 @@ def slice_masks(spark, sf_dir):
 
 def _ids(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", "text")
-    return c.select("conv_id", "turn", F.slice(F.transform(F.split("text", " "), lambda w: F.length(w)), 1, 40).alias("p"), F.slice(F.transform(F.split("text", "e"), lambda w: F.length(w)), 1, 24).alias("r"))
+    return c.select("conv_id", "turn", F.transform(F.split("text", " "), lambda w: F.length(w)).alias("p"), F.transform(F.split("text", "e"), lambda w: F.length(w)).alias("r"))
 
 
-_IDS = "ids as (select conv_id, turn, list_transform(string_split(text, ' '), lambda w: length(w)::int)[1:40] as p, list_transform(string_split(text, 'e'), lambda w: length(w)::int)[1:24] as r from conversations where text is not null)"
+_IDS = "ids as (select conv_id, turn, list_transform(string_split(text, ' '), lambda w: length(w)::int) as p, list_transform(string_split(text, 'e'), lambda w: length(w)::int) as r from conversations where text is not null)"
 _ENC = "enc as (select *, case when 32 - len(r) <= 0 then [] when len(p) > 32 - len(r) then p[len(p) - (32 - len(r)) + 1 :] else p end as q, r[1 : least(32, len(r))] as s from ids)"
 
 
@@ -412,12 +412,12 @@ def collate_report(spark, sf_dir):
     return K.collate_report(_ids(spark, sf_dir).select(*(v.alias(k) for k, v in e.items())))
 
 
-_LP = "lp as (select vec_id, list_transform((embedding::double[])[1:8], lambda x: x - 1) as lp, list_transform(range(1, 9), lambda i: (i > 3)::int) as mask from embeddings)"
+_LP = "lp as (select vec_id, list_transform(embedding::double[], lambda x: x - 1) as lp from embeddings)"
 
 
-@query(f"with {_LP} select vec_id, round(list_sum(lp[4:8]), 9) as total, round(list_sum(lp[4:8]) / 5, 9) as mean from lp")
+@query(f"with {_LP} select vec_id, round(list_sum(lp[4:]), 9) as total, round(list_sum(lp[4:]) / (len(lp) - 3), 9) as mean from lp")
 def sequence_logprob(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double") - 1).alias("lp"), F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: (i > 3).cast("int")).alias("mask"))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double") - 1).alias("lp"), F.transform("embedding", lambda x, i: (i >= 3).cast("int")).alias("mask"))
     return _round(e.select("vec_id", K.sequence_logprob(F.col("lp"), F.col("mask")).alias("total"), K.sequence_logprob(F.col("lp"), F.col("mask"), "mean").alias("mean")), digits=9)
 
 

@@ -7,6 +7,8 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .errors import ConfigError
+
 
 def session(app: str = "tessera", **conf: str) -> SparkSession:
     """UTC, ANSI and adaptive execution; anything else by conf, with dots written as double underscores."""
@@ -20,6 +22,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; one of our own where spark.checkpoint.dir is unset."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not set_dir:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ConfigError("set spark.checkpoint.dir to a folder that driver and executors share")
         set_dir = "file://" + tempfile.mkdtemp(prefix="tessera-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(set_dir)

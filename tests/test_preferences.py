@@ -27,20 +27,20 @@ def kway(spark, *rows):
 
 def test_layouts_and_reasons(spark):
     two = spark.createDataFrame([("q", "a", "b"), (None, "a", "b"), ("q", None, "b")], "prompt string, chosen string, rejected string")
-    assert [(r.prompt, r.responses, r.reason) for r in formats.to_groups(two, "pairwise").collect()] == [("q", ["a", "b"], None), ("", ["a", "b"], None), ("q", ["", "b"], "chosen or rejected is missing")]
+    assert [(r.prompt, r.responses, r.reason) for r in formats.to_groups(two, "pairwise").collect()] == [("q", ["a", "b"], None), ("", ["a", "b"], None), ("q", ["", "b"], "a side is null")]
     arena = spark.createDataFrame([("q", "a", "b", w) for w in ("A", " model_b ", "tie", "0", "1", "zzz", "", None)] + [("q", None, "b", "a")], "prompt string, response_a string, response_b string, winner string")
     got = formats.to_groups(arena, "arena").collect()
-    assert [r.reason for r in got] == [None, None, "tie", None, None, "unknown winner", "tie", "tie", "response_a or response_b is missing"]
+    assert [r.reason for r in got] == [None, None, "tie", None, None, "the winner is none of the names known", "tie", "tie", "a response is null"]
     assert [r.responses for r in got][:2] == [["a", "b"], ["b", "a"]] and got[4].responses == ["b", "a"]
 
 
 def test_kway_validation(spark):
     rows = kway(spark, (3, [2, 0, 1], None), (1, None, [1.0]), (2, [0], None), (2, [0, -1], None), (2, None, [1.0]), (2, None, [1.0, math.nan]), (2, None, None))
     got = [r.reason for r in formats.to_groups(rows, "kway").collect()]
-    assert got == [None, "fewer than two responses", "ranking and responses differ in length", "ranking has negative values", "scores and responses differ in length", "scores has values that are not finite", None]
+    assert got == [None, "one response or none", "as many ranks as responses are needed", "a rank is below 0", "as many scores as responses are needed", "a score is not finite", None]
     strings = spark.createDataFrame([("p", ["a", None], ["2", "x"])], "prompt string, responses array<string>, ranking array<string>")
     row = formats.to_groups(strings, "kway").first()
-    assert row.reason == "ranking has values that are not integers" and row.responses == ["a", ""]
+    assert row.reason == "a rank is no whole number" and row.responses == ["a", ""]
 
 
 def test_loading_refuses(spark):
