@@ -12,7 +12,6 @@ from . import config as C
 from .errors import ConfigError, DataError
 from .operators import audit as A
 from .operators import formats, pairs, splits, vectors
-from .operators.order import SMALL
 from .session import checkpointed, session
 from .sources import readers, sinks
 
@@ -45,11 +44,11 @@ def audit(spark: SparkSession, cfg: C.Config) -> list[str]:
 
 
 def profile(spark: SparkSession, cfg: C.Config) -> list[str]:
-    """Tier 1 with the hashing encoder, over at most max_samples pairs by a hash of their id."""
+    """Tier 1 with the hashing encoder, over at most max_samples pairs by a hash of their id (the sample is the feature; no other bound applies)."""
     p = cfg.profile
     groups = _groups(spark, cfg, cfg.data.train_path)
     every = pairs.to_pairs(groups, cfg.policy)
-    sample = every.orderBy(F.xxhash64(F.lit(p.seed), "pair_uid"), "pair_uid").limit(min(p.max_samples, SMALL))
+    sample = pairs.uniform_sample(every, "pair_uid", p.max_samples, p.seed)
     rows = sample
     for side in ("prompt", "chosen", "rejected"):
         rows = vectors.hash_embed(rows, side, p.width, f"e_{side}")

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import dataclasses
 import difflib
+import os
 import types
 import typing
 from dataclasses import dataclass, field
 from typing import Any, Literal
 
-from .errors import ConfigError
+from .errors import ConfigError, brief
 
 
 @dataclass
@@ -83,19 +84,32 @@ def coerce(value: Any, kind: Any, where: str) -> Any:
             return False
         raise ConfigError(f"{where}: {value!r} is neither true nor false")
     if kind in (int, float):
-        if isinstance(value, bool):
-            raise ConfigError(f"{where}: {value!r} is not a number")
-        try:
-            return kind(value)
-        except (TypeError, ValueError):
-            raise ConfigError(f"{where}: {value!r} is not {kind.__name__}") from None
+        return _number(value, kind, where)
     if kind is tuple:
-        return tuple(value.split(",") if isinstance(value, str) else value)
-    if kind is str and value is not None:
-        return str(value)
+        if isinstance(value, str):
+            value = [x.strip() for x in value.split(",")]
+        return tuple(x for x in value or () if x != "")
+    if kind is str and not isinstance(value, str):
+        raise ConfigError(f"{where}: {brief(value)} is no text")
     return value
 
 
+def _number(value: Any, kind: type, where: str) -> Any:
+    """Texts may be in any base that Python writes; a whole number must be one, also where it is written with a point."""
+    bad = ConfigError(f"{where}: {brief(value)} is not {kind.__name__}")
+    if isinstance(value, bool) or not isinstance(value, (int, float, str)):
+        raise bad
+    try:
+        if isinstance(value, str) and kind is int:
+            return int(value, 0)
+        number = kind(value)
+    except (ValueError, OverflowError):
+        raise bad from None
+    if kind is int and number != value:
+        raise bad
+    return number
+
+
 def from_dict(kind: type, values: dict | None, where: str = "") -> Any:
     known, hints = {f.name for f in dataclasses.fields(kind)}, typing.get_type_hints(kind)
     for key in values or {}:
@@ -142,3 +156,77 @@ def load(path: str | None, overrides: list[str] | None = None) -> Config:
         if values is not None and not isinstance(values, dict):
             raise ConfigError(f"{path} holds no mapping")
     return override(from_dict(Config, values), overrides or [])
+
+
+@dataclass
+class PolicyConfig:
+    model_name: str = ""
+    model_ckpt: str = ""
+    max_length: int = 512
+    template: str = "{prompt}\n{response}"
+
+
+@dataclass
+class LossConfig:
+    beta: float = 0.1
+    sft_wt: float = 0.0
+
+
+@dataclass
+class InferenceConfig:
+    num_samples_per_prompt: int = 1
+    temperature: float = 1.0
+    top_p: float = 1.0
+    max_new_tokens: int = 64
+    eval_prompts: int = 0
+
+
+@dataclass
+class TrainConfig:
+    disable_dropout: bool = True
+    steps: int = 50
+    patience: int = 3
+
+
+@dataclass
+class ReferenceConfig:
+    precomputed_logp_path: str = ""
+    precomputed_val_logp_path: str = ""
+
+
+@dataclass
+class DPOConfig:
+    policy: PolicyConfig = field(default_factory=PolicyConfig)
+    loss: LossConfig = field(default_factory=LossConfig)
+    inference: InferenceConfig = field(default_factory=InferenceConfig)
+    train: TrainConfig = field(default_factory=TrainConfig)
+    reference: ReferenceConfig = field(default_factory=ReferenceConfig)
+
+
+def dpo_faults(cfg: DPOConfig) -> list[str]:
+    """The settings of a DPO run that cannot be, by name; none if it is sound."""
+    p, i = cfg.policy, cfg.inference
+    before, mark, after = p.template.partition("{prompt}")
+    gap, end, _ = after.partition("{response}")
+    stored = [x for x in (cfg.reference.precomputed_logp_path, cfg.reference.precomputed_val_logp_path) if x]
+    sound = {
+        "policy.model_name": bool(p.model_name) != bool(p.model_ckpt),  # one of both
+        "policy.max_length": p.max_length > 0,
+        "policy.template": bool(mark and end and gap) and "{response}" not in before,  # a prompt, something between, a response
+        "loss.beta": cfg.loss.beta > 0,
+        "loss.sft_wt": cfg.loss.sft_wt >= 0,
+        "inference.num_samples_per_prompt": i.num_samples_per_prompt >= 1 and (i.temperature != 0 or i.num_samples_per_prompt == 1),  # greedy samples are equal
+        "inference.temperature": i.temperature >= 0,
+        "inference.top_p": 0 < i.top_p <= 1,
+        "inference.max_new_tokens": i.max_new_tokens >= 1,
+        "inference.eval_prompts": i.eval_prompts >= 0,
+        "train.disable_dropout": cfg.train.disable_dropout,  # else stored log-probabilities are not those of the policy
+        "reference.precomputed_val_logp_path": len(set(map(os.path.realpath, stored))) == len(stored),
+    }
+    return [name for name, good in sound.items() if not good]
+
+
+def validate_dpo(cfg: DPOConfig) -> DPOConfig:
+    if bad := dpo_faults(cfg):
+        raise ConfigError("settings that cannot be: " + ", ".join(f"{k} = {brief(flatten(cfg)[k])}" for k in bad))
+    return cfg

@@ -125,6 +125,22 @@ def reward_weights(names: list[str], weights: list[float] | None = None, normali
     return dict(zip(names, weights))
 
 
+def optimizer_groups(parameters: DataFrame, rate: float) -> DataFrame:
+    """One row over parameters (shape: array of ints, trainable, values: array): tensors and numbers that decay, that do not
+    (fewer than two dimensions) and that are frozen, and the share of trainable numbers that a step of `rate` leaves where
+    they are in bfloat16: half a unit in the last place is 1/512 of a number, so those over 512 times the rate."""
+    if not rate > 0:
+        raise ConfigError("the rate must be positive")
+    n, flat = F.size("values"), F.size("shape") < 2
+    stuck = F.size(F.filter("values", lambda v: F.abs(v) > 512 * rate))
+    on = F.col("trainable")
+    total = lambda c, where: F.coalesce(F.sum(F.when(where, c)), F.lit(0)).cast("bigint")
+    rows = parameters.agg(
+        F.count_if(on & ~flat).alias("n_decay_tensors"), total(n, on & ~flat).alias("n_decay"), F.count_if(on & flat).alias("n_flat_tensors"), total(n, on & flat).alias("n_flat"), total(n, ~on).alias("n_frozen"), total(stuck, on).alias("n_stuck")
+    )
+    return rows.withColumn("frac_stuck", F.coalesce(F.try_divide("n_stuck", F.col("n_decay") + F.col("n_flat")), F.lit(0.0))).drop("n_stuck")
+
+
 def combine_rewards(rows: DataFrame, weights: dict[str, float]) -> DataFrame:
     """rows with total, the weighted sum of the named columns; null where there are none."""
     total = sum((F.col(k) * F.lit(w) for k, w in weights.items()), F.lit(0.0)) if weights else F.lit(None).cast("double")

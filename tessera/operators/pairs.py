@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ConfigError
+from ..functions.numbers import hash_unit
 
 POLICIES = ("all_pairs", "best_vs_rest", "adjacent")
 
@@ -87,3 +88,8 @@ def count_pairs(groups: DataFrame) -> DataFrame:
     total = lambda a: F.aggregate(a, F.lit(0).cast("bigint"), lambda x, y: x + y)
     steps = F.zip_with(s, F.slice(s, F.lit(2), F.greatest(F.size(s), F.lit(1))), lambda a, b: a * F.coalesce(b, F.lit(0).cast("bigint")))
     return rows.select("uid", ((k * k - total(F.transform(s, lambda x: x * x))) / 2).cast("bigint").alias("all_pairs"), (F.get(s, F.lit(0)) * (k - F.get(s, F.lit(0)))).alias("best_vs_rest"), total(steps).alias("adjacent"))
+
+
+def uniform_sample(pairs: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
+    """n rows (all, if there are fewer) by a hash of seed and key; each task gives n rows at most."""
+    return pairs.orderBy(hash_unit(F.concat(F.lit(f"{seed} "), F.col(key).cast("string"))), key).limit(n)

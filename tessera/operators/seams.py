@@ -44,13 +44,36 @@ def generate(prompts: DataFrame, key: str, generator: Callable[[Sequence[str], i
     return prompts.select(key, "prompt").mapInPandas(run, schema)
 
 
+#: Names that results have of their own.
+RESERVED = {"sample", "response"}
+
+
 def generate_missing(prompts: DataFrame, done: DataFrame, key: str, generator: Callable[[Sequence[str], int], Sequence[str]]) -> DataFrame:
-    """Generations of the prompts that done lacks."""
-    if clash := {"sample", "response"} & set(prompts.columns):
+    """Greedy generations of the prompts that done lacks."""
+    if clash := RESERVED & set(prompts.columns):
         raise ConfigError(f"columns {sorted(clash)} are the results' own")
     return generate(prompts.join(done.select(key), key, "left_anti"), key, generator, greedy=True)
 
 
+def generate_resumable(prompts: DataFrame, path: str, key: str, generator: Callable[[Sequence[str], int], Sequence[str]]) -> DataFrame:
+    """All results at path, after those that it lacks were generated and appended; a run that ended early is taken up again."""
+    spark = prompts.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    kind = T.StructType([prompts.schema[key], T.StructField("sample", T.IntegerType()), T.StructField("response", T.StringType())])
+    done = spark.read.schema(kind).parquet(path) if there else spark.createDataFrame([], kind)
+    generate_missing(prompts, done, key, generator).write.mode("append").parquet(path)
+    return spark.read.schema(kind).parquet(path)
+
+
+def memoised(rows: DataFrame, text: str, compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """rows with what compute adds to (sha, text), which sees every different text once; for functions that cost more than a join."""
+    sha = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+    keyed = rows.withColumn("sha", sha)
+    made = compute(keyed.select("sha", F.coalesce(F.col(text), F.lit("")).alias("text")).dropDuplicates(["sha"])).drop("text")
+    return keyed.join(made, "sha").drop("sha")
+
+
 def reward_head(hidden: Column, weights: Sequence[float], bias: float = 0.0) -> Column:
     """The linear head over a pooled vector."""
     from ..functions.numbers import dot

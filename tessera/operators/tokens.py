@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import ConfigError
 from .order import with_index
@@ -19,6 +22,38 @@ def encode_pair(prompt: Column, response: Column, max_length: int) -> dict[str,
     return {"prompt_ids": cut, "response_ids": F.slice(response, F.lit(1), F.least(m, F.size(response))), "prompt_truncated": (room >= 0) & (F.size(prompt) > room), "response_truncated": room < 0}
 
 
+def tokenise(rows: DataFrame, columns: list[str], encode: Callable[[list[str]], list[list[int]]], max_length: int) -> DataFrame:
+    """rows with `<column>_ids`, at most max_length of them, and `<column>_truncated`: encode sees the whole texts of a batch."""
+    new = [x for c in columns for x in (T.StructField(f"{c}_ids", T.ArrayType(T.IntegerType())), T.StructField(f"{c}_truncated", T.BooleanType()))]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for c in columns:
+                ids = encode(batch[c].fillna("").tolist()) if len(batch) else []
+                batch[f"{c}_ids"] = pd.Series([x[:max_length] for x in ids], index=batch.index, dtype=object)
+                batch[f"{c}_truncated"] = pd.Series([len(x) > max_length for x in ids], index=batch.index, dtype=bool)
+            yield batch
+
+    return rows.mapInPandas(run, T.StructType([*rows.schema.fields, *new]))
+
+
+def pad_join(rows: DataFrame, first: str, second: str, pad_id: int = 0) -> DataFrame:
+    """rows with both lists filled on the right to the length of the longer one."""
+    longest = F.greatest(F.size(first), F.size(second))
+    fill = lambda c: F.concat(F.col(c), F.array_repeat(F.lit(pad_id), longest - F.size(c)))
+    return rows.withColumns({first: fill(first), second: fill(second)})
+
+
+def pretokenise(rows: DataFrame, key: list[str], text: str, encode: Callable[[list[str]], list[list[int]]], max_length: int, path: str) -> None:
+    """Stores the ids of every row once, in lists of any length (no padding)."""
+    tokenise(rows.select(*key, text), [text], encode, max_length).select(*key, F.col(f"{text}_ids").alias("ids")).write.parquet(path)
+
+
+def gather(spark: SparkSession, path: str, wanted: DataFrame, key: list[str]) -> DataFrame:
+    """The stored ids of the rows wanted, with their number."""
+    return spark.read.parquet(path).join(wanted.select(*key), key).select(*key, "ids", F.size("ids").alias("n"))
+
+
 def collate(rows: DataFrame, batch: str, pad_id: int = 0) -> DataFrame:
     """rows (prompt_ids, response_ids, batch) with input_ids, attention_mask and completion_mask, padded on the right to the batch's longest."""
     rows = rows.withColumn("_n", F.size("prompt_ids") + F.size("response_ids"))

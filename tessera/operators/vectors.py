@@ -376,15 +376,27 @@ def distribution_shift(train: DataFrame, val: DataFrame, vectors: dict[str, str]
 CONTROLLED, CEILING, CONFOUND, ONE_AXIS, OFFTOPIC, DIVERSE = 0.05, 0.75, 0.15, 0.35, 0.20, 0.05
 
 
-def profile_warnings(report: DataFrame) -> DataFrame:
-    """ord, code of the rules that a one-row report of Tier 1 breaks; a null value breaks none."""
+def profile_warnings(report: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """ord, code of the rules that a report of Tier 1 breaks, by keys if there are several; a null value breaks none."""
     c = F.col
     rules = [
         ("surface_by_construction", c("frac_surface_controlled") < CONTROLLED), ("easy_without_shortcuts", c("separability_min") > CEILING), ("large_confound", c("top_confound_drop") > CONFOUND), ("one_axis", c("mean_pairwise_cosine") > ONE_AXIS),
         ("rejected_off_topic", c("frac_rejected_offtopic") > OFFTOPIC), ("semantic_leakage", c("n_cross") > 0), ("low_diversity", c("effective_sample_ratio") < DIVERSE), ("shift_not_meaningful", c("shift_status") == "not_applicable"),
     ]
     each = F.array(*(F.when(F.coalesce(bad, F.lit(False)), F.struct(F.lit(i).alias("ord"), F.lit(code).alias("code"))) for i, (code, bad) in enumerate(rules)))
-    return report.select(F.explode(F.filter(each, lambda x: x.isNotNull())).alias("w")).select("w.*")
+    keys = keys or []
+    return report.select(*keys, F.explode(F.filter(each, lambda x: x.isNotNull())).alias("w")).select(*keys, "w.*")
+
+
+def zip_views(views: dict[str, DataFrame], key: str, vector: str = "vector") -> DataFrame:
+    """key and a column of vectors for each view (key, vector): one shuffle by key. A key that a view lacks is an error when read."""
+    rows = None
+    for name, view in views.items():
+        own = view.select(key, F.lit(name).alias("_view"), F.col(vector).alias("_v"))
+        rows = own if rows is None else rows.union(own)
+    wide = rows.groupBy(key).agg(*(F.first(F.when(F.col("_view") == name, F.col("_v")), ignorenulls=True).alias(name) for name in views))
+    lacks = lambda name: F.raise_error(F.concat(F.lit(f"no {name} for "), F.col(key).cast("string"))).cast(wide.schema[name].dataType)
+    return wide.select(key, *(F.when(F.col(name).isNull(), lacks(name)).otherwise(F.col(name)).alias(name) for name in views))
 
 
 def status_gate(n: Column, least: int, confident: int | None = None) -> Column:

@@ -514,18 +514,25 @@ def template_format(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", fill_template("Q: {prompt}\nA: {response}.", prompt=F.concat("p_name", F.lit("{response}")), response=F.col("p_type")).alias("text"))
 
 
+#: What is wrong with the replies of _judged, by key.
+_ERROR = "case p_partkey % 6 when 2 then 'cannot be read as JSON' when 3 then '1 verdicts for 3 constraints' when 4 then 'a verdict is neither pass nor fail' when 5 then 'nothing came back' end"
+
+
 def _judged(spark, sf_dir):
+    """Replies of six kinds: sound, sound in fences with a failure and a flag, no JSON, a verdict short, a verdict that is text, none."""
     rows = J.constraints_of(table(spark, sf_dir, "part").select("p_partkey", "p_name", F.concat("p_name", F.lit(" | "), "p_type", F.lit(" | "), "p_brand").alias("c")), "c")
-    rows = rows.withColumn("prompt", J.prompt_text("Prompt: {prompt}\n{constraints}\nResponse: {response}", F.col("p_name"), F.col("constraints"), F.lit("r")))
-    return J.parse_replies(J.call(rows, "prompt", J.fake_transport), "raw", "constraints")
+    reply = '{"constraints": [{"pass": true}, {"pass": %s, "reason": "r"}, {"pass": true}], "refused": %s}'
+    kinds = [reply % ("true", "false"), "```json\n" + reply % ("false", "true") + "\n```", "no json", '{"constraints": [{"pass": true}]}', reply % ('"yes"', "false"), None]
+    raw = F.get(F.array(*map(F.lit, kinds)), (F.col("p_partkey") % 6).cast("int"))
+    return J.parse_replies(rows.withColumn("raw", raw), "raw", "constraints")
 
 
-@query("select count(*) as judged, 0::bigint as errors, 0::bigint as all_pass, (count(*) * 2)::bigint as n_pass_sum, (count(*) * 3)::bigint as n_constraints_sum from part")
+@query("select count(*) as judged, count(*) filter (where p_partkey % 6 > 1) as errors, count(*) filter (where p_partkey % 6 = 0) as all_pass, coalesce(sum(case p_partkey % 6 when 0 then 3 when 1 then 2 end), 0)::bigint as n_pass_sum, (3 * count(*) filter (where p_partkey % 6 < 2))::bigint as n_constraints_sum from part")
 def judge_tally(spark, sf_dir):
     return J.tally(_judged(spark, sf_dir))
 
 
-@query("select 'refused' as flag, 0::bigint as n")
+@query("select 'refused' as flag, count(*) filter (where p_partkey % 6 = 1) as n from part where p_partkey % 6 < 2 having count(*) > 0")
 def judge_flags(spark, sf_dir):
     return J.flag_counts(_judged(spark, sf_dir))
 

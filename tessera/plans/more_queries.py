@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
 import uuid
 
+import pandas as pd
 from pyspark.sql import functions as F
 
+from .. import config
+from ..errors import ConfigError, DataError
 from ..functions import numbers as N
 from ..functions import rewards as R
 from ..functions import text as T
@@ -17,6 +21,7 @@ from ..operators import ledger as L
 from ..operators import metrics as M
 from ..operators import minimal as X
 from ..operators import pairs as P
+from ..operators import seams
 from ..operators import splits as S
 from ..operators import tokens as K
 from ..operators import vectors as V
@@ -24,8 +29,8 @@ from ..session import checkpoint_dir
 from ..sources import readers, sinks
 from .audit_queries import _HASH, BASELINE_SQL, PROBE_SQL, _sql
 from .fixtures import PAIRS_SQL, SCORED_SQL, TRIPLES_SQL, groups, kway, pairs, scored, table, triples
-from .metric_queries import _ACC, _COS, _LINES, _END, _U, _delta, _judged, _rhymes, _round
-from .registry import query
+from .metric_queries import _ACC, _COS, _END, _ERROR, _LINES, _U, _delta, _judged, _rhymes, _round
+from .registry import ORACLES, query
 
 # --- features one by one -----------------------------------------------------------------------------------------------------
 
@@ -214,9 +219,23 @@ def field_map(spark, sf_dir):
     return g.select("p_partkey", F.get("responses", F.lit(0)).alias("label"), F.lit("given").alias("how"))
 
 
-@query("select 'pairwise' as layout, 3 as needed union all select 'pairwise_implicit', 2 union all select 'kway', 2 union all select 'arena', 4")
+@query(
+    """with tables(name, columns) as (values ('sides', ['prompt', 'chosen', 'rejected']), ('no prompt', ['chosen', 'rejected']), ('lists', ['prompt', 'responses', 'scores']), ('unscored', ['prompt', 'responses']), ('arena', ['prompt', 'response_a', 'response_b', 'winner'])),
+    layouts(layout, needed, either) as (values ('pairwise', ['prompt', 'chosen', 'rejected'], false), ('pairwise_implicit', ['chosen', 'rejected'], false), ('kway', ['prompt', 'responses'], true), ('kway_scores', ['prompt', 'responses', 'scores'], false), ('kway_ranking', ['prompt', 'responses', 'ranking'], false), ('arena', ['prompt', 'response_a', 'response_b', 'winner'], false))
+    select name, layout, list_has_all(columns, needed) and (not either or list_has_any(columns, ['ranking', 'scores'])) as fits from tables, layouts"""
+)
 def validate_columns(spark, sf_dir):
-    return spark.createDataFrame([(k, len(v)) for k, v in formats.REQUIRED.items()], "layout string, needed int")
+    tables = {"sides": "prompt chosen rejected", "no prompt": "chosen rejected", "lists": "prompt responses scores", "unscored": "prompt responses", "arena": "prompt response_a response_b winner"}
+    out = []
+    for name, columns in tables.items():
+        df = table(spark, sf_dir, "region").select(*(F.col("r_name").alias(c) for c in columns.split()))
+        for layout in (*formats.REQUIRED, *formats.ALIASES):
+            try:
+                formats.validate_columns(df, layout, formats.FieldMap())
+                out.append((name, layout, True))
+            except DataError:
+                out.append((name, layout, False))
+    return spark.createDataFrame(out, "name string, layout string, fits boolean")
 
 
 _G = f"with {PAIRS_SQL}, g as (select uid, any_value(prompt) as prompt, list(text order by idx) as texts, min(score) = max(score) as tied, bool_or(trim(text) = '') as blank from members group by uid)"
@@ -271,19 +290,45 @@ def split_lookup(spark, sf_dir):
     return d.join(marks, "source").select("doc_id", "is_val")
 
 
-@query("select count(*) filter (where toxic <> 0) as other, count(*) as n from labels")
+@query("select d.doc_id, 'left' as what from documents d where not exists (select 1 from labels l where l.doc_id = d.doc_id and coalesce(l.toxic, 0) = 0) union all select null, 'refused'")
 def settings_guard(spark, sf_dir):
-    return table(spark, sf_dir, "labels").agg(F.count_if(~F.col("toxic").eqNullSafe(F.lit(0))).alias("other"), F.count("*").alias("n"))
+    """What a run with the settings of its results has left, errors again; and that one with others is refused."""
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    done = table(spark, sf_dir, "labels").select("doc_id", F.lit("m").alias("judge"), F.when(F.col("toxic") != 0, "failed").alias("error"))
+    left = J.resume(docs, done, "doc_id", {"judge": "m"}).select("doc_id", F.lit("left").alias("what"))
+    try:
+        J.resume(docs, done, "doc_id", {"judge": "other"})
+    except DataError:
+        return left.union(spark.createDataFrame([(None, "refused")], "doc_id long, what string"))
+    return left
 
 
 @query(f"with {TRIPLES_SQL} select id, round(p[1], 9) as p, round(c[1], 9) as c, round(r[1], 9) as r from triples")
 def positional_zip(spark, sf_dir):
-    return _round(triples(spark, sf_dir).select("id", *(F.get(v, F.lit(0)).alias(v) for v in "pcr")), digits=9)
+    e = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 3).alias("id"), F.pmod("vec_id", F.lit(3)).alias("k"), F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
+    whole = e.groupBy("id").agg(F.countDistinct("k").alias("n")).where("n = 3").select("id")
+    views = {name: e.where(F.col("k") == k).join(whole, "id") for k, name in enumerate("pcr")}
+    return _round(V.zip_views(views, "id").select("id", *(F.get(v, F.lit(0)).alias(v) for v in "pcr")), digits=9)
 
 
-@query("select (select count(*) from orders) as n_orders, (select count(*) from part) as n_parts, (select max(p_size) from part) as largest")
+@query(
+    """with n as (select avg((p_size > 20)::int) as acc, avg((p_size > 25)::int) as base, count(*) as pairs from part), s as (select 'len_' || p_brand as name, avg((p_size > 20)::int) as acc from part group by p_brand), w as (select min(acc) as worst from s)
+    select 0 as ord, case when acc >= base - 0.005 then 'confirmed: at the surface ceiling' else 'below the surface ceiling' end as verdict from n
+    union all select 1, case when worst >= acc - 0.02 then 'survives length control' else 'drops on length-controlled pairs' end from n, w union all select 2, case when worst >= 0.98 then 'holds on every matched slice' else 'read the slices' end from w
+    union all select 3, 'spaces differ: not comparable' union all select 4, case when max(l_tax) > min(l_tax) * 1.1 then 'confirmed' else 'not observed' end from lineitem
+    union all select 5, case when avg((p_size = 7)::int) = 0 then 'free of leakage' else 'prompts leak' end from part union all select 6, 'full budget'"""
+)
 def stamp_join(spark, sf_dir):
-    return table(spark, sf_dir, "orders").agg(F.count("*").alias("n_orders")).crossJoin(table(spark, sf_dir, "part").agg(F.count("*").alias("n_parts"), F.max("p_size").alias("largest")))
+    """The ledger from receipts of one row that are made from tables."""
+    p, part = F.col("p_size"), table(spark, sf_dir, "part")
+    share = lambda c: F.avg(c.cast("int"))
+    fixed = lambda **kw: [F.lit(v).alias(k) for k, v in kw.items()]
+    audit = part.agg(share(p > 25).alias("baseline_best_acc")).select("*", *fixed(baseline_best="a", acc_char_length=0.5, p_longer_wins=0.5, frac_near_equal=0.1))
+    profile = part.agg(share(p == 7).alias("prompt_overlap_frac")).select("*", *fixed(separability_raw=0.6, separability_min=0.5, frac_surface_controlled=0.4, pc1_share=0.2))
+    run = part.agg(share(p > 20).alias("accuracy"), F.count("*").alias("n_pairs")).crossJoin(table(spark, sf_dir, "lineitem").agg(F.min("l_tax").cast("double").alias("rmax_first"), F.max("l_tax").cast("double").alias("rmax_last")))
+    run = run.select("*", *fixed(accuracy_se=0.01, best_step=5, steps=9, early_stopped=False, wall_seconds=1.0, total_steps=9, cos_w_pc1=0.7, cos_w_mean_delta=0.6, pc1_explained_frac=0.3, shared_space=False))
+    slices = part.groupBy(F.concat(F.lit("len_"), "p_brand").alias("name")).agg(F.count("*").alias("n_pairs"), share(p > 20).alias("accuracy"), F.lit(0.01).alias("accuracy_se"))
+    return L.build_ledger(audit, profile, run, slices).select("ord", "verdict")
 
 
 # --- metrics --------------------------------------------------------------------------------------------------------------------------
@@ -295,15 +340,22 @@ def slice_accuracy(spark, sf_dir):
     return _round(M.saturation_slices(s, ["cheap", "large"]))
 
 
-@query()
+@query(f"select *, 'all' as slice from ({ORACLES['dpo_preference_metrics']}) union all by name select * from ({ORACLES['dpo_slice_metrics']})")
 def dpo_evaluate(spark, sf_dir):
     s = scored(spark, sf_dir)
     return _round(M.dpo_metrics(s).withColumn("slice", F.lit("all")).unionByName(M.dpo_slice_metrics(s)))
 
 
-@query("select 'a' as name, 0.75::double as weight union all select 'b', 0.25")
+@query("select * from (values ('share', 'a', 0.75), ('share', 'b', 0.25), ('given', 'a', 3.0), ('given', 'b', -1.0), ('none', 'a', 1.0), ('none', 'b', 1.0), ('twice the name', 'refused', null), ('one short', 'refused', null), ('sum of 0', 'refused', null)) t(what, name, weight)".replace("0.75", "0.75::double"))
 def reward_weights(spark, sf_dir):
-    return spark.createDataFrame(list(M.reward_weights(["a", "b"], [3, 1], True).items()), "name string, weight double")
+    cases = {"share": (["a", "b"], [3, 1], True), "given": (["a", "b"], [3, -1], False), "none": (["a", "b"], None, False), "twice the name": (["a", "a"], None, False), "one short": (["a", "b"], [1], False), "sum of 0": (["a", "b"], [1, -1], True)}
+    out = []
+    for what, (names, weights, share) in cases.items():
+        try:
+            out += [(what, k, float(v)) for k, v in M.reward_weights(names, weights, share).items()]
+        except ConfigError:
+            out.append((what, "refused", None))
+    return spark.createDataFrame(out, "what string, name string, weight double")
 
 
 @query("select count(*) as rows_out, round(avg(l_tax - l_discount), 6) as mean_gap, round(list_sort(list(l_tax - l_discount))[(count(*) // 2)::int + 1], 6) as median_gap, round(avg((l_tax - l_discount > 0)::int), 6) as frac_rejected_more_likely, round(avg(l_quantity), 6) as mean_eos_gap from lineitem")
@@ -340,9 +392,9 @@ def tulu_histograms(spark, sf_dir):
 # --- tier 1 and 2 ------------------------------------------------------------------------------------------------------------------------
 
 
-@query()
+@query(f"with {PAIRS_SQL} select pair_uid from pairs order by {_HASH.replace('{t}', "('0 ' || pair_uid)")}, pair_uid limit 100")
 def profile_sample(spark, sf_dir):
-    return pairs(spark, sf_dir).orderBy(F.xxhash64(F.lit(0), "pair_uid"), "pair_uid").limit(100).select("pair_uid")
+    return P.uniform_sample(pairs(spark, sf_dir), "pair_uid", 100, 0).select("pair_uid")
 
 
 @query("select doc_id, len(regexp_extract_all(lower(text), '[a-z0-9'']+|\\n'))::double as total from documents")
@@ -359,14 +411,20 @@ def embed_views(spark, sf_dir):
     return p.select("pair_uid", F.aggregate(F.zip_with("e_chosen", "e_rejected", lambda a, b: a - b), F.lit(0.0), lambda s, x: s + x).alias("delta"))
 
 
-@query("select 23::bigint as n")
+@query("select unnest(range(23))::int as ord, unnest([" + ", ".join(f"'{k}'" for k in ["raw", *(f"match_{k}" for k in (*PROBE_SQL, *BASELINE_SQL)), "all_matched"]) + "]) as name")
 def slice_specs(spark, sf_dir):
-    return spark.createDataFrame([(len(V.slice_masks(pairs(spark, sf_dir))[1]),)], "n long")
+    """The names of all slices, in their order."""
+    return spark.createDataFrame(list(enumerate(V.slice_masks(pairs(spark, sf_dir))[1])), "ord int, name string")
 
 
-@query("select sha256(text) as sha, length(text) as n from documents group by text")
+@query("select doc_id, len(list_distinct(string_split(text, ' ')))::bigint as n from documents where text is not null")
 def memo(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("text").distinct().select(F.sha2("text", 256).alias("sha"), F.length("text").cast("bigint").alias("n"))
+    @F.pandas_udf("long")
+    def distinct_words(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: len(set(t.split(" "))))
+
+    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text")
+    return seams.memoised(docs, "text", lambda t: t.withColumn("n", distinct_words("text"))).select("doc_id", "n")
 
 
 @query(f"with {TRIPLES_SQL} select id, " + _HASH.replace("{t}", "('0 ' || prompt)") + " < 0.2::double as is_test from triples")
@@ -404,10 +462,19 @@ def distribution_shift(spark, sf_dir):
     return V.distribution_shift(t.where("id % 4 <> 0"), t.where("id % 4 = 0"), {"prompt": "p", "chosen": "c", "rejected": "r"}, "id", min_rows=20)
 
 
-@query("select 0 as ord, 'surface_by_construction' as code union all select 3, 'one_axis' union all select 7, 'shift_not_meaningful'")
+@query(
+    f"""with r as (select p_partkey, p_size / 50.0 as f, p_partkey % 4 as k, p_size as s from part), rules as (
+      select p_partkey, 0 as ord, 'surface_by_construction' as code from r where f < {V.CONTROLLED} union all select p_partkey, 1, 'easy_without_shortcuts' from r where k <> 0 and f > {V.CEILING} union all select p_partkey, 2, 'large_confound' from r where 1 - f > {V.CONFOUND}
+      union all select p_partkey, 3, 'one_axis' from r where f / 2 > {V.ONE_AXIS} union all select p_partkey, 4, 'rejected_off_topic' from r where f / 3 > {V.OFFTOPIC} union all select p_partkey, 5, 'semantic_leakage' from r where k > 0
+      union all select p_partkey, 6, 'low_diversity' from r where f / 4 < {V.DIVERSE} union all select p_partkey, 7, 'shift_not_meaningful' from r where k = 3) select * from rules"""
+)
 def profile_warnings(spark, sf_dir):
-    row = spark.createDataFrame([(0.01, 0.7, None, 0.4, 0.1, 0, 0.5, "not_applicable")], "frac_surface_controlled double, separability_min double, top_confound_drop double, mean_pairwise_cosine double, frac_rejected_offtopic double, n_cross long, effective_sample_ratio double, shift_status string")
-    return V.profile_warnings(row)
+    f, k = F.col("p_size") / 50.0, F.col("p_partkey") % 4
+    report = table(spark, sf_dir, "part").select(
+        "p_partkey", f.alias("frac_surface_controlled"), F.when(k != 0, f).alias("separability_min"), (1 - f).alias("top_confound_drop"), (f / 2).alias("mean_pairwise_cosine"), (f / 3).alias("frac_rejected_offtopic"), k.alias("n_cross"), (f / 4).alias("effective_sample_ratio"),
+        F.when(k == 3, "not_applicable").otherwise("ok").alias("shift_status"),
+    )
+    return V.profile_warnings(report, ["p_partkey"])
 
 
 @query("select o_custkey, count(*) as n, case when count(*) < 5 then 'unavailable' when count(*) < 12 then 'approximate' else 'ok' end as status from orders group by o_custkey")
@@ -426,10 +493,13 @@ def t2_curves(spark, sf_dir):
     return M.run_curves(log).select("run", "n_steps_logged", "loss_first", "loss_last")
 
 
-@query("select true as same, false as other")
+@query("select a as same_model, b as same_length, c as bare, a and b and c as shared from (values (true), (false)) x(a), (values (true), (false)) y(b), (values (true), (false)) z(c)")
 def shared_space(spark, sf_dir):
-    space = {"model_name": "m", "pooling": "mean", "max_length": 8}
-    return spark.createDataFrame([(L.shared_space(space | {"template": "{response}"}, space), L.shared_space(space | {"template": "{prompt}"}, space))], "same boolean, other boolean")
+    out = []
+    for a, b, c in itertools.product((True, False), repeat=3):
+        run = {"model_name": "m" if a else "n", "pooling": "mean", "max_length": 8 if b else 9, "template": "{response}" if c else "{prompt} {response}"}
+        out.append((a, b, c, L.shared_space(run, {"model_name": "m", "pooling": "mean", "max_length": 8})))
+    return spark.createDataFrame(out, "same_model boolean, same_length boolean, bare boolean, shared boolean")
 
 
 # --- tokens ----------------------------------------------------------------------------------------------------------------------------
@@ -437,17 +507,19 @@ def shared_space(spark, sf_dir):
 
 @query("with t as (select conv_id, turn, list_transform(string_split(text, ' '), lambda w: length(w)::int) as ids from conversations where text is not null) select conv_id, turn, array_to_string(ids[1:16], ',') as ids, len(ids) > 16 as truncated from t")
 def pair_collate(spark, sf_dir):
-    ids = F.transform(F.split("text", " "), lambda w: F.length(w))
-    return table(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", F.array_join(F.slice(ids, 1, 16), ",").alias("ids"), (F.size(ids) > 16).alias("truncated"))
+    c = table(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", "text")
+    return K.tokenise(c, ["text"], _word_lengths, 16).select("conv_id", "turn", F.array_join("text_ids", ",").alias("ids"), F.col("text_truncated").alias("truncated"))
+
+
+def _word_lengths(texts):
+    return [[len(w) for w in t.split(" ")] for t in texts]
 
 
 @query("with t as (select p_partkey, list_transform(string_split(p_name, ' '), lambda w: length(w)::int) as a, list_transform(string_split(p_type, ' '), lambda w: length(w)::int) as b from part) select p_partkey, array_to_string(list_concat(a, list_transform(range(greatest(len(a), len(b)) - len(a)), lambda i: 0)), ',') as a, array_to_string(list_concat(b, list_transform(range(greatest(len(a), len(b)) - len(b)), lambda i: 0)), ',') as b from t")
 def pad_join(spark, sf_dir):
-    ids = lambda c: F.transform(F.split(c, " "), lambda w: F.length(w))
-    p = table(spark, sf_dir, "part").select("p_partkey", ids("p_name").alias("a"), ids("p_type").alias("b"))
-    longest = F.greatest(F.size("a"), F.size("b"))
-    pad = lambda c: F.array_join(F.concat(F.col(c), F.array_repeat(F.lit(0), longest - F.size(c))), ",").alias(c)
-    return p.select("p_partkey", pad("a"), pad("b"))
+    p = K.tokenise(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type"), ["p_name", "p_type"], _word_lengths, 1000)
+    p = K.pad_join(p, "p_name_ids", "p_type_ids")
+    return p.select("p_partkey", F.array_join("p_name_ids", ",").alias("a"), F.array_join("p_type_ids", ",").alias("b"))
 
 
 @query("select vec_id, round((embedding[1]::double + embedding[3]::double) / 2, 9) as mean, round(embedding[1]::double, 9) as cls, round(embedding[3]::double, 9) as last from embeddings")
@@ -464,17 +536,19 @@ def reward_head(spark, sf_dir):
     return _round(e.select("vec_id", (N.dot(F.col("embedding"), F.array_repeat(F.lit(0.5), 64)) + 0.25).alias("reward")), digits=9)
 
 
-@query()
+@query("select substr(sha256('m' || chr(0) || 'sum'), 1, 16) as fingerprint union all select substr(sha256('ms' || chr(0) || 'um'), 1, 16)")
 def ref_fingerprint(spark, sf_dir):
-    return spark.createDataFrame([(K.fingerprint("m", "sum"),)], "fingerprint string")
+    return spark.createDataFrame([(K.fingerprint("m", "sum"),), (K.fingerprint("ms", "um"),)], "fingerprint string")
 
 
-@query(f"with {SCORED_SQL} select a.uid, round(b.ref_chosen, 9) as ref_chosen, round(b.ref_rejected, 9) as ref_rejected from scored a join scored b on a.uid = b.uid")
+@query("select p_partkey, -length(p_name)::double as ref_chosen, -length(p_type)::double as ref_rejected from part")
 def build_ref_cache(spark, sf_dir):
+    """Scores of all pairs by a model's seam, stored, and looked up by id."""
     path = _folder(spark, "cache")
-    s = scored(spark, sf_dir)
-    s.select("uid", F.col("ref_chosen").alias("chosen"), F.col("ref_rejected").alias("rejected")).write.parquet(path)
-    return _round(L.reference_lookup(s.select("uid"), spark.read.parquet(path)), digits=9)
+    p = table(spark, sf_dir, "part").select("p_partkey", F.lit("").alias("prompt"), F.col("p_name").alias("chosen"), F.col("p_type").alias("rejected"))
+    made = seams.score_pairs(p, lambda prompts, responses: [-len(r) for r in responses])
+    made.select("p_partkey", F.col("r_chosen").alias("chosen"), F.col("r_rejected").alias("rejected")).write.parquet(path)
+    return L.reference_lookup(p.select("p_partkey"), spark.read.parquet(path), "p_partkey")
 
 
 @query("select p_partkey, length(p_name)::double as reward from part")
@@ -487,9 +561,14 @@ def udf_reward(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", R.reward_column(length, F.col("p_type"), F.col("p_name")).alias("reward"))
 
 
-@query("select d.doc_id from documents d where not exists (select 1 from labels l where l.doc_id = d.doc_id)")
+@query("select doc_id, length(text)::varchar || ' first' as response from documents where doc_id % 3 = 0 union all select doc_id, length(text)::varchar || ' second' from documents where doc_id % 3 <> 0")
 def generate_resumable(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
+    """A run over a third of the prompts, taken up by one over all: what the first wrote stays."""
+    path = _folder(spark, "generations")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("prompt"))
+    write = lambda word: lambda prompts, k: [f"{len(p)} {word}" for p in prompts]
+    seams.generate_resumable(docs.where("doc_id % 3 = 0"), path, "doc_id", write("first"))
+    return seams.generate_resumable(docs, path, "doc_id", write("second")).select("doc_id", "response")
 
 
 # --- scalars -----------------------------------------------------------------------------------------------------------------------------
@@ -541,7 +620,7 @@ def strip_fences(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", T.strip_fences(F.concat(F.lit("```json\n"), "p_name", F.lit("\n```"))).alias("text"))
 
 
-@query("select p_partkey, 2 as n_pass, false as all_pass, null::varchar as error from part")
+@query(f"select p_partkey, case when p_partkey % 6 = 0 then 3 when p_partkey % 6 = 1 then 2 end::int as n_pass, case when p_partkey % 6 = 0 then true when p_partkey % 6 = 1 then false end as all_pass, {_ERROR} as error from part")
 def parse_reply(spark, sf_dir):
     return _judged(spark, sf_dir).select("p_partkey", "n_pass", "all_pass", "error")
 
@@ -573,24 +652,18 @@ def resplit_files(spark, sf_dir):
 
 @query("select p_partkey, length(p_name)::double as r_chosen, length(p_type)::double as r_rejected from part")
 def model_scorer(spark, sf_dir):
-    from ..operators import seams
-
     p = table(spark, sf_dir, "part").select("p_partkey", F.lit("").alias("prompt"), F.col("p_name").alias("chosen"), F.col("p_type").alias("rejected"))
     return seams.score_pairs(p, lambda prompts, responses: [len(r) for r in responses]).select("p_partkey", "r_chosen", "r_rejected")
 
 
 @query("select p_partkey, k::int as sample, p_name || ' ' || k as response from part, range(3) t(k)")
 def generate(spark, sf_dir):
-    from ..operators import seams
-
     p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("prompt"))
     return seams.generate(p, "p_partkey", lambda prompts, k: [f"{x} {k}" for x in prompts], 3)
 
 
 @query("select vec_id, round(list_sum(embedding::double[]) * 0.5 + 1, 9) as r_chosen, round(list_sum((embedding::double[])[1:8]) * 0.25, 9) as r_rejected from embeddings")
 def reward_model(spark, sf_dir):
-    from ..operators import seams
-
     e = table(spark, sf_dir, "embeddings")
     return _round(e.select("vec_id", seams.reward_head(F.col("embedding"), [0.5] * 64, 1.0).alias("r_chosen"), seams.reward_head(F.slice("embedding", 1, 8), [0.25] * 8).alias("r_rejected")), digits=9)
 
@@ -615,12 +688,12 @@ def checkpoint_store(spark, sf_dir):
     return store.load("best")
 
 
-@query("select conv_id, turn, len(string_split(text, ' '))::int as n, length(string_split(text, ' ')[1])::int as first from conversations where text is not null")
+@query("select conv_id, turn, len(string_split(text, ' '))::int as n, length(string_split(text, ' ')[1])::int as first from conversations where text is not null and turn % 2 = 0")
 def pretokenize(spark, sf_dir):
     path = _folder(spark, "tokens")
     c = table(spark, sf_dir, "conversations").where("text is not null")
-    c.select("conv_id", "turn", F.transform(F.split("text", " "), lambda w: F.length(w)).alias("ids")).write.parquet(path)
-    return spark.read.parquet(path).select("conv_id", "turn", F.size("ids").alias("n"), F.get("ids", F.lit(0)).alias("first"))
+    K.pretokenise(c, ["conv_id", "turn"], "text", _word_lengths, 1 << 30, path)
+    return K.gather(spark, path, c.where("turn % 2 = 0"), ["conv_id", "turn"]).select("conv_id", "turn", "n", F.get("ids", F.lit(0)).alias("first"))
 
 
 @query("select p_partkey, string_split(p_name, ' ')[-1] as last from part")
@@ -628,9 +701,10 @@ def split_last(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.try_element_at(T.words(F.col("p_name")), F.lit(-1)).alias("last"))
 
 
-@query("select p_partkey, 3 as n_constraints, 2 as n_pass, false as refused from part")
+@query("select p_partkey, case when p_partkey % 6 < 2 then 3 end::int as n_constraints, case when p_partkey % 6 = 0 then 3 when p_partkey % 6 = 1 then 2 end::int as n_pass, case when p_partkey % 6 < 2 then p_partkey % 6 = 1 end as refused, case when p_partkey % 6 < 2 then p_type end as second from part")
 def judge_row(spark, sf_dir):
-    return _judged(spark, sf_dir).select("p_partkey", F.size("verdicts").alias("n_constraints"), "n_pass", F.col("flags")["refused"].alias("refused"))
+    second = F.get("verdicts", F.lit(1))["constraint"].alias("second")
+    return _judged(spark, sf_dir).select("p_partkey", F.when(F.col("verdicts").isNotNull(), F.size("verdicts")).alias("n_constraints"), "n_pass", F.col("flags")["refused"].alias("refused"), second)
 
 
 @query()
@@ -654,8 +728,6 @@ def t2_diagnose(spark, sf_dir):
 
 @query("select p_partkey, -length(p_name)::double as slot_logp from part")
 def slot_logprobs(spark, sf_dir):
-    from ..operators import seams
-
     p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("prompt"), F.col("p_name").alias("chosen"), F.lit("").alias("rejected"))
     return seams.score_pairs(p, lambda prompts, responses: [-len(r) for r in responses]).select("p_partkey", F.col("r_chosen").alias("slot_logp"))
 
@@ -668,11 +740,30 @@ def logps(spark, sf_dir):
     return _round(table(spark, sf_dir, "part").select("p_partkey", K.sequence_logprob(row, F.transform(row, lambda x: F.lit(1))).alias("logp")), digits=9)
 
 
-@query("select p_partkey, 3 as n_constraints, true as answered from part")
+@query("select p_partkey, p_partkey % 7 <> 0 as answered, case when p_partkey % 7 = 0 then 3 when p_partkey % 5 = 0 then 2 else 1 end::int as attempts, case when p_partkey % 7 <> 0 then p_name end as raw from part")
 def judge_call(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("1. a\n2. b\n3. "), "p_name").alias("prompt"))
-    out = J.call(rows, "prompt", J.fake_transport)
-    return out.select("p_partkey", F.size(F.from_json("raw", J.REPLY)["constraints"]).alias("n_constraints"), F.col("raw").isNotNull().alias("answered"))
+    """A server that is busy at times, fails for some texts, and refuses a parameter."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.col("p_partkey").cast("string"), F.lit("|"), "p_name").alias("text"))
+    return J.call_each(rows, "text", _busy_server).select("p_partkey", F.col("call_error").isNull().alias("answered"), "attempts", "raw")
+
+
+def _busy_server():
+    from ..operators.transport import Caller, Rules
+
+    seen = set()
+
+    def post(payload):
+        key, _, name = payload["text"].partition("|")
+        if "seed" in payload:
+            return 400, "seed is not known here"
+        if int(key) % 7 == 0:
+            return 503, "down"
+        if int(key) % 5 == 0 and key not in seen:
+            seen.add(key)
+            return 429, "busy"
+        return 200, name
+
+    return Caller(post, {"seed": 1, "model": "m"}, Rules(retries=2), sleep=lambda s: None)
 
 
 @query(f"with {SCORED_SQL} select a.uid, round(a.policy_chosen - b.ref_chosen, 9) as logratio from scored a join scored b on a.uid = b.uid")
@@ -696,12 +787,55 @@ def train_reward(spark, sf_dir):
     return _round(M.pair_metrics(rows.select(N.dot(F.col("c"), head).alias("r_chosen"), N.dot(F.col("r"), head).alias("r_rejected"))))
 
 
-@query("select 'val_frac' as key, '0.3' as value union all select 'method', 'random'")
+@query(
+    """select * from (values ('split.val_frac=0.3', '0.3'), ('split.method=random', 'random'), ('split.method=other', 'refused'), ('split.seed=0x10', '16'), ('split.seed=2.5', 'refused'), ('split.seed=true', 'refused'), ('split.drop_exact_duplicates=yes', 'True'), ('split.drop_exact_duplicates=2', 'refused'),
+    ('data.slice_keys=a, b,,c', 'a|b|c'), ('data.json_key=null', 'None'), ('split.vall_frac=1', 'refused'), ('split.val_frac', 'refused'), ('nothing.here=1', 'refused')) t(given, value)"""
+)
 def config_coerce(spark, sf_dir):
-    from .. import config
+    out = []
+    for given in ("split.val_frac=0.3", "split.method=random", "split.method=other", "split.seed=0x10", "split.seed=2.5", "split.seed=true", "split.drop_exact_duplicates=yes", "split.drop_exact_duplicates=2", "data.slice_keys=a, b,,c", "data.json_key=null", "split.vall_frac=1", "split.val_frac", "nothing.here=1"):
+        try:
+            value = config.flatten(config.override(config.Config(), [given]))[given.partition("=")[0]]
+            out.append((given, "|".join(value) if isinstance(value, tuple) else str(value)))
+        except ConfigError:
+            out.append((given, "refused"))
+    return spark.createDataFrame(out, "given string, value string")
+
+
+@query(
+    """select * from (values ('policy.model_name=gpt', null), ('', 'policy.model_name'), ('policy.model_name=gpt policy.model_ckpt=x', 'policy.model_name'), ('policy.model_name=gpt loss.beta=0', 'loss.beta'), ('policy.model_name=gpt loss.sft_wt=-1', 'loss.sft_wt'),
+    ('policy.model_name=gpt policy.template={response}{prompt}', 'policy.template'), ('policy.model_name=gpt policy.template={prompt}{response}', 'policy.template'), ('policy.model_name=gpt inference.temperature=0 inference.num_samples_per_prompt=2', 'inference.num_samples_per_prompt'),
+    ('policy.model_name=gpt inference.top_p=0', 'inference.top_p'), ('policy.model_name=gpt train.disable_dropout=false', 'train.disable_dropout'), ('policy.model_name=gpt reference.precomputed_logp_path=a reference.precomputed_val_logp_path=./a', 'reference.precomputed_val_logp_path')) t(given, fault)"""
+)
+def config_validate(spark, sf_dir):
+    name = "policy.model_name=gpt"
+    cases = [name, "", *(f"{name} {x}" for x in (
+        "policy.model_ckpt=x", "loss.beta=0", "loss.sft_wt=-1", "policy.template={response}{prompt}", "policy.template={prompt}{response}", "inference.temperature=0 inference.num_samples_per_prompt=2", "inference.top_p=0", "train.disable_dropout=false",
+        "reference.precomputed_logp_path=a reference.precomputed_val_logp_path=./a"))]
+    return spark.createDataFrame([(c, "|".join(config.dpo_faults(config.override(config.DPOConfig(), c.split()))) or None) for c in cases], "given string, fault string")
+
+
+@query("with q as (select p_partkey, chr(39) || p_name || chr(39) as t from part where not contains(p_name, chr(39))) select p_partkey, case when length(t) <= 16 then t else substr(t, 1, 7) || '...' || right(t, 6) end as text from q")
+def brief(spark, sf_dir):
+    from ..errors import brief as short
+
+    return table(spark, sf_dir, "part").where(~F.contains("p_name", F.lit("'"))).select("p_partkey", F.udf(lambda x: short(x, 16), "string")("p_name").alias("text"))
+
+
+@query("select vec_id % 3 as part, count(*) filter (where vec_id % 5 <> 0 and vec_id % 2 = 0) as n_decay_tensors, 64 * count(*) filter (where vec_id % 5 <> 0 and vec_id % 2 = 0) as n_decay, 64 * count(*) filter (where vec_id % 5 = 0) as n_frozen, round(coalesce(sum(case when vec_id % 5 <> 0 then len(list_filter(embedding::double[], lambda x: abs(x) > 0.1024)) end) / (64.0 * count(*) filter (where vec_id % 5 <> 0)), 0), 9) as frac_stuck from embeddings group by 1")
+def optimizer_groups(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.when(F.col("vec_id") % 2 == 0, F.array(F.lit(8), F.lit(8))).otherwise(F.array(F.lit(64))).alias("shape"), (F.col("vec_id") % 5 != 0).alias("trainable"), F.transform("embedding", lambda x: x.cast("double")).alias("values"))
+    parts = [M.optimizer_groups(e.where(F.col("vec_id") % 3 == k), 0.0002).select(F.lit(k).cast("long").alias("part"), "n_decay_tensors", "n_decay", "n_frozen", "frac_stuck") for k in range(3)]
+    return _round(parts[0].union(parts[1]).union(parts[2]), digits=9)
+
+
+@query()
+def train_dpo(spark, sf_dir):
+    """A DPO head over frozen vectors beside stored log-probabilities: the curve of its fit."""
+    from ..operators import dpo_train
 
-    cfg = config.override(config.Config(), ["split.val_frac=0.3", "split.method=random"])
-    return spark.createDataFrame([("val_frac", str(cfg.split.val_frac)), ("method", cfg.split.method)], "key string, value string")
+    rows = _delta(spark, sf_dir).select("id", F.col("d").alias("delta"), *(F.lit(0.0).alias(c) for c in ("policy_chosen", "policy_rejected", "ref_chosen", "ref_rejected")))
+    return dpo_train.report(spark, dpo_train.fit(rows.where("id % 5 <> 0"), rows.where("id % 5 = 0"), steps=10, every=5))
 
 
 @query("select p_partkey, length(p_name) * 2.0::double as reward from part")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
 import math
 import os
+import sys
 import time
+from collections.abc import Callable, Iterator, Sequence
 from pathlib import Path
-from typing import Any
+from typing import Any, TextIO
 
 from pyspark.sql import DataFrame
 
@@ -54,21 +57,45 @@ def write_json(path: str, value: Any) -> None:
 
 
 class RunLog:
-    """A run's folder: stamps and a log of metrics that is only appended to."""
+    """A run's folder on the driver: stamps, a log of metrics that is only appended to, what was said, and sinks of one's own.
 
-    def __init__(self, folder: str, resume: bool = False):
+    Each of `sinks` is called with every row that is logged, as it is written.
+    """
+
+    def __init__(self, folder: str, resume: bool = False, sinks: Sequence[Callable[[dict], None]] = (), console: TextIO | None = None):
         self.folder = Path(folder)
         if self.folder.exists() and any(self.folder.iterdir()) and not resume:
             raise ConfigError(f"{folder} holds a run already")
         self.folder.mkdir(parents=True, exist_ok=True)
-        self.began = time.monotonic()
+        self.began, self.sinks, self.console, self.not_finite = time.monotonic(), list(sinks), console, 0
 
     def stamp(self, name: str, value: dict) -> None:
         write_json(str(self.folder / f"{name}.json"), _plain(value))
 
-    def log(self, step: int | None, **metrics: float) -> None:
+    def log(self, step: int | None, echo: bool = False, **metrics: float) -> None:
         row = {"step": step, "t": time.monotonic() - self.began, **_plain(metrics)}
-        with (self.folder / "metrics.jsonl").open("a", encoding="utf-8") as f:
-            f.write(json.dumps(row) + "\n")
+        self.not_finite += sum(isinstance(v, float) and not math.isfinite(v) for v in metrics.values())
+        for sink in self.sinks:
+            sink(row)
+        self._append("metrics.jsonl", json.dumps(row))
+        if echo:
+            self.say(" ".join(f"{k}={v}" for k, v in row.items() if k != "t" and v is not None))
+
+    def say(self, text: str) -> None:
+        print(text, file=self.console or sys.stdout)
+        self._append("console.log", text)
+
+    @contextlib.contextmanager
+    def timer(self, name: str) -> Iterator[None]:
+        """Logs the seconds of a block, also if it fails."""
+        began = time.monotonic()
+        try:
+            yield
+        finally:
+            self.log(None, **{f"seconds/{name}": time.monotonic() - began})
+
+    def _append(self, name: str, line: str) -> None:
+        with (self.folder / name).open("a", encoding="utf-8") as f:
+            f.write(line + "\n")
             f.flush()
             os.fsync(f.fileno())
