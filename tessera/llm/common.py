@@ -22,12 +22,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset, one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset and there is no cluster, one of our own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         sc = spark.sparkContext
         base = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
         if not base:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             base = "file://" + tempfile.mkdtemp(prefix="tessera-")
             sc.setCheckpointDir(base)
     return base

@@ -454,7 +454,7 @@ def _joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{kind}:{a}:{b}" for a, b, kind in spans)
 
 
-_NEW = {"n_email": "long", "n_ip": "long", "n_card": "long", "n_phone": "long", "base_spans": "string", "spans": "string", "redacted": "string"}
+NEW = {"n_email": "long", "n_ip": "long", "n_card": "long", "n_phone": "long", "base_spans": "string", "spans": "string", "redacted": "string"}
 
 
 def find(docs: DataFrame, field: Field | None = None) -> DataFrame:
@@ -470,9 +470,9 @@ def find(docs: DataFrame, field: Field | None = None) -> DataFrame:
     spark = docs.sparkSession
     batch_rows(spark)
     shared = spark.sparkContext.broadcast(field or train())  # as large as the labelled table's words
-    kept = extra(docs, set(_NEW))
+    kept = extra(docs, set(NEW))
     schema = docs.select(*kept).schema
-    for name, kind in _NEW.items():
+    for name, kind in NEW.items():
         schema = schema.add(name, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -481,7 +481,7 @@ def find(docs: DataFrame, field: Field | None = None) -> DataFrame:
             found = all_spans(texts, shared.value)
             counts = [pa.array([sum(s[2] == k for s in base) for base, _ in found], pa.int64()) for k in BASE]
             clean = [None if null else redact(t, spans) for t, (_, spans), null in zip(texts, found, col(batch, "text").is_null().to_pylist())]
-            yield pa.RecordBatch.from_arrays([*(col(batch, c) for c in kept), *counts, pa.array([_joined(b) for b, _ in found]), pa.array([_joined(s) for _, s in found]), pa.array(clean, pa.string())], names=[*kept, *_NEW])
+            yield pa.RecordBatch.from_arrays([*(col(batch, c) for c in kept), *counts, pa.array([_joined(b) for b, _ in found]), pa.array([_joined(s) for _, s in found]), pa.array(clean, pa.string())], names=[*kept, *NEW])
 
     return docs.select(*kept).mapInArrow(run, schema)
 

@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from .common import batch_rows, chunks, col, documents, extra, held_out, span_hashes, words
 
 PASSAGE = 64
-#: Labelled rows that the model is fitted on at most, chosen by a hash of their id.
-SAMPLE_ROWS = 4000
+#: Labelled rows that the model is fitted on at most, chosen by a hash of their id, among texts of up to so many bytes.
+SAMPLE_ROWS, SAMPLE_TEXT = 4000, 1 << 15
 THRESHOLD = 0.3
 HIDDEN, GATE = 32, 16
 EPOCHS, BATCH, RATE = 40, 128, 3e-3
@@ -88,6 +88,19 @@ class Model:
     def score(self, x: np.ndarray, per: np.ndarray) -> np.ndarray:
         return self._forward(x, per)["p"] if len(per) else np.zeros(0)
 
+    def gradients(self, x: np.ndarray, per: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean logistic loss of the documents, with respect to all weights."""
+        w, f = self.weights, self._forward(x, per)
+        begin = np.cumsum(per) - per
+        err = (f["p"] - y) / len(per)
+        each = np.repeat(err[:, None] * w["c"], per, axis=0)
+        da = (each * f["h"]).sum(axis=1)
+        ds = f["a"] * (da - np.repeat(np.add.reduceat(f["a"] * da, begin), per))
+        dt = ds[:, None] * w["a"] * f["g"] * (1 - f["t"] ** 2)
+        dg = ds[:, None] * w["a"] * f["t"] * f["g"] * (1 - f["g"])
+        dh = (f["a"][:, None] * each + dt @ w["V"].T + dg @ w["U"].T) * (1 - f["h"] ** 2)
+        return {"W": x.T @ dh, "b": dh.sum(0), "V": f["h"].T @ dt, "U": f["h"].T @ dg, "a": (f["t"] * f["g"]).T @ ds, "c": f["z"].T @ err, "d": np.array([err.sum()])}
+
     @classmethod
     def fit(cls, x: np.ndarray, per: np.ndarray, y: np.ndarray, seed: int = 5) -> Model:
         rng = np.random.default_rng(seed)
@@ -103,17 +116,7 @@ class Model:
                 n = per[docs]
                 rows = np.repeat(at[docs], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 bx = x[rows]
-                f = model._forward(bx, n)
-                begin = np.cumsum(n) - n
-                err = (f["p"] - y[docs]) / len(docs)
-                dz = err[:, None] * w["c"]
-                each = np.repeat(dz, n, axis=0)
-                da = (each * f["h"]).sum(axis=1)
-                ds = f["a"] * (da - np.repeat(np.add.reduceat(f["a"] * da, begin), n))
-                dt = ds[:, None] * w["a"] * f["g"] * (1 - f["t"] ** 2)
-                dg = ds[:, None] * w["a"] * f["t"] * f["g"] * (1 - f["g"])
-                dh = (f["a"][:, None] * each + dt @ w["V"].T + dg @ w["U"].T) * (1 - f["h"] ** 2)
-                grad = {"W": bx.T @ dh, "b": dh.sum(0), "V": f["h"].T @ dt, "U": f["h"].T @ dg, "a": (f["t"] * f["g"]).T @ ds, "c": f["z"].T @ err, "d": np.array([err.sum()])}
+                grad = model.gradients(bx, n, y[docs])
                 step += 1
                 for name, g in grad.items():
                     g = g + 1e-4 * w[name]
@@ -126,11 +129,14 @@ class Model:
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Fits on labels.quality (0 or 1) of at most sample_rows documents that are not held out, chosen by a hash of doc_id.
 
-    Of several labels of a document the least counts. Without labels, all scores are 0.5.
+    Of several labels of a document the least counts, of several texts the least; longer texts than SAMPLE_TEXT bytes are
+    not learnt from. Without labels, all scores are 0.5.
     """
     chosen = labels.where(~held_out() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("_y")).orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id").limit(sample_rows)
-    # sample_rows small rows, whatever the size of the tables
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8").alias("raw"), "_y").collect()
+    raw = F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")
+    # sample_rows small rows, whatever the size of the tables; SAMPLE_TEXT bytes of each reach the driver at most
+    near = docs.select("doc_id", raw.alias("raw")).where(F.octet_length("raw") <= SAMPLE_TEXT).join(F.broadcast(chosen), "doc_id")
+    rows = near.groupBy("doc_id", "_y").agg(F.min("raw").alias("raw")).collect()
     rows.sort(key=lambda r: (r.doc_id, r.raw))
     if not rows:
         return Model({"W": np.zeros((WIDTH, HIDDEN), np.float32), "b": np.zeros(HIDDEN, np.float32), "V": np.zeros((HIDDEN, GATE), np.float32), "U": np.zeros((HIDDEN, GATE), np.float32), "a": np.zeros(GATE, np.float32), "c": np.zeros(HIDDEN, np.float32), "d": np.zeros(1, np.float32)})

@@ -137,13 +137,55 @@ def test_quality_held_out(spark):
     assert np.mean([g > b for g in good for b in bad]) > 0.95
 
 
+def plain_score(w, bag):
+    """One document: tanh encodings, gated attention over its passages, a logistic value of their weighted mean."""
+    h = [[np.tanh(sum(x[i] * w["W"][i, k] for i in np.flatnonzero(x)) + w["b"][k]) for k in range(quality_mil.HIDDEN)] for x in bag]
+    gate = [[np.tanh(np.dot(e, w["V"][:, j])) / (1 + np.exp(-np.dot(e, w["U"][:, j]))) for j in range(quality_mil.GATE)] for e in h]
+    logit = [np.dot(g, w["a"]) for g in gate]
+    share = np.exp(np.array(logit) - max(logit))
+    mean = (share / share.sum()) @ np.array(h)
+    return 1 / (1 + np.exp(-(mean @ w["c"] + w["d"][0])))
+
+
 def test_quality_gradient():
     rng = np.random.default_rng(0)
     per = np.array([3, 1, 5])
-    x = rng.normal(size=(9, quality_mil.WIDTH)).astype(np.float32) * 0.1
-    model = quality_mil.Model.fit(x, per, np.array([1, 0, 1], np.float32))
-    p = model.score(x, per)
+    x = np.where(rng.random((9, quality_mil.WIDTH)) < 0.05, rng.normal(size=(9, quality_mil.WIDTH)), 0)
+    y = np.array([1.0, 0.0, 1.0])
+    model = quality_mil.Model.fit(x.astype(np.float32), per, y.astype(np.float32))
+    p = model.score(x.astype(np.float32), per)
     assert p[0] > 0.5 > p[1] and p[2] > 0.5
+    w = {k: v.astype(np.float64) + rng.normal(0, 0.1, v.shape) for k, v in model.weights.items()}
+    model = quality_mil.Model(w)
+    p = model.score(x, per)
+    assert p == pytest.approx([plain_score(w, bag) for bag in np.split(x, np.cumsum(per)[:-1])], abs=1e-9)
+    found = model.gradients(x, per, y)
+    loss = lambda: -np.mean(y * np.log(model.score(x, per)) + (1 - y) * np.log(1 - model.score(x, per)))
+    for name, g in found.items():
+        spots = [np.unravel_index(k, g.shape) for k in (np.argmax(np.abs(g)), *rng.integers(0, g.size, 4))]
+        for at in spots:
+            old = w[name][at]
+            w[name][at] = old + 1e-5
+            up = loss()
+            w[name][at] = old - 1e-5
+            down = loss()
+            w[name][at] = old
+            assert (up - down) / 2e-5 == pytest.approx(g[at], abs=1e-7, rel=1e-4), (name, at)
+
+
+def test_quality_passages():
+    """Passages of 64 words: shares of neighbouring classes, words again at once, different words, letters a word."""
+    text = b" ".join([b"Aa", b"bb", b"bb", b"9."] * 20)
+    x, per = quality_mil.passages([text, b"", b"one"])
+    assert per.tolist() == [2, 1, 1] and (x[2] == 0).all()
+    first = text.split()[:64]
+    assert x[0, 256:259] == pytest.approx([sum(u == v for u, v in zip(first, first[1:])) / 64, len(set(first)) / 64, 0.2])
+    kinds = {"a": 0, "A": 1, "9": 2, " ": 3, ".": 5}
+    of = lambda c: kinds[chr(c) if chr(c) in kinds else "a"]
+    piece = b" ".join(first) + b" A"
+    want = Counter(of(u) + 16 * of(v) for u, v in zip(piece, piece[1:]))
+    total = sum(want.values())
+    assert {k: v**2 for k, v in enumerate(x[0, :256]) if v} == pytest.approx({k: v / total for k, v in want.items()}, abs=1e-6)
 
 
 def test_quality_cases(spark, odd, none):
@@ -369,6 +411,82 @@ def test_native_operators_keep_columns_of_their_working_names(spark):
 # --- 6 ---
 
 
+def plain_fingerprint(data):
+    """The definition, byte after byte: the hash of each window of 7 bytes, chunks that end where its low bits are zero."""
+    from tessera.llm.common import _BASE, _BYTE
+
+    full, base = (1 << 64) - 1, int(_BASE)
+
+    def mix(x):
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = ((x ^ (x >> shift)) * factor) & full
+        return x ^ (x >> 31)
+
+    def digest(part):
+        return mix(sum(int(_BYTE[c]) * pow(base, i, 1 << 64) for i, c in enumerate(part)) & full)
+
+    def zeros(x):
+        return 64 if not x else (x & -x).bit_length() - 1
+
+    ends = {i: zeros(digest(data[i - 7 : i])) for i in range(7, len(data) + 1)}
+    k = max(2, (max(len(data), 1) - 1).bit_length() - 6)
+    while k > 2 and sum(z >= k for z in ends.values()) < 32:
+        k -= 1
+
+    def signature(bits):
+        cuts = [i for i, z in ends.items() if z >= bits][:63]
+        if data and (not cuts or cuts[-1] != len(data)):
+            cuts.append(len(data))
+        alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+        return "".join(alphabet[digest(data[a:b]) >> 58] for a, b in zip([0, *cuts], cuts))
+
+    return f"{k}:{signature(k)}:{signature(k + 1)}"
+
+
+def test_fingerprint_against_plain_chunks():
+    rnd = random.Random(12)
+    texts = [b"", b"a", b"abcdef", b"abcdefg", "é ä\n😀".encode(), b"x" * 900, b"".join(b"word%d " % i for i in range(700))]
+    texts += [bytes(rnd.choice(b"abcd efgh\n") for _ in range(rnd.choice([5, 60, 300, 2500]))) for _ in range(25)]
+    assert fingerprint.fingerprints(texts) == [plain_fingerprint(t) for t in texts]
+
+
+def plain_likeness(x, y):
+    def near(a, b):
+        if not a and not b:
+            return 1.0
+        need = min(7, max(1, min(len(a), len(b)) // 4))
+        if not any(a[i : i + need] in b for i in range(len(a) - need + 1)) or not a or not b:
+            return 0.0
+        row = list(range(len(b) + 1))
+        for i, c in enumerate(a, 1):
+            new = [i]
+            for j, d in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != d)))
+            row = new
+        return 1 - row[-1] / max(len(a), len(b))
+
+    if x == y:
+        return 1.0
+    (k, x1, x2), (j, y1, y2) = x.split(":"), y.split(":")
+    own, other = {int(k): x1, int(k) + 1: x2}, {int(j): y1, int(j) + 1: y2}
+    return max([near(own[n], other[n]) for n in own.keys() & other.keys()], default=0.0)
+
+
+def test_likeness_against_plain_edit_distance():
+    rnd = random.Random(13)
+    left, right = [], []
+    for _ in range(40):
+        a = bytes(rnd.choice(b"abcd efgh") for _ in range(rnd.choice([0, 3, 40, 400, 1500])))
+        b = bytearray(a) if rnd.random() < 0.8 else bytearray(b"zzz " * rnd.randint(0, 300))
+        for _ in range(rnd.choice([0, 1, 5, 30])):
+            if b:
+                b[rnd.randrange(len(b))] = 120
+        left.append(a)
+        right.append(bytes(b + a[: rnd.choice([0, 50, 900])]))
+    x, y = fingerprint.fingerprints(left), fingerprint.fingerprints(right)
+    assert fingerprint.likeness(x, y).tolist() == pytest.approx([plain_likeness(a, b) for a, b in zip(x, y)])
+
+
 def test_fingerprints(spark, odd, none):
     docs = [(r.doc_id, r.text) for r in odd.collect()]
     got = fingerprint.edited(odd).collect()
