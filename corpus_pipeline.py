@@ -1,17 +1,18 @@
 """A corpus from raw documents to packed sequences: language, boilerplate, near duplicates, personal data, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again for the next. All
-but the last return the columns of documents; where a stage changes a text, n_chars follows it. Empty tables pass through.
+but the last return the columns of documents, further ones under any name unchanged; where a stage changes a text, n_chars
+follows it. Empty tables pass through; null texts go with the first stage; repeated rows and ties are as each operator says.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import language_id, line_dedup, near_dedup, packing, pii
-from tessera.llm.common import Stored, documents
+from tessera.llm.common import Stored, documents, free
 
 #: Bits a letter from which a text is in none of the languages learnt; texts of those take up to about 6.
 FOREIGN_BITS = 8.0
@@ -19,14 +20,17 @@ FOREIGN_BITS = 8.0
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without letters (null ones too) and texts in no language learnt; lang becomes the prediction."""
-    rows = language_id.predict(docs, language_id.train(docs)).where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("bits_per_letter") <= FOREIGN_BITS))
-    return rows.select(*(F.col("lang_pred").alias(c) if c == "lang" else c for c in docs.columns))
+    names = _names(docs, {"lang_pred", "score", "bits_per_letter"})
+    rows = language_id.predict(docs.withColumnsRenamed(names), language_id.train(docs))
+    rows = rows.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("bits_per_letter") <= FOREIGN_BITS))
+    return _back(rows, names, lang=F.col("lang_pred"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes lines that are boilerplate of their source out of the texts; no document goes. Copies of a page count once, so that
     the lines of a large group of copies stay for the next stage to find it."""
-    return _sized(line_dedup.drop_boilerplate(docs, copies=False), docs.columns)
+    names = _names(docs, {"n_lines", "n_dropped"})
+    return _back(line_dedup.drop_boilerplate(docs.withColumnsRenamed(names), copies=False), names, n_chars=F.length("text").cast("long"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +40,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Puts the kind of each span of personal data in its place; no document goes."""
-    rows = pii.find(docs)
-    return _sized(rows.withColumn("text", F.col("redacted")), docs.columns)
+    names = _names(docs, set(pii.NEW))
+    rows = pii.find(docs.withColumnsRenamed(names)).withColumn("text", F.col("redacted"))
+    return _back(rows, names, n_chars=F.length("text").cast("long"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,8 +50,15 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-def _sized(rows: DataFrame, columns: list[str]) -> DataFrame:
-    return rows.select(*(F.length("text").cast("long").alias(c) if c == "n_chars" else c for c in columns))
+def _names(docs: DataFrame, new: set[str]) -> dict[str, str]:
+    """For each column of docs, the name that it has beside the columns that an operator adds under the names new."""
+    taken = {x.lower() for x in new}
+    return {c: free([*docs.columns, *new], c) if c.lower() in taken else c for c in docs.columns}
+
+
+def _back(rows: DataFrame, names: dict[str, str], **values: Column) -> DataFrame:
+    """The columns of docs again, in their order, some of them with new values."""
+    return rows.select(*(values.get(c, F.col(name)).alias(c) for c, name in names.items()))
 
 
 STAGES = [("language ID", language), ("line dedup", lines), ("MinHash near-dedup", near_duplicates), ("PII", personal_data), ("best-fit packing", pack)]
