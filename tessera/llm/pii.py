@@ -143,6 +143,34 @@ Thsh Thsh Thsh and and and Uedor Uedor las las
 Thereston Ingthend of the onder and Eastheren.
 Ander Inger | Thed Onder | Oner Ating | Shand Erthing
 Monday and Tuesday are in January and the City of London is there.
+my colleague [name:Peter Novak] will answer your letter on Monday
+please ask for [name:Laura Jensen] at the front desk
+the patient [name:Robert Miles] was seen on the second of May
+yours sincerely, [name:Helen Wright]
+regards, [name:David O'Brien] and the whole team
+written by [name:Sofia Rossi] for the evening paper
+dr [name:Martin Schulz] opened the meeting
+mme [name:Isabelle Laurent] a signé la lettre
+herr [name:Jürgen Becker] wohnt in der stadt
+la señora [name:Lucía Fernández] vive en la calle mayor
+name: [name:Oliver Stone Hansen]
+customer name: [name:Ingrid Dahl] is waiting for an answer
+je suis [name:Pierre Moreau] et je vous écris
+soy [name:Miguel Torres] y vivo aquí
+aws_secret_access_key = [secret:wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEY]
+bearer token: [secret:eyJhbGciOiJIUzI1NiJ9eyJzdWIiOiIxMjM0] in the header
+export API_TOKEN=[secret:ghp4f8Kd93jfLs02mXq71Zr5TbN6vYcW] before the run
+passwort: [secret:Sommer2019xK7] steht auf dem zettel
+mot de passe: [secret:Lune77Bleue42] pour le compte
+the United Nations met in New York on Tuesday, and South Africa spoke first.
+Chapter Two of The Old House was read by the Book Club in Spring.
+The Bank of England and the European Union signed the Treaty of Rome.
+In January the Ministry of Health and the High Court moved to Main Street.
+Die Deutsche Bahn und die Freie Universität Berlin suchen neue Leute.
+Le Conseil Européen et la Ville de Paris ont donné leur accord.
+El Banco Central y la Universidad de Madrid abren en Septiembre.
+The password must have ten letters. A token is lost when the session ends.
+the name of the river and the name of the town are the same
 """
 
 
@@ -359,9 +387,10 @@ def train(table: str = TABLE, steps: int = 150, rate: float = 0.3, decay: float
     names = _tags()
     gold = np.zeros(len(w.shape), np.int64)
     begins = np.cumsum([len(r) + 1 for r in raw]) - [len(r) + 1 for r in raw]
+    spans = [[(len(x[:a].encode()), len(x[:b].encode()), kind) for a, b, kind in found] for x, found in lines]  # in bytes
     seen: set[tuple[int, int]] = set()
     for k, i in enumerate(np.repeat(np.arange(len(raw)), w.counts)):
-        for a, b, kind in lines[i][1]:  # the table is ASCII, so bytes are code points
+        for a, b, kind in spans[i]:
             if a <= w.starts[k] - begins[i] and w.ends[k] - begins[i] <= b:
                 gold[k] = names.index(f"{'I' if (i, a) in seen else 'B'}-{kind}")
                 seen.add((i, a))
