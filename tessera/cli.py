@@ -1,9 +1,11 @@
-"""tessera VERB [--config FILE] [--set key=value ...]: resplit, audit, profile. Errors of configuration or data exit with 2."""
+"""tessera VERB [--config FILE] [--set key=value ...]: resplit, audit, profile, train, eval. Errors of configuration or data exit with 2."""
 
 from __future__ import annotations
 
 import argparse
+import json
 import sys
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +13,9 @@ from pyspark.sql import functions as F
 from . import config as C
 from .errors import ConfigError, DataError
 from .operators import audit as A
-from .operators import formats, pairs, splits, vectors
+from .functions import numbers
+from .operators import dpo_train, formats, metrics, pairs, splits, vectors
+from .operators import profile as tiers
 from .session import checkpointed, session
 from .sources import readers, sinks
 
@@ -43,31 +47,57 @@ def audit(spark: SparkSession, cfg: C.Config) -> list[str]:
     return [f"{k:>24} {v}" for k, v in values.items()] + warnings
 
 
+def _embedded(spark: SparkSession, cfg: C.Config, path: str) -> DataFrame:
+    """At most max_samples pairs by a hash of their id (the sample is the feature; no other bound applies), with vectors of the hashing encoder."""
+    p = cfg.profile
+    rows = pairs.uniform_sample(pairs.to_pairs(_groups(spark, cfg, path), cfg.policy), "pair_uid", p.max_samples, p.seed)
+    for side, name in (("prompt", "p"), ("chosen", "c"), ("rejected", "r")):
+        rows = vectors.hash_embed(rows, side, p.width, name)
+    return checkpointed(rows.withColumn("delta", F.zip_with("c", "r", lambda a, b: a - b)).withColumn("key", F.col("pair_uid")))
+
+
 def profile(spark: SparkSession, cfg: C.Config) -> list[str]:
-    """Tier 1 with the hashing encoder, over at most max_samples pairs by a hash of their id (the sample is the feature; no other bound applies)."""
+    """Tier 1, with the validation side where data.val_path is set."""
     p = cfg.profile
-    groups = _groups(spark, cfg, cfg.data.train_path)
-    every = pairs.to_pairs(groups, cfg.policy)
-    sample = pairs.uniform_sample(every, "pair_uid", p.max_samples, p.seed)
-    rows = sample
-    for side in ("prompt", "chosen", "rejected"):
-        rows = vectors.hash_embed(rows, side, p.width, f"e_{side}")
-    rows = checkpointed(rows.withColumn("delta", F.zip_with("e_chosen", "e_rejected", lambda a, b: a - b)))
-    masked, names = vectors.slice_masks(rows, p.eps)
-    n = rows.count()
-    slices = vectors.separability(checkpointed(masked), names, "delta", p.min_pairs, p.min_confident, seed=p.seed)
-    blocks = {
-        "health": vectors.embedding_health(rows, "e_chosen"), "separability": vectors.separability_summary(slices, n), "delta": vectors.delta_direction(rows, "delta"), "grounding": vectors.grounding(rows, "e_prompt", "e_chosen", "e_rejected", p.offtopic_tau),
-        "diversity": vectors.diversity(rows, {"prompt": "e_prompt", "chosen": "e_chosen", "rejected": "e_rejected"}),
-    }
-    out = []
-    for name, block in blocks.items():
-        values = sinks.sink_report(block, f"{cfg.out_dir}/{cfg.run_name}/profile_{name}.json")
-        out += [f"{name + '.' + k:>40} {v}" for k, v in values.items()]
-    return out
-
-
-VERBS = {"resplit": resplit, "audit": audit, "profile": profile}
+    masked, names = vectors.slice_masks(_embedded(spark, cfg, cfg.data.train_path), p.eps)
+    val = _embedded(spark, cfg, cfg.data.val_path).withColumn("key", -1 - F.col("key")) if cfg.data.val_path else None
+    report = tiers.profile(masked, names, p.min_pairs, p.min_confident, p.isolated_tau, p.offtopic_tau, val, p.near_dup_tau, p.mmd_n_perm, p.mmd_max_n, p.mmd_min_n, p.seed)
+    values = sinks.sink_report(report, f"{cfg.out_dir}/{cfg.run_name}/profile_report.json")
+    return [f"{k:>40} {v}" for k, v in values.items()]
+
+
+def _scored(spark: SparkSession, cfg: C.Config, path: str) -> DataFrame:
+    """Pairs with the hashing encoder's vectors and the four log-probabilities of columns that the run's table stores under their names, 0 where it has none."""
+    rows = _embedded(spark, cfg, path)
+    none = [c for c in ("policy_chosen", "policy_rejected", "ref_chosen", "ref_rejected") if c not in rows.columns]
+    return rows.withColumns({c: F.lit(0.0) for c in none})
+
+
+def train(spark: SparkSession, cfg: C.Config) -> list[str]:
+    """A DPO head over the hashing encoder's differences; its curve, and the weights for eval."""
+    if not cfg.data.val_path:
+        raise ConfigError("data.val_path is not set")
+    found = dpo_train.fit(_scored(spark, cfg, cfg.data.train_path), _scored(spark, cfg, cfg.data.val_path))
+    folder = f"{cfg.out_dir}/{cfg.run_name}"
+    sinks.write_json(f"{folder}/head.json", {"weights": found.weights.tolist(), "best_step": found.best_step, "width": cfg.profile.width})
+    values = {"steps": found.steps, "best_step": found.best_step, "stopped_early": found.stopped_early, "curve": [list(c) for c in found.curve]}
+    sinks.write_json(f"{folder}/train_report.json", values)
+    return [f"{k:>24} {v}" for k, v in values.items()]
+
+
+def evaluate(spark: SparkSession, cfg: C.Config) -> list[str]:
+    """Metrics of the stored head on the validation pairs (on the training pairs, where there are no others)."""
+    rows = _scored(spark, cfg, cfg.data.val_path or cfg.data.train_path)
+    path = Path(f"{cfg.out_dir}/{cfg.run_name}/head.json")
+    if not path.exists():
+        raise ConfigError(f"{path} is missing: train first")
+    head = F.array(*(F.lit(float(x)) for x in json.loads(path.read_text())["weights"]))
+    scored = rows.select(numbers.dot(F.col("c"), head).alias("r_chosen"), numbers.dot(F.col("r"), head).alias("r_rejected"))
+    values = sinks.sink_report(metrics.pair_metrics(scored), f"{cfg.out_dir}/{cfg.run_name}/eval_report.json")
+    return [f"{k:>24} {v}" for k, v in values.items()]
+
+
+VERBS = {"resplit": resplit, "audit": audit, "profile": profile, "train": train, "eval": evaluate}
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
 from ..functions.numbers import chi2, half_credit, hash_unit
 from ..functions.text import BASELINES, PROBES, Feature, strip, tokens
 from .order import SMALL, floor_rule, quantiles
@@ -120,15 +121,17 @@ def token_log_odds(train: DataFrame, min_count: int = 2, alpha: float = 1.0) ->
 def lexical_probe(pairs: DataFrame, test_frac: float = 0.2, min_count: int = 2, alpha: float = 1.0) -> DataFrame:
     """n_train_pairs, n_test_pairs, vocab_size, accuracy (half credit for ties) of naive Bayes on tokens."""
     rows = split_pairs(pairs, test_frac)
-    odds = token_log_odds(rows.where(~F.col("is_test")), min_count, alpha)
+    odds = checkpointed(token_log_odds(rows.where(~F.col("is_test")), min_count, alpha))  # read for its tokens and for their number
     test = rows.where("is_test")
     scored = _side_tokens(test, ["pair_uid"]).groupBy("pair_uid", "is_chosen", "token").agg(F.count("*").alias("n")).join(odds.select("token", "log_odds"), "token")
     sums = scored.groupBy("pair_uid").agg(F.sum(F.when(F.col("is_chosen"), F.col("n") * F.col("log_odds")).otherwise(0.0)).alias("c"), F.sum(F.when(~F.col("is_chosen"), F.col("n") * F.col("log_odds")).otherwise(0.0)).alias("r"))
     # sums in another order differ in their last bits; equal sums are ties
     tie = F.round("c", 9), F.round("r", 9)
-    result = test.select("pair_uid").join(sums, "pair_uid", "left").agg(F.avg(half_credit(F.coalesce(tie[0], F.lit(0.0)), F.coalesce(tie[1], F.lit(0.0)))).alias("accuracy"), F.count("*").alias("n_test_pairs"))
-    n_train = rows.where(~F.col("is_test")).agg(F.count("*").alias("n_train_pairs"))
-    return result.crossJoin(n_train).crossJoin(odds.agg(F.count("*").alias("vocab_size")))
+    known = sums.agg(F.sum(half_credit(*tie)).alias("right"), F.count("*").alias("n_known"))
+    counts = rows.agg(F.count_if(~F.col("is_test")).alias("n_train_pairs"), F.count_if("is_test").alias("n_test_pairs"))
+    right = F.coalesce("right", F.lit(0.0)) + 0.5 * (F.col("n_test_pairs") - F.col("n_known"))  # pairs without a known token are ties
+    whole = counts.crossJoin(known).crossJoin(odds.agg(F.count("*").alias("vocab_size")))  # one row each
+    return whole.select(F.try_divide(right, "n_test_pairs").alias("accuracy"), "n_test_pairs", "n_train_pairs", "vocab_size")
 
 
 def top_tokens(odds: DataFrame, k: int = 20) -> DataFrame:

@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import common_suffix, last_word, near_miss_bucket, replace_end, text_lines
-from .order import SMALL
+from ..session import checkpointed
+
+#: Words of a frequency bucket that one task holds against the words that ask.
+BUCKET_WORDS = 2000
 
 
 def couplets(rows: DataFrame, text: str) -> DataFrame:
@@ -39,10 +42,14 @@ def band_join(words: DataFrame, pool: DataFrame, band: float, near_miss: str = "
     base = pool.select(F.col("word").alias("w2"), F.col("log2").alias("c"))
     buckets = words.join(base, "w2").withColumn("_b", F.explode(F.array(*(F.floor(F.col("c") / band) + d for d in (-1, 0, 1)))))
     other = pool.where(F.coalesce(F.col("key"), F.lit("")) != "").select(F.col("word").alias("w"), F.col("log2").alias("l"), F.col("key").alias("k"), F.floor(F.col("log2") / band).alias("_b"))
-    rows = buckets.join(other, "_b").where((F.abs(F.col("l") - F.col("c")) <= band) & (F.col("w") != F.col("w1")) & (F.col("w") != F.col("w2")) & (F.col("k") != F.col("k1")))
+    # a row for each bucket, of which there are as many as logarithms of counts in bands; a large one is dealt over several tasks
+    parts = F.broadcast(other.groupBy("_b").agg(F.ceil(F.count("*") / BUCKET_WORDS).cast("int").alias("_k")))
+    other = other.join(parts, "_b").withColumn("_s", F.pmod(F.xxhash64("w"), F.col("_k")).cast("int")).drop("_k")
+    buckets = buckets.join(parts, "_b").withColumn("_s", F.explode(F.sequence(F.lit(0), F.col("_k") - 1))).drop("_k")
+    rows = buckets.join(other, ["_b", "_s"]).where((F.abs(F.col("l") - F.col("c")) <= band) & (F.col("w") != F.col("w1")) & (F.col("w") != F.col("w2")) & (F.col("k") != F.col("k1")))
     if near_miss == "exclude":
         rows = rows.where(common_suffix(F.col("w1"), F.col("w")) < 2)
-    return rows.drop("_b", "l")
+    return rows.drop("_b", "_s", "l")
 
 
 def build_split(rows: DataFrame, key: str, text: str, rhymes: DataFrame, slot: Callable[[DataFrame], DataFrame], score: Callable[[DataFrame], DataFrame], negatives: int = 2, candidates: int = 8, band: float = 1.0, max_gap: float = 10.0, eos_gap: float = 2.0, near_miss: str = "include") -> tuple[DataFrame, DataFrame]:
@@ -58,14 +65,16 @@ def build_split(rows: DataFrame, key: str, text: str, rhymes: DataFrame, slot: C
     enough = narrow.groupBy("w1", "w2").agg(F.count("*").alias("n")).where(F.col("n") >= negatives).select("w1", "w2")
     wide = band_join(words.join(enough, ["w1", "w2"], "left_anti"), pool, 2 * band, near_miss).select("w1", "w2", "w")
     found = narrow.join(enough, ["w1", "w2"]).union(wide)
-    offered = whole.join(found, ["w1", "w2"]).withColumn("prefix", F.concat(F.get("lines", F.lit(0)), F.lit("\n"), replace_end(F.get("lines", F.lit(1)), F.lit(""))))
+    prefix = F.concat(F.get("lines", F.lit(0)), F.lit("\n"), replace_end(F.get("lines", F.lit(1)), F.lit("")))
+    offered = checkpointed(whole.join(found, ["w1", "w2"]).withColumn("prefix", prefix))
     best = Window.partitionBy(key).orderBy(F.col("slot_logp").desc(), "w")
-    short = slot(offered).withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= candidates).drop("_r", "slot_logp")
+    # what the scorers give is stored: each is asked once for a text
+    short = checkpointed(slot(offered).withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= candidates).drop("_r", "slot_logp"))
     chosen = F.concat(F.get("lines", F.lit(0)), F.lit("\n"), F.get("lines", F.lit(1)))
     texts = short.select(key, "w1", "w2", "w", chosen.alias("chosen"), F.concat(F.get("lines", F.lit(0)), F.lit("\n"), replace_end(F.get("lines", F.lit(1)), F.col("w"))).alias("rejected"))
     base = score(texts.select(key, F.col("chosen").alias("text")).distinct()).select(key, F.col("logp").alias("logp_c"), F.col("eos_logp").alias("eos_c"))
     scored = score(texts.withColumn("text", F.col("rejected"))).withColumnRenamed("logp", "logp_r").withColumnRenamed("eos_logp", "eos_r").join(base, key)
-    ranked = scored.withColumn("closes", F.col("eos_r") >= F.col("eos_c") - eos_gap).withColumn("near", F.col("logp_r") >= F.col("logp_c") - max_gap)
+    ranked = checkpointed(scored.withColumn("closes", F.col("eos_r") >= F.col("eos_c") - eos_gap).withColumn("near", F.col("logp_r") >= F.col("logp_c") - max_gap))
     order = Window.partitionBy(key).orderBy(F.col("logp_r").desc(), "w")
     kept = ranked.where("closes and near").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= negatives)
     tally = ranked.groupBy(key).agg(F.count_if("closes").alias("closes"), F.count_if(F.col("closes") & F.col("near")).alias("good"))

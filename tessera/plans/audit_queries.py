@@ -8,6 +8,7 @@ from ..functions.numbers import hash_unit
 from ..functions.text import BASELINES, PROBES, tokens
 from ..operators import audit as A
 from ..operators import formats, pairs as P
+from ..session import checkpointed
 from .fixtures import PAIRS_SQL, groups, kway, labelled, pairs, table
 from .registry import query
 
@@ -259,7 +260,7 @@ odds as (select token, nc, nr, ln((nc + 1.0) / (tc + v)) - ln((nr + 1.0) / (tr +
       (select count(*) from split where not is_test) as n_train_pairs, (select v from tot) as vocab_size from split left join sums using (pair_uid) where is_test"""
 )
 def lexical_probe(spark, sf_dir):
-    return A.lexical_probe(pairs(spark, sf_dir)).withColumn("accuracy", F.round("accuracy", 9))
+    return A.lexical_probe(checkpointed(pairs(spark, sf_dir))).withColumn("accuracy", F.round("accuracy", 9))
 
 
 @query(_LEX + "select token, nc as n_chosen, nr as n_rejected, round(lo, 9) as log_odds from odds")
@@ -279,7 +280,8 @@ def audit_warnings(spark, sf_dir):
 
 @query()
 def audit(spark, sf_dir):
-    return A.audit(groups(spark, sf_dir), pairs(spark, sf_dir))
+    g = checkpointed(groups(spark, sf_dir))  # the pairs are those of these groups
+    return A.audit(g, checkpointed(P.to_pairs(g)))
 
 
 @query(f"select doc_id, round({_HASH.replace('{t}', 'text')}, 12) as u, {_HASH.replace('{t}', 'text')} < 0.2::double as is_val from documents")

@@ -85,12 +85,23 @@ def test_command_line(spark, tmp_path, capsys):
     from tessera import config as C
 
     path = tmp_path / "pairs.jsonl"
-    path.write_text("".join(json.dumps({"prompt": f"p{i % 30}", "chosen": f"a longer answer, {i} words here.", "rejected": f"no {i}"}) + "\n" for i in range(120)))
+    path.write_text("".join(json.dumps({"prompt": f"p{i % 30}", "chosen": f"a longer answer: {' '.join(f'w{(7 * i + 13 * k) % 50}' for k in range(6 + i % 9))}.", "rejected": f"no x{i % 17} y{i % 11}"}) + "\n" for i in range(120)))
     common = [f"data.train_path={path}", f"out_dir={tmp_path}/runs"]
+    common.append("profile.min_pairs=1000")  # no probes of slices here
     for verb in ("audit", "resplit", "profile"):
         assert cli.main([verb, "--set", *common], spark) == 0
     report = json.loads((tmp_path / "runs/run/audit_report.json").read_text())
     assert report["n_groups"] == 120 and report["acc_char_length"] == 1.0 and "trivial_model_wins" in capsys.readouterr().out
+    tier1 = json.loads((tmp_path / "runs/run/profile_report.json").read_text())
+    assert tier1["health_status"] == "ok" and tier1["shift_status"] == "unavailable" and tier1["frac_isolated"] is not None and "surface_by_construction" in tier1["warnings"]
+    sides = [*common, f"data.val_path={path}", "profile.mmd_n_perm=20"]
+    for verb in ("profile", "train", "eval"):
+        assert cli.main([verb, "--set", *sides], spark) == 0
+    tier1 = json.loads((tmp_path / "runs/run/profile_report.json").read_text())
+    assert tier1["prompt_overlap_frac"] == 1.0 and tier1["shift_status"] == "not_applicable" and tier1["n_cross"] >= 120 and {"semantic_leakage", "shift_not_meaningful"} <= set(tier1["warnings"])
+    assert json.loads((tmp_path / "runs/run/eval_report.json").read_text())["accuracy"] == 1.0
+    assert json.loads((tmp_path / "runs/run/train_report.json").read_text())["curve"][0][3] == 0.5
+    assert cli.main(["train", "--set", *common], spark) == 2 and cli.main(["eval", "--set", *common, "run_name=none"], spark) == 2
     split = json.loads((tmp_path / "runs/run/split_report.json").read_text())
     assert split["n_overlap_prompts"] == 0 and split["n_rows"] == 120
     assert cli.main(["audit"], spark) == 2 and cli.main(["audit", "--set", "data.layoutt=x"], spark) == 2
