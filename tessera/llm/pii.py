@@ -88,8 +88,6 @@ secret = "[secret:a94a8fe5ccb19ba61c4c0873d391e987982fbbd3]" was found
 auth_token = "[secret:b6589fc6ab0dc82cf12099d1c2d40ab994e8410c]" in the code
 und token = "[secret:356a192b7913b04c54574d18c28d46e6395428ab]" in der datei
 el token = "[secret:da4b9237bacccdf19c0760cab7aec4a8359010b0]" de la lista
-token = "[secret:77de68daecd823babbb58edb1c8e14d7106e83bb]"### the&&& that***
-this### token = "[secret:1b6453892473a467d07372d45eb05abc2031647a]"*** and%%%
 my name is [name:Anna Keller] and the rest follows
 dear [name:Tom Baker], thank you for the letter
 signed by [name:Maria Lopez] on the first page
@@ -100,16 +98,6 @@ je m'appelle [name:Claire Dubois] et le reste
 mein name ist [name:Hans Gruber] und der rest
 me llamo [name:Carlos Ruiz] y lo demas
 name: [name:Julia Roth] was written there
-the and of the that in with for this
-The ones of thin are here and there.
-Ar thered on the inging was not a name.
-Of the rest, and that. In ther onder er.
-Eauon le la de un des et en que pour.
-Der die das und ein ist von mit zu auf.
-El la los de un en y que se por con.
-THE!! AND!! OF!! THAT!! WITH!! FOR!!
-THERE&&& of### ander*** the%%% onin$$$ thes&&&
-ander | onder | The | inger | thesed |
 the year 1999 and the price 1234 or 12.50 for all
 version 2.0.1 of the code and 10 of 200 parts
 the token was there and the key is here
@@ -123,25 +111,8 @@ la clave de la casa y el nombre de la lista
 das wort und der name von dem haus
 Licensed under CC BY 4.0. All of the text is free.
 Copyright 2020 The Authors of the Work. See the License for more.
-Is and reting ouen the of. Ndble whst the by for. Ores the ored at the, anly re.
-Onoun Onoun Onoun Onoun Onoun Onoun
-Ating Ating At At At At At Ating
-shnd Shti Shti Shti Shti Ander Ander inger
-Thed Thed thed. Thed Thed. Inger Inger
 This work is licensed under the GNU General Public License, version 3.
 Creative Commons Attribution License and All Rights Reserved by the Authors
-The Onder Inger of Thed and the Ander Thing
-reded that&&& and&&& erha*** by.&&& Thaned$$$ threti.%%% Thou*** thhetis
-resthaen&&& a.%%% By.&&& Tiinat.%%% Nted*** it%%% thstre,%%%
-Of### onthe$$$ Ander### ined&&& Oner### with%%% Thesed$$$ for***
-Oner and the. Thed of Inger in that. Ander on the Shand of ering.
-Auxan Auxan Auxan Auxan Auxan Auxan
-Osada Ciones Ciones Ciones Osada Osada el la
-Les Eauon Eauon de la Ouelle Ouelle
-Der Keiten Keiten Und Und Schaft Schaft
-Thsh Thsh Thsh and and and Uedor Uedor las las
-Thereston Ingthend of the onder and Eastheren.
-Ander Inger | Thed Onder | Oner Ating | Shand Erthing
 Monday and Tuesday are in January and the City of London is there.
 my colleague [name:Peter Novak] will answer your letter on Monday
 please ask for [name:Laura Jensen] at the front desk
@@ -171,6 +142,49 @@ Le Conseil Européen et la Ville de Paris ont donné leur accord.
 El Banco Central y la Universidad de Madrid abren en Septiembre.
 The password must have ten letters. A token is lost when the session ends.
 the name of the river and the name of the town are the same
+and then token = "[secret:5f4dcc3b5aa765d61d8327deb882cf99aa10b7c3]" stood at the end of the line
+client_secret: "[secret:Zx81kPq04LmN7vBt2RwY6sHd]", scope: "read"
+the old password was [secret:blue7Kettle!92] until last week
+my name is [name:Grace Osei] and i live in the north
+dear [name:Noah Williams], we have received your order
+signed by [name:Elif Demir] and by nobody else
+Mr [name:Samuel Boateng] and his wife came late.
+Contact: [name:Yuki Tanaka] for all further questions.
+The garden was quiet. Birds sang. Nobody came. Then it rained.
+Read More. Sign Up. Log In. About Us. Contact Us. Privacy Policy.
+Home | News | Sports | Weather | Local Guide | Opinion
+Terms Of Service And Cookie Settings
+Best Price Guaranteed! Free Shipping! Order Today! Limited Offer!
+No No No Yes Yes Yes
+Buy Buy Buy Sell Sell Sell
+Again and Again and Again
+Monday Tuesday Wednesday Thursday Friday Saturday Sunday
+Introduction Methods Results Discussion References
+Lake Superior, Mount Everest and the Pacific Ocean are on the map.
+Red Square lies near the Black Sea Hotel. Old Town Market is open.
+Olive Oil, Sea Salt, Black Pepper, Green Beans, Brown Rice
+The Quick Start Guide. Chapter One. Table of Contents. List of Figures.
+Microsoft Word, Google Maps and Open Office are programs.
+World War Two ended. The Cold War began. The Berlin Wall fell.
+Summer Sale - Winter Coats - Spring Dresses - Autumn Leaves
+Dear Sir or Madam, Dear Customers, Dear Friends of the Museum
+Signed copies of Great Expectations are sold at the Corner Shop.
+Mr President and Mrs Speaker were asked to sit down.
+Name: Date: Place: Order Number: Unit Price:
+## Install Guide ** Important Note ** Known Issues
+win $$$ now!!! 100% free*** click #here# & there&
+a*b + c%d - e|f & g#h <b>bold</b> <i>thin</i>
+Stop! Wait! Look! Listen! Go! Now! Here! There!
+IMPORTANT NOTICE TO ALL READERS OF THIS PAGE
+Guten Morgen Deutschland. Der Rote Faden. Das Alte Haus. Die Neue Zeit.
+Haus Garten Auto Reise Kinder Schule Arbeit Freizeit
+Der Hund und die Katze schlafen. Die Sonne scheint. Das Wasser ist kalt.
+Bonjour Paris. La Belle Époque. Les Trois Mousquetaires. Le Petit Prince.
+Une Maison Bleue. Des Fleurs Rouges. La Mer et le Soleil.
+Le chat dort. La porte est ouverte. Les enfants jouent dans la rue.
+Buenos Días España. La Casa Grande. El Mar Azul. Los Tres Amigos.
+El perro duerme. La puerta está abierta. Las calles son largas.
+Isola Bella. Roma Antica. Buona Sera. La Dolce Vita.
 """
 
 
@@ -440,6 +454,12 @@ def train(table: str = TABLE, steps: int = 150, rate: float = 0.3, decay: float
     return field
 
 
+def _capital(raw: bytes, at: int) -> bool:
+    """Whether the letter at a byte is a capital, or of a script without any."""
+    letter = raw[at : at + 4].decode(errors="ignore")[:1]
+    return letter.isalpha() and letter.upper() == letter
+
+
 def added_spans(texts: list[str], field: Field) -> list[list[tuple[int, int, str]]]:
     """Spans (start, end, kind) that the field finds in each text, in code points."""
     raw = [t.encode() for t in texts]
@@ -461,7 +481,7 @@ def added_spans(texts: list[str], field: Field) -> list[list[tuple[int, int, str
             last += 1
         k += 1
         i = int(text_of[first])
-        if kind == "name" and (first == last or not all(raw[i][p : p + 1].isupper() or raw[i][p] >= 0x80 for p in w.starts[first : last + 1] - begins[i])):
+        if kind == "name" and (first == last or not all(_capital(raw[i], p) for p in w.starts[first : last + 1] - begins[i])):
             continue  # two words at least, each with a capital
         a, b = int(w.starts[first] - begins[i]), int(w.ends[last] - begins[i])
         start = a if len(raw[i]) == len(texts[i]) else len(raw[i][:a].decode())

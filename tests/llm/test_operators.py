@@ -798,6 +798,47 @@ def test_pii_added_spans(field):
     assert [names[a:b] for a, b, _ in spans[1]] == ["Rita Moreno"] and spans[2] == []
 
 
+#: Lines that the labelled table does not have, each with its spans marked as there.
+HELD_OUT = """
+my name is [name:Fatima Noor] and i work here
+dear [name:Lukas Braun], please find the bill below
+signed by [name:Hannah Reed] at the town hall
+mr [name:Ivan Petrov] did not answer
+mrs [name:Rachel Green] moved away
+contact: [name:Akira Sato] in the main office
+herr [name:Stefan Vogel] kommt aus der stadt
+je m'appelle [name:Élodie Martin] et je suis ici
+me llamo [name:Ana Torres] y trabajo en la ciudad
+regards, [name:Chris Evans] and the family
+password: [secret:Kd93jslQm20x] was on the note
+api_key = "[secret:d41d8cd98f00b204e9800998ecf8427e00aa11bb]" in the file
+auth_token = "[secret:c4ca4238a0b923820dcc509a6f75849b11223344]" was sent
+secret = "[secret:eccbc87e4b5ce2fe28308fd9f2a7baf311223344]" and more
+The River Thames flows past Tower Bridge and Canary Wharf.
+Step One. Step Two. Open Box. Close Box.
+Your password should be long and the token should be fresh.
+Lime Juice, Brown Sugar, Fresh Mint, Soda Water
+L'été à Nice. Les écoles étaient fermées, étrangement vides.
+Der Zug fährt über Köln. Die Äpfel sind reif, öfter süß.
+The Prime Minister spoke to the House of Lords on Friday.
+Garden Tools | Power Drills | Paint Brushes | Door Handles
+Error 404: Page Not Found. Go Back Home.
+Every Student Must Read This Before The Exam
+"""
+
+
+def test_pii_held_out_lines(field):
+    """Spans that the field finds in lines of its kind that it has not seen."""
+    lines = [pii._parse(x) for x in HELD_OUT.strip().splitlines()]
+    want = {(i, *s) for i, (_, spans) in enumerate(lines) for s in spans}
+    got = {(i, *s) for i, (_, spans) in enumerate(pii.all_spans([t for t, _ in lines], field)) for s in spans if s[2] in pii.ADDED}
+    assert len(got & want) >= 0.85 * len(want) and len(got - want) <= 2, (sorted(want - got), sorted(got - want))
+
+
+def test_pii_names_need_capitals():
+    assert [pii._capital(x.encode(), 0) for x in ("Élan", "élan", "Z", "z", "王", "1", "-", "")] == [True, False, True, False, True, False, False, False]
+
+
 def test_pii_secrets_and_clean_texts(spark, field):
     docs = documents(spark, "/root/testdata/sf0.01").select("doc_id", "text").collect()
     found = pii.all_spans([r.text for r in docs], field)
