@@ -1,12 +1,14 @@
-"""tessera VERB [--config FILE] [--set key=value ...]: resplit, audit, profile, train, eval. Errors of configuration or data exit with 2."""
+"""tessera VERB [--config FILE] [--set key=value ...]: resplit, audit, profile, train, eval, diagnose, ledger, push, pull. Errors of configuration or data exit with 2."""
 
 from __future__ import annotations
 
 import argparse
 import json
 import sys
+import time
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,9 +17,10 @@ from .errors import ConfigError, DataError
 from .operators import audit as A
 from .functions import numbers
 from .operators import dpo_train, formats, metrics, pairs, splits, vectors
+from .operators import ledger as receipts
 from .operators import profile as tiers
 from .session import checkpointed, session
-from .sources import readers, sinks
+from .sources import readers, runs, sinks
 
 
 def _groups(spark: SparkSession, cfg: C.Config, path: str) -> DataFrame:
@@ -77,27 +80,93 @@ def train(spark: SparkSession, cfg: C.Config) -> list[str]:
     """A DPO head over the hashing encoder's differences; its curve, and the weights for eval."""
     if not cfg.data.val_path:
         raise ConfigError("data.val_path is not set")
-    found = dpo_train.fit(_scored(spark, cfg, cfg.data.train_path), _scored(spark, cfg, cfg.data.val_path))
-    folder = f"{cfg.out_dir}/{cfg.run_name}"
+    began = time.monotonic()
+    found = dpo_train.fit(_scored(spark, cfg, cfg.data.train_path), _scored(spark, cfg, cfg.data.val_path), steps=STEPS)
+    folder = _folder(cfg)
     sinks.write_json(f"{folder}/head.json", {"weights": found.weights.tolist(), "best_step": found.best_step, "width": cfg.profile.width})
-    values = {"steps": found.steps, "best_step": found.best_step, "stopped_early": found.stopped_early, "curve": [list(c) for c in found.curve]}
+    values = {"steps": found.steps, "total_steps": STEPS, "best_step": found.best_step, "stopped_early": found.stopped_early}
+    values |= {"wall_seconds": time.monotonic() - began, "curve": [list(c) for c in found.curve]}
     sinks.write_json(f"{folder}/train_report.json", values)
     return [f"{k:>24} {v}" for k, v in values.items()]
 
 
-def evaluate(spark: SparkSession, cfg: C.Config) -> list[str]:
-    """Metrics of the stored head on the validation pairs (on the training pairs, where there are no others)."""
-    rows = _scored(spark, cfg, cfg.data.val_path or cfg.data.train_path)
-    path = Path(f"{cfg.out_dir}/{cfg.run_name}/head.json")
+def _folder(cfg: C.Config) -> str:
+    return f"{cfg.out_dir}/{cfg.run_name}"
+
+
+def _receipt(cfg: C.Config, name: str, verb: str):
+    path = Path(_folder(cfg), name)
     if not path.exists():
-        raise ConfigError(f"{path} is missing: train first")
-    head = F.array(*(F.lit(float(x)) for x in json.loads(path.read_text())["weights"]))
-    scored = rows.select(numbers.dot(F.col("c"), head).alias("r_chosen"), numbers.dot(F.col("r"), head).alias("r_rejected"))
-    values = sinks.sink_report(metrics.pair_metrics(scored), f"{cfg.out_dir}/{cfg.run_name}/eval_report.json")
+        raise ConfigError(f"{path} is missing: {verb} first")
+    return json.loads(path.read_text())
+
+
+def _judged(spark: SparkSession, cfg: C.Config) -> tuple[DataFrame, list[float]]:
+    """The validation pairs (the training pairs, where there are no others) with the stored head's rewards, and its weights."""
+    weights = [float(x) for x in _receipt(cfg, "head.json", "train")["weights"]]
+    head = F.array(*(F.lit(x) for x in weights))
+    rows = _scored(spark, cfg, cfg.data.val_path or cfg.data.train_path)
+    return rows.withColumns({"r_chosen": numbers.dot(F.col("c"), head), "r_rejected": numbers.dot(F.col("r"), head)}), weights
+
+
+def evaluate(spark: SparkSession, cfg: C.Config) -> list[str]:
+    """Metrics of the stored head."""
+    values = sinks.sink_report(metrics.pair_metrics(_judged(spark, cfg)[0].select("r_chosen", "r_rejected")), f"{_folder(cfg)}/eval_report.json")
     return [f"{k:>24} {v}" for k, v in values.items()]
 
 
-VERBS = {"resplit": resplit, "audit": audit, "profile": profile, "train": train, "eval": evaluate}
+def diagnose(spark: SparkSession, cfg: C.Config) -> list[str]:
+    """Tier 2 of the stored head: its metrics, how it lies in the deltas, and its accuracy on every matched slice."""
+    rows, weights = _judged(spark, cfg)
+    masked, names = vectors.slice_masks(rows, cfg.profile.eps)
+    masked = checkpointed(masked)
+    values = sinks.sink_report(tiers.diagnose(masked, names, np.array(weights), "delta"), f"{_folder(cfg)}/diagnose_report.json")
+    slices = metrics.saturation_slices(masked, names, cfg.profile.min_pairs).orderBy("name").collect()  # a row for each mask at most
+    sinks.write_json(f"{_folder(cfg)}/slices.json", [r.asDict() for r in slices])
+    return [f"{k:>24} {v}" for k, v in values.items()] + [f"{r.name:>24} {r.accuracy:.4f} of {r.n_pairs}" for r in slices]
+
+
+#: What the ledger takes of each receipt: our column, the receipt's key, its type.
+_AUDITED = [(k, k, "string" if k == "baseline_best" else "double") for k in ("baseline_best", "baseline_best_acc", "acc_char_length", "p_longer_wins", "frac_near_equal")]
+_PROFILED = [(k, k, "double") for k in ("separability_raw", "separability_min", "frac_surface_controlled", "pc1_share", "prompt_overlap_frac")]
+_TRAINED = [("best_step", "best_step", "int"), ("steps", "steps", "int"), ("total_steps", "total_steps", "int"), ("early_stopped", "stopped_early", "boolean"), ("wall_seconds", "wall_seconds", "double")]
+_DIAGNOSED = [("n_pairs", "n_pairs", "long"), *((k, k, "double") for k in ("accuracy", "accuracy_se", "cos_w_pc1", "cos_w_mean_delta", "pc1_explained_frac", "rmax_first", "rmax_last"))]
+
+
+def _row(spark: SparkSession, values: dict, taken: list[tuple[str, str, str]]) -> DataFrame:
+    """One row with the taken values of a receipt; null where it has none."""
+    row = tuple(float(v) if (v := values.get(key)) is not None and kind == "double" else v for _, key, kind in taken)
+    return spark.createDataFrame([row], ", ".join(f"{name} {kind}" for name, _, kind in taken))
+
+
+def ledger(spark: SparkSession, cfg: C.Config) -> list[str]:
+    """What the receipts of audit and profile predicted beside what those of train and diagnose observed."""
+    audited, profiled = _receipt(cfg, "audit_report.json", "audit"), _receipt(cfg, "profile_report.json", "profile")
+    trained, seen = _receipt(cfg, "train_report.json", "train"), _receipt(cfg, "diagnose_report.json", "diagnose")
+    # one encoder measures the data and trains the head, on responses alone
+    run = _row(spark, trained, _TRAINED).crossJoin(_row(spark, seen, _DIAGNOSED)).withColumn("shared_space", F.lit(True))  # one row each
+    of = "name string, n_pairs long, accuracy double, accuracy_se double"
+    slices = spark.createDataFrame([tuple(s[k.split()[0]] for k in of.split(", ")) for s in _receipt(cfg, "slices.json", "diagnose")], of)
+    rows = receipts.build_ledger(_row(spark, audited, _AUDITED), _row(spark, profiled, _PROFILED), run, slices).orderBy("ord").collect()  # seven
+    sinks.write_json(f"{_folder(cfg)}/ledger.json", [r.asDict() for r in rows])
+    return [f"{r.question}: {r.predicted} | {r.observed} | {r.verdict}" for r in rows]
+
+
+def push(spark: SparkSession, cfg: C.Config) -> list[str]:
+    """Copies the run's folder to the store."""
+    return [f"{k:>24} {v}" for k, v in runs.push(_folder(cfg), cfg.store, cfg.run_name).items()]
+
+
+def pull(spark: SparkSession, cfg: C.Config) -> list[str]:
+    """Copies the run's folder from the store."""
+    return [f"{k:>24} {v}" for k, v in runs.pull(cfg.store, cfg.run_name, _folder(cfg)).items()]
+
+
+#: Steps of a fit at most.
+STEPS = 50
+#: Verbs that read no training pairs.
+WITHOUT_DATA = {"ledger", "push", "pull"}
+VERBS = {"resplit": resplit, "audit": audit, "profile": profile, "train": train, "eval": evaluate, "diagnose": diagnose, "ledger": ledger, "push": push, "pull": pull}
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
@@ -108,7 +177,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     args = parser.parse_args(argv)
     try:
         cfg = C.load(args.config, args.set)
-        if not cfg.data.train_path:
+        if not cfg.data.train_path and args.verb not in WITHOUT_DATA:
             raise ConfigError("data.train_path is not set")
         print("\n".join(VERBS[args.verb](spark or session(), cfg)))
     except (ConfigError, DataError) as e:

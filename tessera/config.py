@@ -59,6 +59,7 @@ class ProfileConfig:
 class Config:
     run_name: str = "run"
     out_dir: str = "runs"
+    store: str = ""  # the folder that push and pull copy runs to and from
     policy: Literal["all_pairs", "best_vs_rest", "adjacent"] = "all_pairs"
     data: DataConfig = field(default_factory=DataConfig)
     split: SplitConfig = field(default_factory=SplitConfig)

@@ -101,6 +101,23 @@ def test_command_line(spark, tmp_path, capsys):
     assert tier1["prompt_overlap_frac"] == 1.0 and tier1["shift_status"] == "not_applicable" and tier1["n_cross"] >= 120 and {"semantic_leakage", "shift_not_meaningful"} <= set(tier1["warnings"])
     assert json.loads((tmp_path / "runs/run/eval_report.json").read_text())["accuracy"] == 1.0
     assert json.loads((tmp_path / "runs/run/train_report.json").read_text())["curve"][0][3] == 0.5
+    store = tmp_path / "store"
+    store.mkdir()
+    assert cli.main(["ledger", "--set", *sides], spark) == 2  # nothing was diagnosed yet
+    for verb in ("diagnose", "ledger", "push"):
+        assert cli.main([verb, "--set", *sides, f"store={store}"], spark) == 0
+    seen = json.loads((tmp_path / "runs/run/diagnose_report.json").read_text())
+    assert seen["accuracy"] == 1.0 and seen["n_pairs"] == 120 and abs(seen["cos_w_mean_delta"]) <= 1.0
+    rows = json.loads((tmp_path / "runs/run/ledger.json").read_text())
+    assert [r["ord"] for r in rows] == list(range(7)) and rows[0]["verdict"] == "confirmed: at the surface ceiling"
+    assert rows[5]["verdict"] == "prompts leak" and rows[3]["verdict"] == "spaces are the same: comparable" and "120 pairs" in rows[5]["observed"]
+    assert cli.main(["pull", "--set", f"out_dir={tmp_path}/again", f"store={store}"], spark) == 0
+    assert (tmp_path / "again/run/ledger.json").read_text() == (tmp_path / "runs/run/ledger.json").read_text()
+    for bad in (["store="], [f"store={tmp_path}/none"], [f"store={store}", "run_name=../x"], [f"store={store}", "run_name=absent"]):
+        assert cli.main(["pull", "--set", f"out_dir={tmp_path}/again", *bad], spark) == 2 and cli.main(["push", "--set", f"out_dir={tmp_path}/runs", *bad], spark) == 2
+    (store / "run/ledger.json").write_text("[]")
+    assert cli.main(["pull", "--set", f"out_dir={tmp_path}/again", f"store={store}"], spark) == 2
+    assert (tmp_path / "again/run/ledger.json").read_text() != "[]"  # nothing is copied then
     assert cli.main(["train", "--set", *common], spark) == 2 and cli.main(["eval", "--set", *common, "run_name=none"], spark) == 2
     split = json.loads((tmp_path / "runs/run/split_report.json").read_text())
     assert split["n_overlap_prompts"] == 0 and split["n_rows"] == 120
