@@ -22,6 +22,15 @@ from .operators import profile as tiers
 from .session import checkpointed, session
 from .sources import readers, runs, sinks
 
+#: Steps of a fit at most.
+STEPS = 50
+#: Verbs that read no training pairs.
+WITHOUT_DATA = {"ledger", "push", "pull"}
+
+
+def _folder(cfg: C.Config) -> str:
+    return f"{cfg.out_dir}/{cfg.run_name}"
+
 
 def _groups(spark: SparkSession, cfg: C.Config, path: str) -> DataFrame:
     rows = readers.scan(spark, path, cfg.data.schema, cfg.data.json_key)
@@ -36,8 +45,8 @@ def resplit(spark: SparkSession, cfg: C.Config) -> list[str]:
     out = split.drop("copy", "is_val", "file", "row")
     marks = split["is_val"]
     for name, keep in (("train", ~marks), ("val", marks)):
-        sinks.sink_records(split.where(keep).select(*out.columns), f"{cfg.out_dir}/{cfg.run_name}/{name}", "overwrite")
-    report = sinks.sink_report(splits.split_report(split, cfg.data.prompt_field), f"{cfg.out_dir}/{cfg.run_name}/split_report.json")
+        sinks.sink_records(split.where(keep).select(*out.columns), f"{_folder(cfg)}/{name}", "overwrite")
+    report = sinks.sink_report(splits.split_report(split, cfg.data.prompt_field), f"{_folder(cfg)}/split_report.json")
     return [f"{k:>24} {v}" for k, v in report.items()]
 
 
@@ -45,7 +54,7 @@ def audit(spark: SparkSession, cfg: C.Config) -> list[str]:
     groups = checkpointed(_groups(spark, cfg, cfg.data.train_path))
     val = _groups(spark, cfg, cfg.data.val_path) if cfg.data.val_path else None
     report = checkpointed(A.audit(groups, checkpointed(pairs.to_pairs(groups)), val, cfg.audit.expected_ceiling))
-    values = sinks.sink_report(report, f"{cfg.out_dir}/{cfg.run_name}/audit_report.json")
+    values = sinks.sink_report(report, f"{_folder(cfg)}/audit_report.json")
     warnings = [f"! {r.code}: {r.message}" for r in A.audit_warnings(report).orderBy("ord").collect()]
     return [f"{k:>24} {v}" for k, v in values.items()] + warnings
 
@@ -65,7 +74,7 @@ def profile(spark: SparkSession, cfg: C.Config) -> list[str]:
     masked, names = vectors.slice_masks(_embedded(spark, cfg, cfg.data.train_path), p.eps)
     val = _embedded(spark, cfg, cfg.data.val_path).withColumn("key", -1 - F.col("key")) if cfg.data.val_path else None
     report = tiers.profile(masked, names, p.min_pairs, p.min_confident, p.isolated_tau, p.offtopic_tau, val, p.near_dup_tau, p.mmd_n_perm, p.mmd_max_n, p.mmd_min_n, p.seed)
-    values = sinks.sink_report(report, f"{cfg.out_dir}/{cfg.run_name}/profile_report.json")
+    values = sinks.sink_report(report, f"{_folder(cfg)}/profile_report.json")
     return [f"{k:>40} {v}" for k, v in values.items()]
 
 
@@ -90,10 +99,6 @@ def train(spark: SparkSession, cfg: C.Config) -> list[str]:
     return [f"{k:>24} {v}" for k, v in values.items()]
 
 
-def _folder(cfg: C.Config) -> str:
-    return f"{cfg.out_dir}/{cfg.run_name}"
-
-
 def _receipt(cfg: C.Config, name: str, verb: str):
     path = Path(_folder(cfg), name)
     if not path.exists():
@@ -162,10 +167,6 @@ def pull(spark: SparkSession, cfg: C.Config) -> list[str]:
     return [f"{k:>24} {v}" for k, v in runs.pull(cfg.store, cfg.run_name, _folder(cfg)).items()]
 
 
-#: Steps of a fit at most.
-STEPS = 50
-#: Verbs that read no training pairs.
-WITHOUT_DATA = {"ledger", "push", "pull"}
 VERBS = {"resplit": resplit, "audit": audit, "profile": profile, "train": train, "eval": evaluate, "diagnose": diagnose, "ledger": ledger, "push": push, "pull": pull}
 
 
