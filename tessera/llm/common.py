@@ -35,19 +35,28 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+def folder_of(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder."""
+    return f"{shared_dir(spark)}/tessera/{name}"
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in any store that Spark reaches."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 class Stored:
     """A DataFrame written as Parquet in the shared folder; drop() deletes it."""
 
     def __init__(self, df: DataFrame, name: str, compression: str = "zstd"):
         self.spark = df.sparkSession
-        self.path = f"{shared_dir(self.spark)}/tessera/{name}-{uuid.uuid4().hex}"
+        self.path = folder_of(self.spark, f"{name}-{uuid.uuid4().hex}")
         df.write.option("compression", compression).parquet(self.path)
         self.df = self.spark.read.parquet(self.path)
 
     def drop(self) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        removed(self.spark, self.path)
 
 
 def batch_rows(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
@@ -173,3 +182,18 @@ def free(columns: list[str], name: str) -> str:
     while name.lower() in taken:
         name = "_" + name
     return name
+
+
+def quoted(name: str) -> str:
+    """A column's name as SQL reads it, whatever characters it has."""
+    return f"`{name.replace('`', '``')}`"
+
+
+def numbered(df: DataFrame, new: tuple[str, ...]) -> tuple[DataFrame, list[str]]:
+    """The columns of df under the names _0, _1, ..., and their own names; without those called like one of new in any case.
+
+    Functions over Arrow batches do not take names with dots, and Spark does not tell names apart by case.
+    """
+    taken = {x.lower() for x in new}
+    names = [c for c in df.columns if c.lower() not in taken]
+    return df.select(*(F.col(quoted(c)).alias(f"_{i}") for i, c in enumerate(names))), names
