@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .context_mixing import op12_lm_score
 from .fingerprint import op6_fingerprint
 from .id_files import op9_id_files
 from .language_id import op1_language_id
@@ -27,6 +28,7 @@ _ALL = (
     op9_id_files,
     op10_pii,
     op11_lexical_search,
+    op12_lm_score,
     op13_periodic_runs,
 )
 QUERIES = {f.__name__: f for f in _ALL}
