@@ -39,13 +39,15 @@ def _groups(spark: SparkSession, cfg: C.Config, path: str) -> DataFrame:
 
 
 def resplit(spark: SparkSession, cfg: C.Config) -> list[str]:
+    """Train and validation records that share no prompt. Rows are duplicates if all columns of the records are equal, in whichever
+    file and line they are; the first in the order of the scan stays."""
     rows = readers.scan(spark, cfg.data.train_path, cfg.data.schema, cfg.data.json_key)
-    order = "row" if "row" in rows.columns else cfg.data.prompt_field
-    split = checkpointed(splits.split_records(rows, order, cfg.split.val_frac, cfg.split.method, cfg.split.seed, cfg.data.prompt_field, cfg.split.drop_exact_duplicates))
-    out = split.drop("copy", "is_val", "file", "row")
-    marks = split["is_val"]
-    for name, keep in (("train", ~marks), ("val", marks)):
-        sinks.sink_records(split.where(keep).select(*out.columns), f"{_folder(cfg)}/{name}", "overwrite")
+    own = [c for c in rows.columns if c not in ("file", "row")]
+    place = F.struct("file", "row") if "row" in rows.columns else F.monotonically_increasing_id()
+    rows = rows.select(*(F.col(f"`{c}`") for c in own), place.alias("_place"))
+    split = checkpointed(splits.split_records(rows, "_place", cfg.split.val_frac, cfg.split.method, cfg.split.seed, cfg.data.prompt_field, cfg.split.drop_exact_duplicates))
+    for name, keep in (("train", ~F.col("is_val")), ("val", F.col("is_val"))):
+        sinks.sink_records(split.where(keep).select(*(F.col(f"`{c}`") for c in own)), f"{_folder(cfg)}/{name}", "overwrite")
     report = sinks.sink_report(splits.split_report(split, cfg.data.prompt_field), f"{_folder(cfg)}/split_report.json")
     return [f"{k:>24} {v}" for k, v in report.items()]
 

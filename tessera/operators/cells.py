@@ -146,7 +146,8 @@ def nearest(a: DataFrame, b: DataFrame, key: str, vector: str, tau: float, pivot
     pool = of_b.where(F.exists("v", lambda x: F.abs(x) > 1e-12)).orderBy("h1", "h2").limit(POOL).select("v").collect()  # by hash: in no order
     if not pool:
         return _finish(a, b, of_b, spark.createDataFrame([], "h1 long, h2 long, best double, over long, compared long"), tau)
-    centres = choose_pivots(_units(np.array([r.v for r in pool], np.float64)), pivots)
+    # cells are about as many as vectors in one of them, up to the bound
+    centres = choose_pivots(_units(np.array([r.v for r in pool], np.float64)), min(pivots, 1 + int(of_b.count() ** 0.5 / 2)))
     left, right = checkpointed(_placed(of_a, centres)), checkpointed(_placed(of_b, centres))
     low, high = _ranges(right, centres)
     parts_a, parts_b = _parts(left), _parts(right)

@@ -20,6 +20,19 @@ def couplets(rows: DataFrame, text: str) -> DataFrame:
     return rows.withColumn("w1", last_word(F.get("lines", F.lit(0)))).withColumn("w2", last_word(F.get("lines", F.lit(1))))
 
 
+def rhymes_of(pronunciations: DataFrame) -> DataFrame:
+    """word, key from pronunciations (word, variant, phones: symbols with a space between, vowels with the digit of their stress).
+
+    A word's first variant counts. Its key is what is said from the last stressed vowel (1 or 2) on, without digits; where none is
+    stressed, all of it. A word that is not in the table has no key and rhymes with nothing.
+    """
+    first = pronunciations.where(F.col("word").isNotNull() & (F.trim("phones") != "")).groupBy("word").agg(F.min_by("phones", "variant").alias("phones"))
+    parts = F.split(F.trim("phones"), r"\s+")
+    stressed = F.array_position(F.reverse(F.transform(parts, lambda x: x.rlike("[12]$"))), F.lit(True)).cast("int")
+    spoken = F.when(stressed > 0, F.slice(parts, -stressed, stressed)).otherwise(parts)
+    return first.select("word", F.regexp_replace(F.array_join(spoken, " "), r"\d", "").alias("key"))
+
+
 def build_pool(rows: DataFrame, text: str, rhymes: DataFrame) -> DataFrame:
     """word, n, log2, key: the words that end second lines, how often, and their rhyme keys from rhymes (word, key)."""
     words = couplets(rows, text).where((F.size("lines") >= 2) & (F.col("w2") != "")).groupBy(F.col("w2").alias("word")).agg(F.count("*").alias("n"))

@@ -5,9 +5,10 @@ A Caller belongs to one task; what it sends goes through `post`, so tests and ot
 
 from __future__ import annotations
 
+import itertools
 import random
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import NamedTuple
 
@@ -35,6 +36,31 @@ class Rules:
     failures: int = 20
 
 
+class Starts:
+    """Start times on a grid that is laid from the first call on: no two calls share a cell, and a late one begins in its own."""
+
+    def __init__(self, interval: float):
+        self.interval = interval
+        self._taken: tuple[float, int] | None = None
+
+    def wait(self, now: float) -> float:
+        """Seconds from now to the start that this call is given."""
+        if self.interval <= 0:
+            return 0.0
+        if self._taken is None:
+            self._taken = (now, 0)
+            return 0.0
+        origin, cell = self._taken
+        start = max(origin + (cell + 1) * self.interval, now)
+        # a call that comes late moves the grid to its own start
+        self._taken = (origin, cell + 1) if start > now else (now, 0)
+        return start - now
+
+
+#: What becomes of a call, by status; statuses that are in no table give up.
+ANSWERED, REPEAT, LEAVE_OUT, GIVE_UP = "answered", "repeat", "leave out", "give up"
+
+
 @dataclass
 class Caller:
     post: Post
@@ -45,42 +71,53 @@ class Caller:
     jitter: Callable[[], float] = random.random
     refused: list[str] = field(default_factory=list)
     failed: int = 0
-    _free: float | None = None
-
-    def _paced(self, payload: dict) -> tuple[int | None, str]:
-        now = self.clock()
-        begin = now if self._free is None else max(now, self._free)
-        self._free = begin + self.rules.interval
-        if begin > now:
-            self.sleep(begin - now)
+
+    def __post_init__(self) -> None:
+        self._starts = Starts(self.rules.interval)
+        self._actions = dict.fromkeys(self.rules.passing, REPEAT) | {200: ANSWERED, 400: LEAVE_OUT}
+
+    def _delays(self) -> Iterator[float]:
+        """Waits before the second call, the third and so on, as many as there may be."""
+        for k in range(1, self.rules.retries + 1):
+            yield min(self.rules.longest, 2.0**k) + self.jitter()
+
+    def _post(self, text: str) -> tuple[int | None, str]:
+        if wait := self._starts.wait(self.clock()):
+            self.sleep(wait)
+        kept = {k: v for k, v in self.parameters.items() if k not in self.refused}
         try:
-            return self.post(payload)
+            return self.post({"text": text, **kept})
         except OSError as e:
             return None, str(e)
 
+    def _refuses(self, body: str) -> bool:
+        """Whether the reply names a parameter that was sent and may be left out; then it is, from now on."""
+        named = next((k for k in self.rules.optional if k in self.parameters and k not in self.refused and k in body), None)
+        self.refused += [named] if named else []
+        return named is not None
+
     def ask(self, text: str) -> Answer:
-        attempts = 0
-        while True:
-            payload = {"text": text} | {k: v for k, v in self.parameters.items() if k not in self.refused}
-            status, body = self._paced(payload)
-            attempts += 1
-            if status == 200:
-                return Answer(body, None, attempts)
-            named = [k for k in self.rules.optional if k in payload and k in body] if status == 400 else []
-            if named:
-                self.refused.append(named[0])
-                attempts -= 1  # the call was not the text's fault
-            elif status in self.rules.passing and attempts <= self.rules.retries:
-                self.sleep(min(self.rules.longest, 2.0**attempts) + self.jitter())
-            else:
-                return Answer(None, f"status {status} in call {attempts}", attempts)
+        delays = self._delays()
+        for attempt in itertools.count(1):
+            status, body = self._post(text)
+            # a call without a refused parameter is the same attempt
+            while self._actions.get(status) == LEAVE_OUT and self._refuses(body):
+                status, body = self._post(text)
+            action = self._actions.get(status, GIVE_UP)
+            if action == ANSWERED:
+                return Answer(body, None, attempt)
+            delay = next(delays, None) if action == REPEAT else None
+            if delay is None:
+                return Answer(None, f"status {status} in call {attempt}", attempt)
+            self.sleep(delay)
+        raise AssertionError("attempts never end")
 
     def __call__(self, texts: list[str]) -> list[Answer]:
         out = []
         for text in texts:
-            if self.failed >= self.rules.failures:
+            if self.failed < self.rules.failures:
+                out.append(self.ask(text))
+                self.failed = self.failed + 1 if out[-1].error else 0
+            else:
                 out.append(Answer(None, f"not called after {self.failed} failures in a row", 0))
-                continue
-            out.append(self.ask(text))
-            self.failed = self.failed + 1 if out[-1].error else 0
         return out

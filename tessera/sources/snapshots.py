@@ -44,6 +44,10 @@ class Snapshots:
             self._fs.delete(self._path(f"{self.folder}/{name}"), True)
         return pruned
 
+    def steps(self) -> list[int]:
+        """The steps that are there."""
+        return self._pointers()["steps"]
+
     def load(self, which: str = "latest") -> DataFrame:
         step = self._pointers().get(which)
         if step is None:
