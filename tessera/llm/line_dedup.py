@@ -51,14 +51,15 @@ def boilerplate(docs: DataFrame, host: str, text: str, ratio: float, min_pages:
     return over.groupBy("host").agg(F.collect_list("line").alias("dropped"))
 
 
-def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = 2, copies: bool = True) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = 2, copies: bool = True, most: float = 1.0) -> DataFrame:
     """docs with boilerplate lines taken out of text, and the columns n_lines and n_dropped (lines that are not blank).
 
     Boilerplate is what pages share, so a line that one page alone has is none, whatever its ratio (min_pages; more is the
     caller's choice). Columns n_lines and n_dropped are replaced; all others, under any name, and the order of the remaining
     lines, stay, and a page whose lines all go has an empty text. Pages without host or with null text are left as they are
     (a null text has no lines). Repeated rows are pages of their own, unless copies is false, where they count as one;
-    frequencies that equal the ratio are not over it. Lines and texts may be of any length. An empty table gives an empty one.
+    frequencies that equal the ratio are not over it. A page of which more than the share most of its characters would go is left
+    whole: its lines are what it has in common with near copies, not what a site puts around its pages. Lines and texts may be of any length. An empty table gives an empty one.
     """
     found = Stored(boilerplate(docs, host, text, ratio, min_pages, copies), "boilerplate").df
     size = found.agg(F.coalesce(F.sum(F.size("dropped")), F.lit(0)), F.count("*")).first()
@@ -75,6 +76,9 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text",
     count = lambda t: F.when(t.isNull(), 0).otherwise(F.size(F.filter(_lines(t), solid))).cast("long")
     none = F.coalesce(F.size(bad), F.lit(0)) <= 0
     rows = rows.withColumn(new, F.when(none, F.col(text)).otherwise(F.array_join(lines, "\n"))).withColumn("n_lines", count(F.col(text)))
+    if most < 1:
+        whole = F.length(new) < (1 - most) * F.length(F.col(text))
+        rows = rows.withColumn(new, F.when(whole, F.col(text)).otherwise(F.col(new)))
     rows = rows.withColumn("n_dropped", F.when(none, F.lit(0).cast("long")).otherwise(F.col("n_lines") - count(F.col(new))))
     return rows.select(*(F.col(new).alias(c) if c == text else F.col(c) for c in kept), "n_lines", "n_dropped")
 
