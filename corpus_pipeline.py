@@ -16,21 +16,30 @@ from tessera.llm.common import Stored, documents, free
 
 #: Bits a letter from which a text is in none of the languages learnt; texts of those take up to about 6.
 FOREIGN_BITS = 8.0
+#: Share of a text's characters that may go as boilerplate lines; beyond it the text is left whole, for near duplicates to find.
+BOILERPLATE = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without letters (null ones too) and texts in no language learnt; lang becomes the prediction."""
+    """Drops texts without letters (null ones too) and texts in no language learnt; lang becomes the prediction.
+
+    Where no text has a language to learn from, nothing can be foreign: texts with letters stay, and lang as it is.
+    """
+    model = language_id.train(docs)
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     names = _names(docs, {"lang_pred", "score", "bits_per_letter"})
-    rows = language_id.predict(docs.withColumnsRenamed(names), language_id.train(docs))
+    rows = language_id.predict(docs.withColumnsRenamed(names), model)
     rows = rows.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("bits_per_letter") <= FOREIGN_BITS))
     return _back(rows, names, lang=F.col("lang_pred"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes lines that are boilerplate of their source out of the texts; no document goes. Copies of a page count once, so that
-    the lines of a large group of copies stay for the next stage to find it."""
+    """Takes lines that are boilerplate of their source out of the texts; no document goes. Copies of a page count once, and texts
+    that would lose more than half of their characters stay whole, so that groups of copies and near copies are there for the next
+    stage to find."""
     names = _names(docs, {"n_lines", "n_dropped"})
-    return _back(line_dedup.drop_boilerplate(docs.withColumnsRenamed(names), copies=False), names, n_chars=F.length("text").cast("long"))
+    return _back(line_dedup.drop_boilerplate(docs.withColumnsRenamed(names), copies=False, most=BOILERPLATE), names, n_chars=F.length("text").cast("long"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
