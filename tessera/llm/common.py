@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes of text that one numpy step works on at a time (one document at least).
 CHUNK_BYTES = 2 << 20
@@ -180,9 +181,10 @@ def words(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarra
     return data, starts, ends, counts
 
 
-def extra(df: DataFrame, names: set[str]) -> list[str]:
-    """The columns of df that do not clash with names."""
-    return [c for c in df.columns if c not in names]
+def extra(df: DataFrame, names: Iterable[str]) -> list[str]:
+    """The columns of df that are not called like one of names in any case, as Spark does not tell such names apart."""
+    taken = {x.lower() for x in names}
+    return [c for c in df.columns if c.lower() not in taken]
 
 
 def free(columns: list[str], name: str) -> str:
@@ -203,6 +205,24 @@ def numbered(df: DataFrame, new: tuple[str, ...]) -> tuple[DataFrame, list[str]]
 
     Functions over Arrow batches do not take names with dots, and Spark does not tell names apart by case.
     """
-    taken = {x.lower() for x in new}
-    names = [c for c in df.columns if c.lower() not in taken]
+    names = extra(df, new)
     return df.select(*(F.col(quoted(c)).alias(f"_{i}") for i, c in enumerate(names))), names
+
+
+def beside(df: DataFrame, new: dict[str, str], work: Callable[[pa.RecordBatch], list[pa.Array]], limit: int) -> DataFrame:
+    """df with the columns new (name to type), which work makes of batches whose column text has up to limit bytes.
+
+    Columns of df called like one of new, in any case, are replaced; all others come back unchanged under their own names.
+    """
+    rows, names = numbered(df, tuple(new))
+    place = [n.lower() for n in names].index("text")
+    schema = StructType(list(rows.schema))
+    for name, kind in new.items():
+        schema = schema.add(name, kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, f"_{place}", limit):
+            given = batch.rename_columns(["text" if i == place else n for i, n in enumerate(batch.schema.names)])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *work(given)], names=[*batch.schema.names, *new])
+
+    return rows.mapInArrow(run, schema).toDF(*names, *new)

@@ -11,7 +11,6 @@ of the whole text.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_rows, chunks, col, documents, extra, held_out, texts_of
+from .common import batch_rows, beside, documents, held_out, texts_of
 
 #: Letters of training text of each language, and how many a document gives at most.
 SAMPLE_LETTERS = 20_000
@@ -235,7 +234,8 @@ def train(docs: DataFrame, sample_letters: int = SAMPLE_LETTERS, sample_rows: in
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """Adds lang_pred, score (0 to 1) and bits_per_letter to docs; columns of these names are replaced.
+    """Adds lang_pred, score (0 to 1) and bits_per_letter to docs; columns of these names, in any case, are replaced, and all others
+    come back unchanged. An empty table gives no rows; texts of any length are parsed whole.
 
     Only the text counts. Null texts, texts without a letter, and all texts where nothing was learnt are `und` with
     score 0. Equal entropies go to the language that comes first in order of names. Rows are independent of each other.
@@ -244,30 +244,26 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     spark = docs.sparkSession
     batch_rows(spark)
     shared = spark.sparkContext.broadcast(model)  # its size is bounded by SAMPLE_LETTERS and LANGUAGES
-    new = {"lang_pred", "score", "bits_per_letter"}
-    kept = extra(docs, new)
-    schema = docs.select(*kept).schema.add("lang_pred", "string").add("score", "double").add("bits_per_letter", "double")
     codes: list[np.ndarray] = []
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(batch: pa.RecordBatch) -> list[pa.Array]:
         m = shared.value
         if not codes:
             codes.append(m.codes())
-        for batch in chunks(batches, limit=1 << 20):
-            n = len(batch)
-            bits, letters = m.entropies(texts_of(batch), codes[0])
-            none = (letters == 0) | (bits.shape[1] == 0)
-            if bits.shape[1]:
-                best = np.argmin(bits, axis=1)
-                low = bits[np.arange(n), best]
-                others = np.where(np.arange(bits.shape[1])[None, :] == best[:, None], np.inf, bits).min(axis=1)
-                score = np.where(np.isfinite(others), 1 - low / np.maximum(others, 1e-9), 1.0)
-                names = [UNKNOWN if x else m.languages[k] for x, k in zip(none, best)]
-            else:
-                low, score, names = np.zeros(n), np.zeros(n), [UNKNOWN] * n
-            yield pa.RecordBatch.from_arrays([*(col(batch, c) for c in kept), pa.array(names), pa.array(np.where(none, 0.0, np.clip(score, 0, 1))), pa.array(np.where(none, 0.0, low))], names=[*kept, "lang_pred", "score", "bits_per_letter"])
+        n = len(batch)
+        bits, letters = m.entropies(texts_of(batch), codes[0])
+        none = (letters == 0) | (bits.shape[1] == 0)
+        if bits.shape[1]:
+            best = np.argmin(bits, axis=1)
+            low = bits[np.arange(n), best]
+            others = np.where(np.arange(bits.shape[1])[None, :] == best[:, None], np.inf, bits).min(axis=1)
+            score = np.where(np.isfinite(others), 1 - low / np.maximum(others, 1e-9), 1.0)
+            names = [UNKNOWN if x else m.languages[k] for x, k in zip(none, best)]
+        else:
+            low, score, names = np.zeros(n), np.zeros(n), [UNKNOWN] * n
+        return [pa.array(names, pa.string()), pa.array(np.where(none, 0.0, np.clip(score, 0, 1))), pa.array(np.where(none, 0.0, low))]
 
-    return docs.select(*kept).mapInArrow(run, schema)
+    return beside(docs, {"lang_pred": "string", "score": "double", "bits_per_letter": "double"}, work, 1 << 20)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stored, documents, free
+from .common import Stored, documents, extra, free, quoted
 
 #: A line in more than this share of a host's pages is boilerplate.
 RATIO = 0.08
@@ -55,7 +55,7 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text",
     """docs with boilerplate lines taken out of text, and the columns n_lines and n_dropped (lines that are not blank).
 
     Boilerplate is what pages share, so a line that one page alone has is none, whatever its ratio (min_pages; more is the
-    caller's choice). Columns n_lines and n_dropped are replaced; all others, under any name, and the order of the remaining
+    caller's choice). Columns n_lines and n_dropped, in any case, are replaced; all others, under any name, and the order of the remaining
     lines, stay, and a page whose lines all go has an empty text. Pages without host or with null text are left as they are
     (a null text has no lines). Repeated rows are pages of their own, unless copies is false, where they count as one;
     frequencies that equal the ratio are not over it. A page of which more than the share most of its characters would go is left
@@ -63,12 +63,12 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text",
     """
     found = Stored(boilerplate(docs, host, text, ratio, min_pages, copies), "boilerplate").df
     size = found.agg(F.coalesce(F.sum(F.size("dropped")), F.lit(0)), F.count("*")).first()
-    kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    kept = extra(docs, ("n_lines", "n_dropped"))
     site, dropped, bad, new = (free([*docs.columns, "n_lines", "n_dropped"], x) for x in ("site", "dropped", "bad", "new"))
     found = found.select(F.col("host").alias(site), F.col("dropped").alias(dropped))
     if sum(size) <= BROADCAST_LINES:
         found = F.broadcast(found)
-    rows = docs.select(*kept).join(found, F.col(host) == F.col(site), "left")
+    rows = docs.select(*(F.col(quoted(c)) for c in kept)).join(found, F.col(host) == F.col(site), "left")
     # by hashing, the few boilerplate lines that a page has; then each line is held against those alone
     rows = rows.withColumn(bad, F.array_intersect(_keys(F.col(text)), F.col(dropped)))
     solid = lambda x: _trim(x) != ""
@@ -80,7 +80,7 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text",
         whole = F.length(new) < (1 - most) * F.length(F.col(text))
         rows = rows.withColumn(new, F.when(whole, F.col(text)).otherwise(F.col(new)))
     rows = rows.withColumn("n_dropped", F.when(none, F.lit(0).cast("long")).otherwise(F.col("n_lines") - count(F.col(new))))
-    return rows.select(*(F.col(new).alias(c) if c == text else F.col(c) for c in kept), "n_lines", "n_dropped")
+    return rows.select(*(F.col(new).alias(c) if c == text else F.col(quoted(c)) for c in kept), "n_lines", "n_dropped")
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

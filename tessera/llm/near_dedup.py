@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stored, batch_rows, chunks, col, documents, free, mix64, partitions, span_hashes, words
+from .common import Stored, batch_rows, chunks, col, documents, free, mix64, partitions, quoted, span_hashes, words
 
 BANDS, ROWS = 40, 5
 SAMPLES = BANDS * ROWS
@@ -478,7 +478,7 @@ def deduplicate(docs: DataFrame, shingle: int = 5) -> DataFrame:
     if n_twice:
         again = left.join(twice, [noid, key, digest], "left_semi").dropDuplicates([noid, key, digest])
         left = left.join(twice, [noid, key, digest], "left_anti").unionByName(again)
-    return left.select(*docs.columns)
+    return left.select(*(F.col(quoted(c)) for c in docs.columns))
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

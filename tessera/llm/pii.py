@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_rows, chunks, col, documents, extra, span_hashes, texts_of, words
+from .common import batch_rows, beside, col, documents, span_hashes, texts_of, words
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("secret", "name")
@@ -513,26 +513,21 @@ def find(docs: DataFrame, field: Field | None = None) -> DataFrame:
     gives none.
 
     redacted is the text with every span replaced by `[KIND]`; of spans that overlap, the union is replaced once, under the
-    kind of its first. Null texts are empty for the counts and spans, and stay null in redacted. Columns of the new names
-    are replaced. Rows are independent of each other.
+    kind of its first. Null texts are empty for the counts and spans, and stay null in redacted. Columns of the new names,
+    in any case, are replaced; all others come back unchanged. Rows are independent of each other.
     """
     spark = docs.sparkSession
     batch_rows(spark)
     shared = spark.sparkContext.broadcast(field or train())  # as large as the labelled table's words
-    kept = extra(docs, set(NEW))
-    schema = docs.select(*kept).schema
-    for name, kind in NEW.items():
-        schema = schema.add(name, kind)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, limit=1 << 20):
-            texts = texts_of(batch)
-            found = all_spans(texts, shared.value)
-            counts = [pa.array([sum(s[2] == k for s in base) for base, _ in found], pa.int64()) for k in BASE]
-            clean = [None if null else redact(t, spans) for t, (_, spans), null in zip(texts, found, col(batch, "text").is_null().to_pylist())]
-            yield pa.RecordBatch.from_arrays([*(col(batch, c) for c in kept), *counts, pa.array([_joined(b) for b, _ in found]), pa.array([_joined(s) for _, s in found]), pa.array(clean, pa.string())], names=[*kept, *NEW])
-
-    return docs.select(*kept).mapInArrow(run, schema)
+
+    def work(batch: pa.RecordBatch) -> list[pa.Array]:
+        texts = texts_of(batch)
+        found = all_spans(texts, shared.value)
+        counts = [pa.array([sum(s[2] == k for s in base) for base, _ in found], pa.int64()) for k in BASE]
+        clean = [None if null else redact(t, spans) for t, (_, spans), null in zip(texts, found, col(batch, "text").is_null().to_pylist())]
+        return [*counts, pa.array([_joined(b) for b, _ in found], pa.string()), pa.array([_joined(s) for _, s in found], pa.string()), pa.array(clean, pa.string())]
+
+    return beside(docs, NEW, work, 1 << 20)
 
 
 def redact(text: str, spans: list[tuple[int, int, str]]) -> str:

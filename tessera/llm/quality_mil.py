@@ -7,19 +7,19 @@ and the document's score is the logistic value of the attention-weighted mean pa
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_rows, chunks, col, documents, extra, held_out, span_hashes, words
+from .common import batch_rows, beside, col, documents, held_out, span_hashes, words
 
 PASSAGE = 64
-#: Labelled rows that the model is fitted on at most, chosen by a hash of their id, among texts of up to so many bytes.
-SAMPLE_ROWS, SAMPLE_TEXT = 4000, 1 << 15
+#: Labelled rows that the model is fitted on at most, chosen by a hash of their id, and the bytes of each that it sees: of longer
+#: texts, SAMPLE_PARTS stretches at even distances from the first to the last byte.
+SAMPLE_ROWS, SAMPLE_TEXT, SAMPLE_PARTS = 4000, 1 << 15, 8
 THRESHOLD = 0.3
 HIDDEN, GATE = 32, 16
 EPOCHS, BATCH, RATE = 40, 128, 3e-3
@@ -126,16 +126,24 @@ class Model:
         return model
 
 
+def _stretches(raw: str) -> Column:
+    """A binary column of at most SAMPLE_TEXT bytes; of longer values, stretches over the whole of it."""
+    size = SAMPLE_TEXT // SAMPLE_PARTS
+    n = F.octet_length(raw)
+    starts = [F.floor((n - size) * k / (SAMPLE_PARTS - 1)).cast("int") + 1 for k in range(SAMPLE_PARTS)]
+    return F.when(n <= SAMPLE_TEXT, F.col(raw)).otherwise(F.concat(*(F.substring(F.col(raw), s, F.lit(size)) for s in starts)))
+
+
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Fits on labels.quality (0 or 1) of at most sample_rows documents that are not held out, chosen by a hash of doc_id.
 
-    Of several labels of a document the least counts, of several texts the least; longer texts than SAMPLE_TEXT bytes are
-    not learnt from. Without labels, all scores are 0.5.
+    Of several labels of a document the least counts, of several texts the least; of texts over SAMPLE_TEXT bytes, stretches
+    of that size together are learnt from. Without labels, all scores are 0.5.
     """
     chosen = labels.where(~held_out() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("_y")).orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id").limit(sample_rows)
     raw = F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")
     # sample_rows small rows, whatever the size of the tables; SAMPLE_TEXT bytes of each reach the driver at most
-    near = docs.select("doc_id", raw.alias("raw")).where(F.octet_length("raw") <= SAMPLE_TEXT).join(F.broadcast(chosen), "doc_id")
+    near = docs.select("doc_id", raw.alias("raw")).join(F.broadcast(chosen), "doc_id").select("doc_id", "_y", _stretches("raw").alias("raw"))
     rows = near.groupBy("doc_id", "_y").agg(F.min("raw").alias("raw")).collect()
     rows.sort(key=lambda r: (r.doc_id, r.raw))
     if not rows:
@@ -145,23 +153,22 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """Adds score (0 to 1, higher: label 1 likelier) and predicted (1 if score >= threshold) to docs; such columns are replaced.
+    """Adds score (0 to 1, higher: label 1 likelier) and predicted (1 if score >= threshold) to docs; columns of these names, in any case, are
+    replaced, and all others come back unchanged.
 
-    Null and empty texts have one passage of zeros and are scored like it. Rows are independent of each other.
+    Null and empty texts have one passage of zeros and are scored like it; texts of any length are scored whole. Rows are
+    independent of each other, so repeated ones and ties are alike, and an empty table gives no rows.
     """
     spark = docs.sparkSession
     batch_rows(spark)
     shared = spark.sparkContext.broadcast(model)  # of a fixed size
-    kept = extra(docs, {"score", "predicted"})
-    schema = docs.select(*kept).schema.add("score", "double").add("predicted", "integer")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, limit=1 << 20):
-            raw = [x or b"" for x in col(batch, "text").cast(pa.binary()).to_pylist()]
-            p = shared.value.score(*passages(raw)).astype(np.float64)
-            yield pa.RecordBatch.from_arrays([*(col(batch, c) for c in kept), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=[*kept, "score", "predicted"])
+    def work(batch: pa.RecordBatch) -> list[pa.Array]:
+        raw = [x or b"" for x in col(batch, "text").cast(pa.binary()).to_pylist()]
+        p = shared.value.score(*passages(raw)).astype(np.float64)
+        return [pa.array(p), pa.array((p >= threshold).astype(np.int32))]
 
-    return docs.select(*kept).mapInArrow(run, schema)
+    return beside(docs, {"score": "double", "predicted": "integer"}, work, 1 << 20)
 
 
 def op2_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:

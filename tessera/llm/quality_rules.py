@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Stored, documents, extra, free
+from .common import Stored, documents, extra, free, quoted
 
 #: Common words of a language; the histogram has one class more for all other words.
 COMMON = 16
@@ -81,7 +81,7 @@ def _measured(docs: DataFrame, text: str, lang: str, row: str) -> DataFrame:
     """row (all columns of docs), lang, words (array), chars, the characters of each class and the base measures. A null text is empty."""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rare = F.regexp_replace(t, "[a-z \\t-\\r]+", "")  # all that the classes count, in a shorter text
-    rows = docs.select(F.struct(*docs.columns).alias(row), t.alias("text"), rare.alias("rare"), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"), F.array_remove(F.split(t, _SEPARATORS, -1), "").alias("words"))
+    rows = docs.select(F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias(row), t.alias("text"), rare.alias("rare"), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"), F.array_remove(F.split(t, _SEPARATORS, -1), "").alias("words"))
     return rows.select(
         row, "lang", "words", F.size("words").cast("long").alias("n_words"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"), _but(F.col("rare"), _SYMBOLS).alias("n_symbols"),
         _dup_lines(F.col("text")).alias("n_dup_lines"), _repeat_words(F.col("words")).alias("n_repeat_words"),
@@ -137,14 +137,14 @@ def _distance(own: Column, other: Column) -> Column:
 
 
 def judge(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """docs with the base measures, char_distance, word_distance, base_failed and kept; columns of these names are replaced.
+    """docs with the base measures, char_distance, word_distance, base_failed and kept; columns of these names, in any case, are replaced.
 
     Null texts are empty: no words, so they fail for their length. Texts without lang are held against each other. Rows are
     judged each by itself, repeated ones alike; a distance that equals its bound passes. All other columns of docs, under any
     name, stay as they are. An empty table gives no rows.
     """
     kept = extra(docs, set(_NEW))
-    docs = docs.select(*kept)
+    docs = docs.select(*(F.col(quoted(c)) for c in kept))
     reference = Stored(references(docs, text, lang), "references").df
     if reference.count() <= BROADCAST_LANGUAGES:
         reference = F.broadcast(reference)
