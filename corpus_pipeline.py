@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import language_id, line_dedup, near_dedup, packing, pii
-from tessera.llm.common import Stored, documents, free
+from tessera.llm.common import Stored, documents, free, quoted
 
 #: Bits a letter from which a text is in none of the languages learnt; texts of those take up to about 6.
 FOREIGN_BITS = 8.0
@@ -67,7 +67,7 @@ def _names(docs: DataFrame, new: set[str]) -> dict[str, str]:
 
 def _back(rows: DataFrame, names: dict[str, str], **values: Column) -> DataFrame:
     """The columns of docs again, in their order, some of them with new values."""
-    return rows.select(*(values.get(c, F.col(name)).alias(c) for c, name in names.items()))
+    return rows.select(*(values.get(c, F.col(quoted(name))).alias(c) for c, name in names.items()))
 
 
 STAGES = [("language ID", language), ("line dedup", lines), ("MinHash near-dedup", near_duplicates), ("PII", personal_data), ("best-fit packing", pack)]
