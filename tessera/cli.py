@@ -61,10 +61,28 @@ def audit(spark: SparkSession, cfg: C.Config) -> list[str]:
     return [f"{k:>24} {v}" for k, v in values.items()] + warnings
 
 
+#: Columns of a table that hold the log-probabilities of both sides under the policy and under the reference.
+STORED = ("policy_chosen", "policy_rejected", "ref_chosen", "ref_rejected")
+
+
+def _stored(groups: DataFrame, layout: str) -> tuple[str, ...]:
+    """STORED, if the groups' table has these columns, or nothing, if it has none of them. They are of one pair each, so records with
+    more responses can't have them, and some of them alone are an error."""
+    there = [c for c in STORED if c in groups.columns]
+    if there and len(there) < len(STORED):
+        raise DataError(f"of the stored log-probabilities {[c for c in STORED if c not in there]} are missing")
+    if there and layout.startswith("kway"):
+        raise DataError(f"log-probabilities of pairs can't be stored in layout {layout}")
+    return tuple(there)
+
+
 def _embedded(spark: SparkSession, cfg: C.Config, path: str) -> DataFrame:
-    """At most max_samples pairs by a hash of their id (the sample is the feature; no other bound applies), with vectors of the hashing encoder."""
+    """At most max_samples pairs by a hash of their id (the sample is the feature; no other bound applies), with vectors of the hashing
+    encoder and the log-probabilities that the table stores."""
     p = cfg.profile
-    rows = pairs.uniform_sample(pairs.to_pairs(_groups(spark, cfg, path), cfg.policy), "pair_uid", p.max_samples, p.seed)
+    groups = _groups(spark, cfg, path)
+    made = pairs.to_pairs(groups, cfg.policy, carry=_stored(groups, cfg.data.layout))
+    rows = pairs.uniform_sample(made, "pair_uid", p.max_samples, p.seed)
     for side, name in (("prompt", "p"), ("chosen", "c"), ("rejected", "r")):
         rows = vectors.hash_embed(rows, side, p.width, name)
     return checkpointed(rows.withColumn("delta", F.zip_with("c", "r", lambda a, b: a - b)).withColumn("key", F.col("pair_uid")))
@@ -81,10 +99,16 @@ def profile(spark: SparkSession, cfg: C.Config) -> list[str]:
 
 
 def _scored(spark: SparkSession, cfg: C.Config, path: str) -> DataFrame:
-    """Pairs with the hashing encoder's vectors and the four log-probabilities of columns that the run's table stores under their names, 0 where it has none."""
+    """Pairs with the hashing encoder's vectors and the four log-probabilities that the table stores, as numbers; each must be there and
+    finite. A table without these columns gives 0 for all: then the head starts from no model at all."""
     rows = _embedded(spark, cfg, path)
-    none = [c for c in ("policy_chosen", "policy_rejected", "ref_chosen", "ref_rejected") if c not in rows.columns]
-    return rows.withColumns({c: F.lit(0.0) for c in none})
+    if STORED[0] not in rows.columns:
+        return rows.withColumns({c: F.lit(0.0) for c in STORED})
+    rows = rows.withColumns({c: F.col(c).try_cast("double") for c in STORED})
+    bad = {c: F.count_if(F.col(c).isNull() | F.isnan(c) | (F.abs(c) == float("inf"))).alias(c) for c in STORED}
+    if faults := {c: n for c, n in rows.agg(*bad.values()).first().asDict().items() if n}:
+        raise DataError(f"stored log-probabilities that are no finite numbers, by column: {faults}")
+    return rows
 
 
 def train(spark: SparkSession, cfg: C.Config) -> list[str]:

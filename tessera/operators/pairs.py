@@ -47,8 +47,8 @@ def pair_uid(group: Column, chosen: Column, rejected: Column) -> Column:
     return F.coalesce(ok.cast("bigint"), group.cast("bigint") * 1_000_000 + chosen * 1_000 + rejected)
 
 
-def to_pairs(groups: DataFrame, policy: str = "all_pairs", max_pairs: int | None = None, seed: int = 0) -> DataFrame:
-    """The pairs of every group, in the row itself: no shuffle unless they are sampled.
+def to_pairs(groups: DataFrame, policy: str = "all_pairs", max_pairs: int | None = None, seed: int = 0, carry: tuple[str, ...] = ()) -> DataFrame:
+    """The pairs of every group, in the row itself: no shuffle unless they are sampled. Each has its group's columns of carry too.
 
     max_pairs keeps a uniform sample of so many pairs of each group, by a hash of seed and pair.
     """
@@ -70,11 +70,11 @@ def to_pairs(groups: DataFrame, policy: str = "all_pairs", max_pairs: int | None
     if max_pairs is not None:
         ordered = F.array_sort(F.transform(both, lambda p: F.struct(F.xxhash64(F.lit(seed), F.col("uid"), p["i"], p["j"]).alias("h"), p.alias("p"))))
         both = F.array_sort(F.transform(F.slice(ordered, 1, max_pairs), lambda x: x["p"]))
-    rows = rows.select("uid", "prompt", "responses", "scores", "slices", F.explode(both).alias("_p"))
+    rows = rows.select("uid", "prompt", "responses", "scores", "slices", *carry, F.explode(both).alias("_p"))
     i, j = F.col("_p.i"), F.col("_p.j")
     return rows.select(
         pair_uid(F.col("uid"), i, j).alias("pair_uid"), F.col("uid").alias("group_uid"), i.alias("chosen_idx"), j.alias("rejected_idx"), "prompt", F.get("responses", i).alias("chosen"), F.get("responses", j).alias("rejected"), "slices",
-        (F.get("scores", i) - F.get("scores", j)).alias("margin_hint"),
+        (F.get("scores", i) - F.get("scores", j)).alias("margin_hint"), *carry,
     )
 
 
