@@ -326,6 +326,14 @@ def test_band_join_equals_a_scan(spark):
         assert {(r.w1, r.w2, r.w) for r in minimal.band_join(words, rows, band).collect()} == want
 
 
+def test_band_join_is_dealt_over_tasks(spark):
+    """However few bytes the sides have: the result has the product of their rows."""
+    rows = spark.range(9000).selectExpr("concat('w', id) as word", "cast(id % 3 as double) / 10 as log2", "cast(id % 7 as string) as key").coalesce(1)
+    words = rows.where("log2 = 0 and word rlike '00$'").selectExpr("'-' as w1", "key as k1", "word as w2")
+    joined = minimal.band_join(words, rows, 0.5).rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()
+    assert sum(1 for n in joined if n) > 1 and sum(joined) == sum(1 for a in range(300, 9000, 300) for k in range(7) if a % 7 != k for _ in range(k, 9000, 7))
+
+
 def test_judge_replies(spark):
     replies = ['{"constraints": [{"pass": true, "reason": "x"}, {"pass": false}], "refused": true}', '```json\n{"constraints": [{"pass": true}, {"pass": true}]}\n```', "no", '{"constraints": [{"pass": true}]}', '{"constraints": [{"pass": "yes"}, {"pass": true}]}', '{"other": 1}', None]
     rows = spark.createDataFrame([(i, r, ["a", "b"]) for i, r in enumerate(replies)], "idx long, raw string, c array<string>")
