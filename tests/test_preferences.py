@@ -334,6 +334,12 @@ def test_band_join_is_dealt_over_tasks(spark):
     assert sum(1 for n in joined if n) > 1 and sum(joined) == sum(1 for a in range(300, 9000, 300) for k in range(7) if a % 7 != k for _ in range(k, 9000, 7))
 
 
+def test_logarithms_of_a_pool_are_the_nearest_doubles(spark):
+    rows = spark.range(1, 64).selectExpr("explode(array_repeat(concat('a b\n', 'w', id), int(id))) as text")
+    pool = minimal.build_pool(rows, "text", spark.createDataFrame([], "word string, key string")).collect()
+    assert len(pool) == 63 and all(r.log2 == math.log2(r.n) and r.word == f"w{r.n}" for r in pool)
+
+
 def test_judge_replies(spark):
     replies = ['{"constraints": [{"pass": true, "reason": "x"}, {"pass": false}], "refused": true}', '```json\n{"constraints": [{"pass": true}, {"pass": true}]}\n```', "no", '{"constraints": [{"pass": true}]}', '{"constraints": [{"pass": "yes"}, {"pass": true}]}', '{"other": 1}', None]
     rows = spark.createDataFrame([(i, r, ["a", "b"]) for i, r in enumerate(replies)], "idx long, raw string, c array<string>")
