@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
+from .vectors import beside, parts_of
 
 #: Pivots at most, and vectors from which they are taken; the driver and each task hold both, and a square table of angles.
 PIVOTS, POOL = 256, 4096
@@ -162,14 +163,13 @@ def nearest(a: DataFrame, b: DataFrame, key: str, vector: str, tau: float, pivot
     near = checkpointed(_compared(at(left, cell, part, cell, twin), at(own, cell, F.col("p"), cell, F.col("q")), tau))
     first = left.join(near.select("h1", "h2", "best", F.col("compared").alias("done")), ["h1", "h2"], "left")
     # then the cells that may hold something nearer, or over tau
-    wanted = checkpointed(_wanted(first.withColumn("lower", F.greatest("lower", F.coalesce("best", F.lit(float("-inf"))))).select("h1", "h2", "v", "cell", "part", "lower"), centres, low, high, sorted(parts_b), tau))
-    asks = wanted.select("h1", "h2", "v", F.col("cell").alias("i"), F.col("part").alias("p"), F.explode("cells").alias("j"))
-    asks = asks.withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.try_element_at(parts_there, F.col("j")).cast("long") - 1)))
+    first = first.withColumn("lower", F.greatest("lower", F.coalesce("best", F.lit(float("-inf"))))).select("h1", "h2", "v", F.lit(1).cast("long").alias("n"), "cell", "part", "lower")
     # what the first step has compared is not compared again
-    asks = asks.where((F.col("i") != F.col("j")) | (F.col("q") != F.pmod("p", F.try_element_at(parts_there, F.col("i")))))
-    blocks = asks.select("i", "p", "j", "q").distinct()
-    there = right.join(blocks, (cell == F.col("j")) & (part == F.col("q")))
-    found = near.union(_compared(asks, there.select("h1", "h2", "v", "n", "i", "p", "j", "q"), tau))
+    asks = _packed(_wanted(first, centres, low, high, sorted(parts_b), tau), parts_a).withColumn("twin", F.pmod("part", F.try_element_at(parts_there, cell)))
+    there = _packed(right.withColumn("cells", F.lit(b"")), parts_b).drop("asked")
+    again = (F.col("a_cell") == F.col("b_cell")) & (F.col("b_part") == F.col("a_twin"))
+    blocks = beside(asks, there, F.array_contains("a_asked", F.col("b_cell")) & ~again)
+    found = near.union(_asked(blocks, tau))
     total = found.groupBy("h1", "h2").agg(F.max("best").alias("best"), F.sum("over").alias("over"), F.sum("compared").alias("compared"))
     # a pivot that was near is a vector of b, so its cosine counts even where its cell was not compared
     total = left.select("h1", "h2", "lower").join(total, ["h1", "h2"], "left").select("h1", "h2", F.greatest("lower", F.coalesce("best", F.lit(float("-inf")))).alias("best"), F.coalesce("over", F.lit(0)).alias("over"), F.coalesce("compared", F.lit(0)).alias("compared"))
@@ -177,7 +177,7 @@ def nearest(a: DataFrame, b: DataFrame, key: str, vector: str, tau: float, pivot
 
 
 def _wanted(rows: DataFrame, pivots: np.ndarray, low: np.ndarray, high: np.ndarray, there: list[int], tau: float) -> DataFrame:
-    """rows with cells: those of there whose greatest possible cosine is over tau, or over the row's lower."""
+    """rows with cells, a bit for each cell from -1 on: those of there whose greatest possible cosine is over tau, or over the row's lower."""
     cells = np.array([c for c in there if c >= 0], np.int64)
     empty = -1 in there
 
@@ -189,16 +189,65 @@ def _wanted(rows: DataFrame, pivots: np.ndarray, low: np.ndarray, high: np.ndarr
             m = _matrix(batch.column(2), n)
             none = np.linalg.norm(m, axis=1) < 1e-12
             angle = _angles(_units(m), pivots)
-            lower = batch.column(5).to_numpy()
+            lower = batch.column(6).to_numpy()
             least = np.zeros((n, len(cells)))
             for p in range(len(pivots)):
                 np.maximum(least, np.maximum(angle[:, p : p + 1] - high[cells, p], low[cells, p] - angle[:, p : p + 1]), out=least)
             most = np.where(none[:, None], 0.0, np.minimum(np.cos(np.clip(least - SLACK, 0, np.pi)) + 1e-12, 1.0))
-            ask = (most > lower[:, None]) | (most > tau)
-            zero = empty & ((0 > lower) | (0 > tau))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([[*cells[row].tolist(), *([-1] if z else [])] for row, z in zip(ask, zero)], pa.list_(pa.int32()))], names=[*batch.schema.names, "cells"])
+            ask = np.zeros((n, len(pivots) + 1), np.bool_)
+            ask[:, cells + 1] = (most > lower[:, None]) | (most > tau)
+            ask[:, 0] = empty & ((0 > lower) | (0 > tau))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array([x.tobytes() for x in np.packbits(ask, axis=1)], pa.binary())], names=[*batch.schema.names[:6], "cells"])
 
-    return rows.mapInArrow(run, "h1 long, h2 long, v array<double>, cell int, part long, lower double, cells array<int>")
+    return rows.mapInArrow(run, "h1 long, h2 long, v array<double>, n long, cell int, part long, cells binary")
+
+
+_PARTS = "cell int, part long, keys binary, v binary, bits binary, asked array<int>"
+
+
+def _packed(rows: DataFrame, parts: dict[int, int]) -> DataFrame:
+    """A row for each part of a cell: h1, h2 and n of its classes and their unit vectors as the bytes of numbers, the bits of the
+    cells that each class asks for, and the cells that any of them does. Stored, in parts whose number depends on the cores."""
+
+    def pack(t: pa.Table) -> pa.Table:
+        keys = np.stack([t.column(c).to_numpy() for c in ("h1", "h2", "n")])
+        bits = t.column("cells").to_pylist()
+        asked = np.flatnonzero(np.unpackbits(np.bitwise_or.reduce(np.frombuffer(b"".join(bits), np.uint8).reshape(len(t), -1), axis=0))) - 1 if bits[0] else []
+        v = _units(_matrix(t.column("v"), len(t)))
+        values = ([keys.tobytes()], [v.tobytes()], [b"".join(bits)])
+        return pa.table({"cell": t.column("cell")[:1], "part": t.column("part")[:1], **{k: pa.array(x, pa.binary()) for k, x in zip(("keys", "v", "bits"), values)}, "asked": pa.array([asked], pa.list_(pa.int32()))})
+
+    rows = rows.select("h1", "h2", "v", "n", "cell", "part", "cells").repartition(parts_of(rows, sum(parts.values())), "cell", "part")
+    return checkpointed(rows.groupBy("cell", "part").applyInArrow(pack, _PARTS))
+
+
+def _asked(blocks: DataFrame, tau: float) -> DataFrame:
+    """h1, h2, best, over, compared of classes of a_ that ask for the cell of b_ beside them; a class has a row for each task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple[int, int], list[np.ndarray]] = {}  # of a share of the parts
+
+        for batch in batches:
+            for r in range(batch.num_rows):
+                at = {c: batch.column(i)[r] for i, c in enumerate(batch.schema.names)}
+                (a, x), (b, y) = ((lambda k, v: (k, v.reshape(k.shape[1], -1)))(np.frombuffer(at[f"{s}_keys"].as_buffer(), np.int64).reshape(3, -1), np.frombuffer(at[f"{s}_v"].as_buffer(), np.float64)) for s in "ab")
+                bits = np.frombuffer(at["a_bits"].as_buffer(), np.uint8).reshape(a.shape[1], -1)
+                place = at["b_cell"].as_py() + 1
+                rows = np.flatnonzero(bits[:, place >> 3] >> (7 - (place & 7)) & 1)
+                s = x[rows] @ y.T
+                if np.intersect1d(a[0, rows], b[0]).size:
+                    s[(a[0, rows][:, None] == b[0]) & (a[1, rows][:, None] == b[1])] = -np.inf
+                key = (at["a_cell"].as_py(), at["a_part"].as_py())
+                if key not in found:
+                    found[key] = [a[0], a[1], np.full(a.shape[1], -np.inf), np.zeros(a.shape[1], np.int64), np.zeros(a.shape[1], np.int64)]
+                _, _, best, over, compared = found[key]
+                best[rows] = np.maximum(best[rows], s.max(axis=1))
+                over[rows] += ((s > tau) @ b[2]).astype(np.int64)
+                compared[rows] += len(y)
+        for columns in found.values():
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h1", "h2", "best", "over", "compared"])
+
+    return blocks.select("a_cell", "a_part", "a_keys", "a_v", "a_bits", "b_cell", "b_keys", "b_v").mapInArrow(run, "h1 long, h2 long, best double, over long, compared long")
 
 
 def _finish(a: DataFrame, b: DataFrame, of_b: DataFrame, found: DataFrame, tau: float) -> DataFrame:
