@@ -7,6 +7,8 @@ every task draws its own blocks' share by halving, so no permutation is stored o
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..session import checkpointed
 from .order import with_index
+from .vectors import beside, packed, unpacked
 
 #: Rows of a block. A task holds two of them, their kernel and the marks of all permutations in them.
 BLOCK = 1024
@@ -69,8 +72,8 @@ def permutation_test(a: DataFrame, b: DataFrame, vector: str, key: str, permutat
     """One row: unbiased squared discrepancy of all rows of both sides under a Gaussian kernel, the share of permutations (and the
     sides themselves) with as great a one, rows, gamma, and status: unavailable with fewer than min_rows on a side.
 
-    Null vectors do not count. Work grows with the square of the rows, as the statistic does; what is shuffled are vectors, once for
-    each block that they meet, and 2 * permutations sums for each pair of blocks.
+    Null vectors do not count. Work grows with the square of the rows, as the statistic does; what is shuffled are vectors, a few
+    times each, and 2 * permutations sums for each task.
     """
     spark = a.sparkSession
     a, b = a.where(F.col(vector).isNotNull()), b.where(F.col(vector).isNotNull())
@@ -83,28 +86,35 @@ def permutation_test(a: DataFrame, b: DataFrame, vector: str, key: str, permutat
     rows = with_index(side(a, True).union(side(b, False)), [F.xxhash64("key"), "first"], "i")
     rows = checkpointed(rows.select(F.expr(f"cast(i div {size} as int)").alias("block"), F.pmod("i", F.lit(size)).alias("at"), "first", "v"))
     blocks = -(-n // size)
-    left = rows.select(F.col("block").alias("p"), F.explode(F.sequence("block", F.lit(blocks - 1))).alias("q"), "at", "first", "v")
-    right = rows.select(F.explode(F.sequence(F.lit(0), F.col("block"))).alias("p"), F.col("block").alias("q"), F.col("at").alias("at"), F.col("first").alias("first"), F.col("v").alias("v"))
-
-    def sums(x: pa.Table, y: pa.Table) -> pa.Table:
-        def parts(t: pa.Table, block: int) -> tuple[np.ndarray, np.ndarray]:
-            t = t.sort_by("at")
-            v = t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(t), -1)
-            return v, np.column_stack((t.column("first").to_numpy().astype(np.float64), marks(block, n, m, permutations, seed, size)))
-
-        p, q = x.column("p")[0].as_py(), x.column("q")[0].as_py()
-        (u, in_p), (w, in_q) = parts(x, p), parts(y, q)
-        d2 = (u * u).sum(axis=1)[:, None] + (w * w).sum(axis=1)[None, :] - 2 * u @ w.T
-        kernel = np.exp(-gamma * np.maximum(d2, 0))
-        if p == q:
-            np.fill_diagonal(kernel, 1)
-        own = (in_p * (kernel @ in_q)).sum(axis=0)
-        reach, total = in_p.T @ kernel.sum(axis=1), kernel.sum()
-        if p != q:
-            own, reach, total = 2 * own, reach + in_q.T @ kernel.sum(axis=0), 2 * total
-        return pa.table({"sums": pa.array([np.concatenate((own, reach, [total]))], pa.list_(pa.float64()))})
-
-    found = left.groupBy("p", "q").cogroup(right.groupBy("p", "q")).applyInArrow(sums, "sums array<double>")
+    packs = packed(rows.select("block", (2 * F.col("at") + F.col("first").cast("long")).alias("key"), "v"), blocks)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drawn: dict[int, np.ndarray] = {}  # marks of a share of the blocks, a byte each
+
+        def part(batch: pa.RecordBatch, r: int, side: str) -> tuple[int, np.ndarray, np.ndarray]:
+            block, keys, v = (batch.column(batch.schema.get_field_index(f"{side}_{c}"))[r] for c in ("block", "keys", "v"))
+            keys, v = unpacked(keys.as_buffer(), v.as_buffer())
+            block = block.as_py()
+            if block not in drawn:
+                drawn[block] = np.column_stack((keys % 2, marks(block, n, m, permutations, seed, size))).astype(np.bool_)
+            return block, v, drawn[block].astype(np.float64)
+
+        found = np.zeros(2 * permutations + 3)
+        for batch in batches:
+            for r in range(batch.num_rows):
+                (p, u, in_p), (q, w, in_q) = part(batch, r, "a"), part(batch, r, "b")
+                d2 = (u * u).sum(axis=1)[:, None] + (w * w).sum(axis=1)[None, :] - 2 * u @ w.T
+                kernel = np.exp(-gamma * np.maximum(d2, 0))
+                if p == q:
+                    np.fill_diagonal(kernel, 1)
+                own = (in_p * (kernel @ in_q)).sum(axis=0)
+                reach, total = in_p.T @ kernel.sum(axis=1), kernel.sum()
+                if p != q:
+                    own, reach, total = 2 * own, reach + in_q.T @ kernel.sum(axis=0), 2 * total
+                found += np.concatenate((own, reach, [total]))
+        yield pa.RecordBatch.from_arrays([pa.array([found], pa.list_(pa.float64()))], names=["sums"])
+
+    found = beside(packs, packs, F.col("a_block") <= F.col("b_block")).select("a_block", "a_keys", "a_v", "b_block", "b_keys", "b_v").mapInArrow(sums, "sums array<double>")
     total = np.array([r.x for r in found.select(F.posexplode("sums").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").collect()])
     own, reach = total[: permutations + 1], total[permutations + 1 : -1]
     seen = statistic(own, reach, total[-1], m, k)
