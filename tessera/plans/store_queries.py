@@ -138,8 +138,11 @@ def _sentences(spark, sf_dir):
 
 def _spoken(rows):
     """Pronunciations of ASCII words by spelling: a symbol for each letter, the last vowel stressed; a second variant that does not count."""
-    c = minimal.couplets(rows, "text")
-    words = c.select(F.col("w1").alias("word")).union(c.select("w2")).where(F.col("word").rlike("^[a-z]+$")).distinct()
+    return _spoken_of(minimal.couplets(rows, "text"))
+
+
+def _spoken_of(c):
+    words = c.select(F.explode(F.array("w1", "w2")).alias("word")).where(F.col("word").rlike("^[a-z]+$")).distinct()
     last = F.length("word") - F.length(F.regexp_extract("word", f"{_VOWEL}[^aeiouy]*$", 0))
     symbol = lambda x, i: F.concat(F.upper(x), F.when(x.rlike(_VOWEL), F.when(i == last, "1").otherwise("0")).otherwise(""))
     said = F.array_join(F.transform(F.filter(F.split("word", ""), lambda x: x != ""), symbol), " ")
@@ -179,5 +182,5 @@ def spoken_couplets(spark, sf_dir):
 def spoken_minimal_pairs(spark, sf_dir):
     """Minimal pairs of couplets that rhyme as they are said; scorers prefer short words."""
     rows = _sentences(spark, sf_dir)
-    found, _ = minimal.build_split(rows, "doc_id", "text", minimal.rhymes_of(_spoken(rows)), lambda r: _fake(r, "slot"), lambda r: _fake(r, "score"))
+    found, _ = minimal.build_split(rows, "doc_id", "text", lambda c: minimal.rhymes_of(_spoken_of(c)), lambda r: _fake(r, "slot"), lambda r: _fake(r, "score"))
     return found.select("doc_id", "near_miss", "replacement", F.round("gap", 6).alias("gap"))

@@ -367,3 +367,19 @@ def test_reference_cache(spark):
         ledger.check_cache({"fingerprint": "a"}, "b", "d", "sum")
     space = {"model_name": "m", "pooling": "mean", "max_length": 8}
     assert ledger.shared_space(space | {"template": "{response}"}, space) and not ledger.shared_space(space, space)
+
+
+def test_texts_of_other_than_two_lines_do_not_travel(spark):
+    """Those that have no two lines are cut from the rows that are stored and joined, and still have their reason."""
+    rows = spark.createDataFrame([(1, "the cat\na hat"), (2, "word " * 1000), (3, "a\nb\nc"), (4, None), (5, "of cat\nno dog")], "doc_id long, text string")
+    asked = []
+
+    def rhymes(c):
+        asked.append({r.doc_id: (r.n_lines, r.lines, r.w1, r.w2) for r in c.collect()})
+        return c.selectExpr("explode(array(w1, w2)) as word").where("word <> ''").distinct().selectExpr("word", "right(word, 2) as key")
+
+    fake = lambda name: lambda r: r.withColumn(name, F.lit(-1.0)).withColumn("eos_logp", F.lit(0.0)).drop("text") if name == "logp" else r.withColumn(name, F.lit(-1.0))
+    pairs, reasons = minimal.build_split(rows, "doc_id", "text", rhymes, fake("slot_logp"), fake("logp"), negatives=1)
+    assert {r.doc_id: r.reason for r in reasons.collect()} == {1: None, 2: "not two lines", 3: "not two lines", 4: "no rhyme", 5: "no rhyme"}
+    assert asked[0][2][:2] == (1, None) and asked[0][3] == (3, None, "a", "b") and asked[0][1] == (2, ["the cat", "a hat"], "cat", "hat")
+    assert [(r.doc_id, r.replacement) for r in pairs.collect()] == [(1, "b")]
