@@ -54,3 +54,12 @@ def test_bytes_grow_as_the_rows(spark, small, join):
 
     few, many = shuffled(spark, lambda: run(300)), shuffled(spark, lambda: run(1200))
     assert 0 < many < 6 * few
+
+
+def test_hashed_tokens_are_counted_in_one_walk(spark):
+    rows = spark.createDataFrame([(1, "a b a\nc"), (2, ""), (3, None)], "i long, text string")
+    made = vectors.hash_embed(rows, "text", 4)
+    got = {r.i: r.vector for r in made.collect()}
+    bucket = {r.t: r.b for r in spark.sql("select t, cast(pmod(xxhash64(t), 4) as int) b from values ('a'), ('b'), ('c'), ('\\n') as v(t)").collect()}
+    assert got[1] == [sum(bucket[t] == i for t in ("a", "b", "a", "\n", "c")) for i in range(4)] and got[2] == [0.0] * 4 and len(got[3]) == 4
+    assert "filter(" not in made._jdf.queryExecution().optimizedPlan().toString()
