@@ -334,6 +334,33 @@ def test_band_join_is_dealt_over_tasks(spark):
     assert sum(1 for n in joined if n) > 1 and sum(joined) == sum(1 for a in range(300, 9000, 300) for k in range(7) if a % 7 != k for _ in range(k, 9000, 7))
 
 
+def test_band_join_shuffles_each_word_once(spark):
+    """A word that asks was shuffled once for every part of the buckets that it meets, so the shuffle grew as the pairs."""
+    rows = spark.range(44000).selectExpr("cast(id as string) as word", "if(id < 40000, 0, 0.45d) as log2", "if(id = 43999, 'y', 'x') as key")
+    words = rows.where("log2 > 0").selectExpr("'-' as w1", "key as k1", "word as w2")
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList
+
+    def written() -> int:
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        found = stages(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+        return sum(found.apply(i).shuffleWriteRecords() for i in range(found.size()))
+
+    before = written()
+    assert minimal.band_join(words, rows, 0.25).count() == 2 * 3999
+    assert written() - before <= 2 * (44000 + 4000) + 1000  # once for the join with the logarithms too
+
+
+def test_band_join_of_odd_sides(spark):
+    """No word asks, none can be asked, logarithms and keys that are missing or not finite, a band of nothing; words and keys of any type."""
+    pool = [("a", 1.0, 1), ("b", 1.0, 2), ("c", 1.0, None), ("d", None, 2), ("e", math.inf, 2), ("f", math.nan, 2), ("g", 1.25, 2), ("h", -1.0, 1), ("i", -1.1, 2)]
+    rows = spark.createDataFrame(pool, "word string, log2 double, key long")
+    words = rows.selectExpr("'-' as w1", "key as k1", "word as w2")
+    for band, want in ((0.0, {("a", "b"), ("b", "a")}), (0.25, {("a", "b"), ("b", "a"), ("a", "g"), ("g", "a"), ("h", "i"), ("i", "h")})):
+        assert {(r.w2, r.w) for r in minimal.band_join(words, rows, band).collect()} == want
+    assert minimal.band_join(words.limit(0), rows, 0.25).count() == 0 == minimal.band_join(words, rows.limit(0), 0.25).count()
+
+
 def test_logarithms_of_a_pool_are_the_nearest_doubles(spark):
     rows = spark.range(1, 64).selectExpr("explode(array_repeat(concat('a b\n', 'w', id), int(id))) as text")
     pool = minimal.build_pool(rows, "text", spark.createDataFrame([], "word string, key string")).collect()
